@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("stores", "scans", "relational", "series", "features")
+MODULES = ("stores", "scans", "relational", "series", "features", "inventory", "holidays", "alerts")
 
 for _m in MODULES:
     importlib.import_module(f"{__package__}.{_m}")
