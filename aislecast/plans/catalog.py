@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("stores", "scans", "relational", "series", "features", "inventory", "holidays", "alerts")
+MODULES = (
+    "stores", "scans", "relational", "series", "features", "inventory", "holidays", "alerts", "correlation",
+)
 
 for _m in MODULES:
     importlib.import_module(f"{__package__}.{_m}")
