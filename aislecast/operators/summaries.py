@@ -129,9 +129,9 @@ def depth_band(discount: Column) -> Column:
         F.when(pct <= 0, "none")
         .when(pct < 10, "light")
         .when(pct < 20, "moderate")
-        .when(pct < 30, "medium")
-        .when(pct < 50, "deep")
-        .otherwise("clearance")
+        .when(pct < 30, "deep")
+        .when(pct < 50, "very_deep")
+        .otherwise("extreme")
     )
 
 

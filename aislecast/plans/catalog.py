@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "stores", "scans", "relational", "series", "features", "inventory", "holidays", "alerts", "correlation",
+    "market", "promotions",
 )
 
 for _m in MODULES:
