@@ -102,6 +102,11 @@ def stable_bucket(*cols: ColumnLike, buckets: int = 100) -> Column:
     return F.pmod(F.crc32(F.concat_ws("_", *[_col(c).cast("string") for c in cols])), F.lit(buckets))
 
 
+# Rounding offset of the report form: just above one half, so that exact decimal ties, where the last bit
+# of a sum decides, are not on the boundary.
+HALF = 0.500003
+
+
 def settle(df: DataFrame, digits: int = 4) -> DataFrame:
     """Report form of a result: doubles rounded half up, decimals as doubles, dates as ISO text."""
     scale = float(10**digits)
@@ -110,7 +115,7 @@ def settle(df: DataFrame, digits: int = 4) -> DataFrame:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             d = c.cast("double")
-            d = F.when(F.abs(d) < 1e17 / scale, F.floor(d * scale + 0.5) / F.lit(scale)).otherwise(d)
+            d = F.when(F.abs(d) < 1e17 / scale, F.floor(d * scale + HALF) / F.lit(scale)).otherwise(d)
             out.append(d.alias(f.name))
         elif isinstance(f.dataType, T.DateType):
             out.append(F.date_format(c, "yyyy-MM-dd").alias(f.name))

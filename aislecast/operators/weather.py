@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.calendar import season
-from ..functions.climate import rain_class, weather_category
+from ..functions.climate import rain_class, simple_comfort, weather_category
 from ..functions.core import ladder, mean_if, mean_of, ratio, safe_corr, slope_of, std_of
 from .promotions import explode_conditions
 from .ranking import exact_quantiles
@@ -365,3 +365,21 @@ def similar_conditions(
         ((pred - F.col("baseline_sales")) / F.col("baseline_sales") * 100).alias("impact_pct"),
         F.when(F.col("_n") > 0, F.least(F.col("_n") / 20, F.lit(1.0))).otherwise(0.1).alias("confidence"),
     )
+
+
+def weather_base(sales: DataFrame) -> DataFrame:
+    """Sales with calendar, season, interaction, squared, comfort and rain flags."""
+    t, h, p = F.col("avg_temperature"), F.col("avg_humidity"), F.col("precpt")
+    d = F.col("sale_date")
+    return sales.withColumns(
+        {
+            "season": season(d),
+            "day_of_week": F.weekday(d),
+            "month": F.month(d),
+            "temp_humidity": t * h / 100,
+            "temp_squared": t * t,
+            "comfort": simple_comfort(t),
+            "is_rainy": p > 0.1,
+            "is_heavy_rain": p > 10,
+        }
+    )

@@ -6,7 +6,7 @@ import importlib
 
 MODULES = (
     "stores", "scans", "relational", "series", "features", "inventory", "holidays", "alerts", "correlation",
-    "market", "promotions",
+    "market", "promotions", "weather",
 )
 
 for _m in MODULES:

@@ -297,12 +297,10 @@ dd AS (SELECT sale_date, sum(v) t FROM dc GROUP BY 1),
 mo AS (SELECT first_category, month(sale_date) mm, sum(sale_amount)::DOUBLE/count(*) ma FROM sales GROUP BY 1,2),
 dv AS (SELECT store_id, count(DISTINCT first_category)::BIGINT dv FROM sales GROUP BY 1)
 SELECT s.sale_date::VARCHAR AS sale_date, s.store_id, s.product_id, {q('m')} AS category_mean, {q('st.s')} AS category_std, n AS category_count,
-  {q('v::DOUBLE/t::DOUBLE', 6)} AS category_market_share, {q('ma')} AS category_monthly_avg, dv AS store_category_diversity,
-  (s.sale_date-d0)::INT AS category_days_since_introduction, {q('c', 6)} AS discount_sensitivity
+  {q('v::DOUBLE/t::DOUBLE')} AS category_market_share, {q('ma')} AS category_monthly_avg, dv AS store_category_diversity,
+  (s.sale_date-d0)::INT AS category_days_since_introduction, {q('c')} AS discount_sensitivity
 FROM sales s JOIN st USING (first_category) JOIN dc ON dc.sale_date=s.sale_date AND dc.first_category=s.first_category
-JOIN dd ON dd.sale_date=s.sale_date JOIN mo ON mo.first_category=s.first_category AND mo.mm=month(s.sale_date) JOIN dv ON dv.store_id=s.store_id""".replace(
-        "1e6+0.5)/1e6", "1e4+0.5)/1e4"
-    ),
+JOIN dd ON dd.sale_date=s.sale_date JOIN mo ON mo.first_category=s.first_category AND mo.mm=month(s.sale_date) JOIN dv ON dv.store_id=s.store_id""",
 )
 def category_features(t):
     return features.category_features(t.sales()).select(
@@ -462,12 +460,12 @@ def future_frame(t):
 se AS (SELECT store_id, stddev_samp(a) sv, arg_max(m, a)::INT pm FROM mm GROUP BY 1),
 tot AS (SELECT city_id, sum(sale_amount) ct FROM sales GROUP BY 1)
 SELECT s.store_id, s.city_id, {q('sum(sale_amount)')} AS total_sales, {q('stddev_samp(units_sold::DOUBLE)')} AS std_units,
-  {q('avg(sale_amount::DOUBLE/units_sold)', 3)} AS mean_price,
+  {q('avg(sale_amount::DOUBLE/units_sold)')} AS mean_price,
   {q('(count(*) FILTER (WHERE stock_hour6_22_cnt>0))::DOUBLE/count(*)')} AS stockout_rate, count(DISTINCT product_id) AS products,
   {q('sum(units_sold)::DOUBLE/sum(stock_level)')} AS turnover, {q(_mean('sale_amount', 'activity_flag') + '/' + _mean('sale_amount', 'NOT activity_flag'))} AS promo_uplift,
   {q(corr_sql('sale_amount', 'avg_temperature'))} AS temp_corr, {q('any_value(sv)')} AS seasonal_variation, any_value(pm) AS peak_month,
   {q('sum(sale_amount)::DOUBLE/any_value(ct)::DOUBLE')} AS city_market_share
-FROM sales s JOIN se ON se.store_id=s.store_id JOIN tot ON tot.city_id=s.city_id GROUP BY 1,2""".replace("1e3+0.5)/1e3", "1e4+0.5)/1e4"),
+FROM sales s JOIN se ON se.store_id=s.store_id JOIN tot ON tot.city_id=s.city_id GROUP BY 1,2""",
 )
 def store_vector(t):
     s = t.sales()

@@ -33,10 +33,8 @@ def lost_demand_by_hours(t):
     "INV-1 AGG-2",
     f"""{_LOST}
 SELECT store_id, count(*) AS total_days, count(*) FILTER (WHERE stock_hour6_22_cnt>0) AS stockout_days,
-  {q('(count(*) FILTER (WHERE stock_hour6_22_cnt>0))::DOUBLE/count(*)')} AS stockout_rate, {q('sum(lost)', 2)} AS total_lost_sales,
-  {q('coalesce(avg(lost) FILTER (WHERE stock_hour6_22_cnt>0),0)', 2)} AS avg_lost_sales FROM z GROUP BY 1""".replace(
-        "::DOUBLE/count(*))::DOUBLE*1e4+0.5)/1e4", "::DOUBLE/count(*))::DOUBLE*1e2+0.5)/1e2"
-    ),
+  {q('(count(*) FILTER (WHERE stock_hour6_22_cnt>0))::DOUBLE/count(*)', 2)} AS stockout_rate, {q('sum(lost)', 2)} AS total_lost_sales,
+  {q('coalesce(avg(lost) FILTER (WHERE stock_hour6_22_cnt>0),0)', 2)} AS avg_lost_sales FROM z GROUP BY 1""",
     digits=2,
 )
 def lost_demand_summary(t):

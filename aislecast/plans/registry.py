@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.calendar import HOLIDAYS
-from ..functions.core import settle
+from ..functions.core import HALF, settle
 from ..sources.adapter import RetailTables
 
 _HOLIDAY_CASE = " ".join(f"WHEN month({{d}})={m} AND day({{d}})={d} THEN '{n}'" for m, d, n in HOLIDAYS)
@@ -98,7 +98,7 @@ REGISTRY: dict[str, Query] = {}
 def q(expr: str, digits: int = 4) -> str:
     """Check-SQL form of the report rounding."""
     s = f"1e{digits}"
-    return f"floor(({expr})::DOUBLE*{s}+0.5)/{s}"
+    return f"floor(({expr})::DOUBLE*{s}+{HALF})/{s}"
 
 
 def corr_sql(x: str, y: str, cond: str | None = None) -> str:
