@@ -6,7 +6,7 @@ import importlib
 
 MODULES = (
     "stores", "scans", "relational", "series", "features", "inventory", "holidays", "alerts", "correlation",
-    "market", "promotions", "weather",
+    "market", "promotions", "weather", "forecast",
 )
 
 for _m in MODULES:
