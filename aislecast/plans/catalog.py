@@ -6,7 +6,7 @@ import importlib
 
 MODULES = (
     "stores", "scans", "relational", "series", "features", "inventory", "holidays", "alerts", "correlation",
-    "market", "promotions", "weather", "forecast", "clustering",
+    "market", "promotions", "weather", "forecast", "clustering", "reports", "streaming",
 )
 
 for _m in MODULES:
