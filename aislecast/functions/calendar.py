@@ -29,6 +29,11 @@ def holiday_name(d: Column) -> Column:
     return out
 
 
+def is_holiday(d: Column) -> Column:
+    """Whether a date is one of the recurring holidays: one membership test on month and day."""
+    return (F.month(d) * 100 + F.dayofmonth(d)).isin([m * 100 + day for m, day, _ in HOLIDAYS])
+
+
 def weekday(d: Column) -> Column:
     return F.weekday(d)
 

@@ -11,15 +11,31 @@ under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles (with adaptive skew
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import holiday_name
+from ..functions.calendar import holiday_name, is_holiday
 from ..schemas import RAW
 
 HOURS = 24
+CENT = Decimal("0.01")
+
+
+def _money(cents: Column) -> Column:
+    """Exact amount from whole cents."""
+    return (cents.cast("decimal(14,0)") * F.lit(CENT)).cast("decimal(14,2)")
+
+
+def _percent(points: Column) -> Column:
+    return (points.cast("decimal(4,0)") * F.lit(CENT)).cast("decimal(4,2)")
+
+
+def stock_level(product: Column, store: Column) -> Column:
+    """Stand-in stock level of an item in a store."""
+    return ((product * 7 + store * 3) % 200).cast("bigint")
 
 
 def weather_columns(day: Column, city: Column) -> dict[str, Column]:
@@ -92,8 +108,8 @@ class RetailTables:
 
     # ---- facts ------------------------------------------------------------------------------
 
-    def lines(self, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
-        """Sales at the grain (sale_date, store_id, product_id); duplicate lines are summed.
+    def _raw_lines(self, since: dt.date | None, until: dt.date | None) -> DataFrame:
+        """Order lines under canonical names, money as whole cents, bounded by date.
 
         The date bounds apply to the raw timestamp, so they reach the parquet scan.
         """
@@ -105,15 +121,27 @@ class RetailTables:
             after = dt.datetime.combine(until + dt.timedelta(days=1), dt.time())
             li = li.filter(ts < F.lit(after).cast(li.schema["l_shipdate"].dataType))
         returned = F.when(F.col("l_returnflag") == "R", (F.col("l_orderkey") + F.col("l_partkey")) % 17).otherwise(0)
-        return li.groupBy(
+        return li.select(
             ts.cast("date").alias("sale_date"),
             F.col("l_suppkey").alias("store_id"),
             F.col("l_partkey").alias("product_id"),
-        ).agg(
-            F.sum(F.col("l_quantity").cast("bigint")).alias("units_sold"),
-            F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).cast("decimal(14,2)").alias("sale_amount"),
-            F.max(F.col("l_discount").cast("decimal(4,2)")).alias("discount"),
-            F.max(returned).cast("int").alias("stock_hour6_22_cnt"),
+            F.col("l_quantity").cast("bigint").alias("units"),
+            F.rint(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
+            F.rint(F.col("l_discount") * 100).cast("int").alias("discount_pct"),
+            returned.cast("int").alias("stock_hours"),
+        )
+
+    def lines(self, since: dt.date | None = None, until: dt.date | None = None) -> DataFrame:
+        """Sales at the grain (sale_date, store_id, product_id); duplicate lines are summed in whole cents."""
+        return (
+            self._raw_lines(since, until)
+            .groupBy("sale_date", "store_id", "product_id")
+            .agg(
+                F.sum("units").alias("units_sold"),
+                _money(F.sum("cents")).alias("sale_amount"),
+                _percent(F.max("discount_pct")).alias("discount"),
+                F.max("stock_hours").alias("stock_hour6_22_cnt"),
+            )
         )
 
     def sales(
@@ -132,8 +160,8 @@ class RetailTables:
         d = F.col("sale_date")
         cols = {
             "activity_flag": F.col("discount") >= 0.05,
-            "holiday_flag": holiday_name(d).isNotNull(),
-            "stock_level": ((F.col("product_id") * 7 + F.col("store_id") * 3) % 200).cast("bigint"),
+            "holiday_flag": is_holiday(d),
+            "stock_level": stock_level(F.col("product_id"), F.col("store_id")),
         }
         if geo:
             cols.update(weather_columns(d, F.col("city_id")))
@@ -155,17 +183,25 @@ class RetailTables:
         )
 
     def daily(self, *keys: str, since: dt.date | None = None, geo: bool = True, category: bool = True) -> DataFrame:
-        """Daily series per key: every group is bounded by the calendar, whatever the share of a key."""
-        rows = self.sales(geo=geo, category=category, since=since)
-        return rows.groupBy(*keys, "sale_date").agg(
-            F.sum("units_sold").alias("units_sold"),
-            F.sum("sale_amount").alias("sale_amount"),
-            F.count(F.lit(1)).alias("rows"),
-            F.max("stock_hour6_22_cnt").alias("stock_hours"),
-            F.max("stock_level").alias("stock_level"),
-            F.max("discount").alias("discount"),
-            F.max("activity_flag").alias("activity_flag"),
-            F.max("holiday_flag").alias("holiday_flag"),
+        """Daily series per key: every group is bounded by the calendar, whatever the share of a key.
+
+        Sums and maxima do not need the row grain, so the order lines are aggregated directly: one shuffle
+        of partial results, and a dimension is joined only when a key comes from it.
+        """
+        rows = self._raw_lines(since, None)
+        if geo and ({"city_id", "region_id"} & set(keys)):
+            rows = rows.join(self.store.select("store_id", "city_id", "region_id"), "store_id")
+        if category and not set(keys) <= {"store_id", "product_id", "city_id", "region_id"}:
+            rows = rows.join(self.product.drop("product_name"), "product_id")
+        out = rows.groupBy(*keys, "sale_date").agg(
+            F.sum("units").alias("units_sold"),
+            _money(F.sum("cents")).alias("sale_amount"),
+            F.max("stock_hours").alias("stock_hours"),
+            F.max(stock_level(F.col("product_id"), F.col("store_id"))).alias("stock_level"),
+            _percent(F.max("discount_pct")).alias("discount"),
+        )
+        return out.withColumns(
+            {"activity_flag": F.col("discount") >= 0.05, "holiday_flag": is_holiday(F.col("sale_date"))}
         )
 
     # ---- side tables ------------------------------------------------------------------------
