@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.core import ladder, mean_if, mean_of, ratio, std_of, sum_if
-from .ranking import exact_quantiles, with_global_rank
+from ..session import ensure_checkpoint_dir
+from .ranking import column_quantiles, with_global_rank
 
 
 def category_performance(daily: DataFrame, edge: int = 30) -> DataFrame:
@@ -85,20 +86,18 @@ def market_position(sales: DataFrame, as_of: dt.date) -> DataFrame:
 
 def assortment_advice(sales: DataFrame) -> DataFrame:
     """Products flagged as additions (good mean, few sales) and removals (lowest totals and means), with the fifth on top."""
+    ensure_checkpoint_dir(sales.sparkSession)
     g = sales.groupBy("product_id").agg(
         F.sum("sale_amount").cast("double").alias("total_sales"),
         mean_of("sale_amount").alias("avg_sales"),
         F.count(F.lit(1)).alias("transactions"),
+    ).checkpoint()
+    cuts = column_quantiles(
+        g, {"avg_sales": {"avg_med": 0.5, "avg_q20": 0.2}, "transactions": {"n_med": 0.5}, "total_sales": {"tot_q10": 0.1}}
     )
-    cut = {
-        "avg_med": exact_quantiles(g, "avg_sales", {"v": 0.5}),
-        "avg_q20": exact_quantiles(g, "avg_sales", {"v": 0.2}),
-        "n_med": exact_quantiles(g, "transactions", {"v": 0.5}),
-        "tot_q10": exact_quantiles(g, "total_sales", {"v": 0.1}),
-    }
     n = g.agg(F.count(F.lit(1))).scalar()
     ranked = with_global_rank(g, "total_sales", "sales_rank").withColumns(
-        {**{f"_{k}": v.select("v").scalar() for k, v in cut.items()}, "_cnt": n}
+        {"_q": cuts.select(F.struct(*cuts.columns)).scalar(), "_cnt": n}
     )
     return ranked.select(
         "product_id",
@@ -106,8 +105,8 @@ def assortment_advice(sales: DataFrame) -> DataFrame:
         "avg_sales",
         "transactions",
         (F.col("sales_rank") <= F.floor(F.col("_cnt") * 0.2)).alias("is_top_fifth"),
-        ((F.col("avg_sales") > F.col("_avg_med")) & (F.col("transactions") < F.col("_n_med"))).alias("is_addition"),
-        ((F.col("total_sales") < F.col("_tot_q10")) & (F.col("avg_sales") < F.col("_avg_q20"))).alias("is_removal"),
+        ((F.col("avg_sales") > F.col("_q.avg_med")) & (F.col("transactions") < F.col("_q.n_med"))).alias("is_addition"),
+        ((F.col("total_sales") < F.col("_q.tot_q10")) & (F.col("avg_sales") < F.col("_q.avg_q20"))).alias("is_removal"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.arrays import daily_pattern, peak_hour, zero_share
 from ..functions.calendar import calendar_columns
 from ..functions.climate import quartile_label, temperature_label, weather_label
-from .ranking import exact_quantiles
+from .ranking import column_quantiles, exact_quantiles
 
 WEATHER = ("avg_temperature", "avg_humidity", "precpt", "avg_wind_level")
 
@@ -69,14 +69,13 @@ def outlier_bounds(df: DataFrame, value: str) -> DataFrame:
 def flag_outliers(df: DataFrame, value: str, bounds: DataFrame | None = None) -> DataFrame:
     """Outlier flag and capped copy; ``bounds`` may come from an earlier run."""
     bounds = outlier_bounds(df, value) if bounds is None else bounds
-    low, high = bounds.select("lower").scalar(), bounds.select("upper").scalar()
     x = F.col(value).cast("double")
-    return df.withColumns({"_low": low, "_high": high}).withColumns(
+    return df.withColumn("_f", bounds.select(F.struct("lower", "upper")).scalar()).withColumns(
         {
-            "is_outlier": ((x < F.col("_low")) | (x > F.col("_high"))).cast("int"),
-            f"{value}_capped": F.greatest(F.col("_low"), F.least(F.col("_high"), x)),
+            "is_outlier": ((x < F.col("_f.lower")) | (x > F.col("_f.upper"))).cast("int"),
+            f"{value}_capped": F.greatest(F.col("_f.lower"), F.least(F.col("_f.upper"), x)),
         }
-    ).drop("_low", "_high")
+    ).drop("_f")
 
 
 def scaling_state(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -102,21 +101,27 @@ def zscale(df: DataFrame, columns: Sequence[str], state: DataFrame | None = None
 
 def add_labels(df: DataFrame) -> DataFrame:
     """Temperature, humidity quartile, rain and wind flags, composed weather label, discount level, day part, stock-out share."""
-    hq = exact_quantiles(df, "avg_humidity", {"a": 0.25, "b": 0.5, "c": 0.75}).select(F.struct("a", "b", "c")).scalar()
-    wind = exact_quantiles(df, "avg_wind_level", {"m": 0.5}).select("m").scalar()
-    dq = exact_quantiles(df, "discount", {"a": 0.25, "b": 0.5, "c": 0.75}).select(F.struct("a", "b", "c")).scalar()
-    out = df.withColumns({"_h": hq, "_w": wind, "_d": dq})
+    three = (("a", 0.25), ("b", 0.5), ("c", 0.75))
+    cuts = column_quantiles(
+        df,
+        {
+            "avg_humidity": {f"h{n}": p for n, p in three},
+            "discount": {f"d{n}": p for n, p in three},
+            "avg_wind_level": {"wind": 0.5},
+        },
+    )
+    out = df.withColumn("_q", cuts.select(F.struct(*cuts.columns)).scalar())
     quart = lambda c, s, labels: quartile_label(
-        F.col(c).cast("double"), F.col(f"{s}.a"), F.col(f"{s}.b"), F.col(f"{s}.c"), labels
+        F.col(c).cast("double"), F.col(f"_q.{s}a"), F.col(f"_q.{s}b"), F.col(f"_q.{s}c"), labels
     )
     out = out.withColumns(
         {
             "temperature_level": temperature_label(F.col("avg_temperature")),
-            "humidity_level": quart("avg_humidity", "_h", ("Low", "Medium", "High", "Very High")),
+            "humidity_level": quart("avg_humidity", "h", ("Low", "Medium", "High", "Very High")),
             "is_rainy": (F.col("precpt") > 0).cast("int"),
-            "is_windy": (F.col("avg_wind_level") > F.col("_w")).cast("int"),
+            "is_windy": (F.col("avg_wind_level") > F.col("_q.wind")).cast("int"),
             "has_discount": (F.col("discount") > 0).cast("int"),
-            "discount_level": quart("discount", "_d", ("No Discount", "Low", "Medium", "High")),
+            "discount_level": quart("discount", "d", ("No Discount", "Low", "Medium", "High")),
             "daily_sales_pattern": daily_pattern(peak_hour(F.col("hours_sale"))),
             "stockout_risk": zero_share(F.col("hours_stock_status")),
         }
@@ -124,7 +129,7 @@ def add_labels(df: DataFrame) -> DataFrame:
     label = weather_label(
         F.col("is_rainy") == 1, F.col("is_windy") == 1, F.col("temperature_level"), F.col("humidity_level")
     )
-    return out.withColumn("weather_condition", label).drop("_h", "_w", "_d")
+    return out.withColumn("weather_condition", label).drop("_q")
 
 
 def preprocess(df: DataFrame, bounds: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:

@@ -8,22 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import ensure_checkpoint_dir
+
 RANGES = 32
 
 
-def _bucketed(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def _bucketed(df: DataFrame, value: str) -> DataFrame:
     """Adds ``_bucket``: the value range a row falls in, a pure function of the value."""
     grid = [i / RANGES for i in range(1, RANGES)]
-    edges = F.percentile_approx(value, grid, 1000)
-    if by:
-        # one sketch per group, joined back on the group key
-        cuts = df.groupBy(*by).agg(edges.alias("_edges"))
-        df = df.join(cuts, list(by), "left")
-        cut = F.col("_edges")
-    else:
-        df = df.withColumn("_edges", df.agg(edges).scalar())
-        cut = F.col("_edges")
-    below = F.size(F.filter(cut, lambda e: e < F.col(value)))
+    df = df.withColumn("_edges", df.agg(F.percentile_approx(value, grid, 1000)).scalar())
+    below = F.size(F.filter(F.col("_edges"), lambda e: e < F.col(value)))
     return df.withColumn("_bucket", F.when(F.col(value).isNull(), -1).otherwise(below)).drop("_edges")
 
 
@@ -39,8 +33,12 @@ def _offsets(buckets: DataFrame, by: Sequence[str], n: Column) -> DataFrame:
 
 
 def with_global_rank(df: DataFrame, value: str, name: str = "rank", descending: bool = True) -> DataFrame:
-    """SQL RANK over the whole frame: rank within a value range plus the rows in the ranges ahead."""
-    b = _bucketed(df, value)
+    """SQL RANK over the whole frame: rank within a value range plus the rows in the ranges ahead.
+
+    The frame (one row per entity) is read three times, so it is checkpointed first in the shared folder.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    b = _bucketed(df.checkpoint(), value)
     off = _offsets(b, (), F.count(F.lit(1))).withColumnRenamed("_bucket", "_b")
     order = F.col(value).desc() if descending else F.col(value).asc()
     local = F.rank().over(W.partitionBy("_bucket").orderBy(order))
@@ -54,6 +52,8 @@ def with_global_rank(df: DataFrame, value: str, name: str = "rank", descending:
 
 def with_percent_rank(df: DataFrame, value: str, name: str = "pct_rank") -> DataFrame:
     """Average-method ascending rank over the row count, ties sharing their mean rank."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
     n = df.agg(F.count(value)).scalar()
     ties = F.count(F.lit(1)).over(W.partitionBy(value))
     ranked = with_global_rank(df, value, "_rank", descending=False)
@@ -65,20 +65,26 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated percentiles, one row per group (or one row): ``probs`` maps output name -> p.
 
-    Values are counted first, so repeats collapse before the shuffle; ranges of values are then
-    accumulated separately, so no task holds a whole group.
+    Values are counted first, so repeats collapse before the shuffle; ranges of values are then accumulated
+    separately, so no task holds a whole group.  Cut points, range totals and the final pass read the same
+    counted frame, whose shuffle is computed once and reused.
     """
     by = list(by)
     vc = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    b = _bucketed(vc, value, by)
-    off = _offsets(b, by, F.sum("_n"))
+    grid = [i / RANGES for i in range(1, RANGES)]
+    sketch = F.struct(F.percentile_approx(value, grid, 1000).alias("edges"), F.sum("_n").alias("total"))
+    if by:
+        b = vc.join(vc.groupBy(*by).agg(sketch.alias("_s")), by)
+    else:
+        b = vc.withColumn("_s", vc.agg(sketch).scalar())
+    b = b.withColumn("_bucket", F.size(F.filter(F.col("_s.edges"), lambda e: e < F.col(value)))).withColumn("_total", F.col("_s.total")).drop("_s")
     keys = by + ["_bucket"]
+    off = _offsets(b, by, F.sum("_n"))
     running = F.sum("_n").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
     cum = (
         b.join(off, keys)
         .withColumn("_hi", F.col("_below") + running)
         .withColumn("_lo", F.col("_hi") - F.col("_n"))
-        .withColumn("_total", F.col("_below") + F.col("_above") + F.sum("_n").over(W.partitionBy(*keys)))
     )
     aggs = []
     for name, p in probs.items():
@@ -94,6 +100,20 @@ def exact_quantiles(
     return out.select(*by, *cols)
 
 
+def column_quantiles(df: DataFrame, wanted: dict[str, dict[str, float]]) -> DataFrame:
+    """One row with percentiles of several columns, ``wanted`` maps column -> {output name: p}; one pass over ``df``."""
+    columns = list(wanted)
+    probs = {f"p{p}".replace(".", "_"): p for ps in wanted.values() for p in ps.values()}
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "_column", "_value")
+    q = exact_quantiles(long, "_value", probs, ["_column"])
+    aggs = [
+        F.max(F.when(F.col("_column") == c, F.col(f"p{p}".replace(".", "_")))).alias(name)
+        for c, ps in wanted.items()
+        for name, p in ps.items()
+    ]
+    return q.agg(*aggs)
+
+
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str | None = None) -> DataFrame:
     """First ``k`` rows of each group under a total order."""
     rn = F.row_number().over(W.partitionBy(*by).orderBy(*order))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import is_weekend
 from ..functions.core import mean_if, mean_of, ratio, share_if, std_of
-from .ranking import exact_quantiles, with_global_rank, with_percent_rank
+from .ranking import column_quantiles, exact_quantiles, with_global_rank, with_percent_rank
 
 
 def compare_stores(sales: DataFrame, store: DataFrame) -> DataFrame:
@@ -63,15 +63,15 @@ def daily_store_metrics(sales: DataFrame) -> DataFrame:
 
 
 def _cuts(metrics: DataFrame) -> DataFrame:
-    sales = exact_quantiles(metrics, "avg_daily_sales", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    promo = exact_quantiles(metrics, "promo_effectiveness", {"p60": 0.6})
-    steady = exact_quantiles(metrics, "consistency_score", {"c60": 0.6})
-    packed = {
-        "_s": sales.select(F.struct("q25", "q50", "q75")).scalar(),
-        "_p": promo.select("p60").scalar(),
-        "_c": steady.select("c60").scalar(),
-    }
-    return metrics.withColumns(packed)
+    cuts = column_quantiles(
+        metrics,
+        {
+            "avg_daily_sales": {"q25": 0.25, "q50": 0.5, "q75": 0.75},
+            "promo_effectiveness": {"p60": 0.6},
+            "consistency_score": {"c60": 0.6},
+        },
+    )
+    return metrics.withColumn("_s", cuts.select(F.struct(*cuts.columns)).scalar())
 
 
 def store_segments(metrics: DataFrame) -> DataFrame:
@@ -81,8 +81,8 @@ def store_segments(metrics: DataFrame) -> DataFrame:
     names = F.array_compact(
         F.array(
             F.when(a >= F.col("_s.q75"), "A"),
-            F.when((a >= F.col("_s.q50")) & (p >= F.col("_p")), "B"),
-            F.when((a >= F.col("_s.q50")) & (c >= F.col("_c")), "C"),
+            F.when((a >= F.col("_s.q50")) & (p >= F.col("_s.p60")), "B"),
+            F.when((a >= F.col("_s.q50")) & (c >= F.col("_s.c60")), "C"),
             F.when(a <= F.col("_s.q25"), "D"),
         )
     )

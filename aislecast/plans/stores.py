@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ranking, stores
+from ..session import ensure_checkpoint_dir
 from .features import MEAN
 from .registry import q, query
 
@@ -36,7 +37,9 @@ _SM = f"""
 
 
 def _metrics(t):
-    return stores.store_metrics(t.sales(geo=False, category=False))
+    # one row per store, read by several passes: cut the lineage once, in the shared folder
+    ensure_checkpoint_dir(t.spark)
+    return stores.store_metrics(t.sales(geo=False, category=False)).checkpoint()
 
 
 @query(
