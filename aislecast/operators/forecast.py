@@ -183,7 +183,9 @@ def seasonal_forecast(
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         names = [f.name for f in out.fields]
         if len(pdf) < min_rows:
-            return pd.DataFrame({n: [] for n in names})
+            empty = {k: pdf[k].iloc[:0] for k in keys}
+            empty["date"] = pd.Series([], dtype="datetime64[ns]")
+            return pd.DataFrame({**empty, **{c: pd.Series([], dtype=float) for c in ("forecast", "lower", "upper")}})[names]
         pdf = pdf.sort_values("_day")
         day, y = pdf["_day"].to_numpy(dtype=float), pdf["_y"].to_numpy(dtype=float)
         r = pdf[regs].to_numpy(dtype=float) if regs else np.empty((len(pdf), 0))
