@@ -462,18 +462,18 @@ def weighted_risk(daily: DataFrame, keys: Sequence[str], as_of: dt.date) -> Data
 
 
 def demand_position(
-    sales: DataFrame, as_of: dt.date, bucket: Column | None = None, unit_price: float = 5.0
+    sales: DataFrame, store: DataFrame, as_of: dt.date, bucket: Column | None = None, unit_price: float = 5.0
 ) -> DataFrame:
     """Stock estimate, stock-out frequency, unconstrained daily demand and reorder advice for every key at once.
 
-    One aggregation holds the 30, 60 and 90 day metrics of every (city, store, product); keys without recent
-    rows fall back to formulae of their ids.  ``bucket`` is the 0..99 location variation.
+    One aggregation holds the 30, 60 and 90 day metrics of every (store, product), which then meets the store
+    dimension; keys without recent rows fall back to formulae of their ids.  ``bucket`` is the 0..99 location variation.
     """
     bucket = stable_bucket("city_id", "store_id") if bucket is None else bucket
     d, h, amount = F.col("sale_date"), F.col("stock_hour6_22_cnt"), F.col("sale_amount")
     since = lambda n: d >= F.lit(as_of - dt.timedelta(days=n))
     d30, d60, d90 = since(30), since(60) & (amount > 0), since(90)
-    g = sales.groupBy("city_id", "store_id", "product_id").agg(
+    g = sales.groupBy("store_id", "product_id").agg(
         F.count_if(d30).alias("n30"),
         mean_if(d30, amount).alias("a30"),
         mean_if(d30, h).alias("h30"),
@@ -489,7 +489,8 @@ def demand_position(
         mean_if(d60, h).alias("h60"),
         mean_if(d60 & (h == 0), amount).alias("a60_stocked"),
         mean_if(d60 & (h > 0), amount).alias("a60_out"),
-    ).withColumn("_b", bucket / F.lit(100.0))
+    )
+    g = g.join(store.select("store_id", "city_id"), "store_id").withColumn("_b", bucket / F.lit(100.0))
     pid, b = F.col("product_id"), F.col("_b")
     part = lambda n: (pid % n) / F.lit(float(n))
 

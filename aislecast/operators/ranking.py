@@ -10,54 +10,65 @@ from pyspark.sql import Window as W
 
 from ..session import ensure_checkpoint_dir
 
-RANGES = 32
 
 
-def _bucketed(df: DataFrame, value: str) -> DataFrame:
-    """Adds ``_bucket``: the value range a row falls in, a pure function of the value."""
-    grid = [i / RANGES for i in range(1, RANGES)]
-    df = df.withColumn("_edges", df.agg(F.percentile_approx(value, grid, 1000)).scalar())
-    below = F.size(F.filter(F.col("_edges"), lambda e: e < F.col(value)))
-    return df.withColumn("_bucket", F.when(F.col(value).isNull(), -1).otherwise(below)).drop("_edges")
+def _ranges(df: DataFrame) -> int:
+    """Number of value ranges: grows with the cluster's shuffle partitions, at least 32."""
+    return max(32, min(2000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def _offsets(buckets: DataFrame, by: Sequence[str], n: Column) -> DataFrame:
-    """Rows in lower and in higher ranges; at most RANGES + 1 rows per group."""
-    per = buckets.groupBy(*by, "_bucket").agg(n.alias("_rows"))
-    w = W.partitionBy(*by).orderBy("_bucket") if by else W.partitionBy(F.lit(0)).orderBy("_bucket")
-    low = F.sum("_rows").over(w.rowsBetween(W.unboundedPreceding, -1))
-    high = F.sum("_rows").over(w.rowsBetween(1, W.unboundedFollowing))
-    return per.select(
-        *by, "_bucket", F.coalesce(low, F.lit(0)).alias("_below"), F.coalesce(high, F.lit(0)).alias("_above")
-    )
+def _cumulated(vc: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct values with the rows below (``_lo``), up to (``_hi``) and in all (``_total``) of their group.
+
+    ``vc`` has one row per (group and) value with its count ``_n``.  The values are cut into ranges at sketched
+    quantiles, a pure function of the value; each range is summed by itself and shifted by the ranges before it,
+    so a window holds one range of distinct values.  All passes read the same counted frame, whose shuffle is reused.
+    """
+    by = list(by)
+    n = _ranges(vc)
+    grid = [i / n for i in range(1, n)]
+    sketch = F.struct(F.percentile_approx(value, grid, n * 20).alias("edges"), F.sum("_n").alias("total"))
+    if by:
+        b = vc.join(vc.groupBy(*by).agg(sketch.alias("_s")), by)
+    else:
+        b = vc.withColumn("_s", vc.agg(sketch).scalar())
+    below = F.size(F.filter(F.col("_s.edges"), lambda e: e < F.col(value)))
+    b = b.withColumn("_bucket", below).withColumn("_total", F.col("_s.total")).drop("_s")
+    keys = by + ["_bucket"]
+    # at most one row per range and group
+    per = b.groupBy(*keys).agg(F.sum("_n").alias("_rows"))
+    w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    off = per.select(*keys, F.coalesce(F.sum("_rows").over(w), F.lit(0)).alias("_below"))
+    running = F.sum("_n").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    cum = b.join(off, keys).withColumn("_hi", F.col("_below") + running)
+    return cum.withColumn("_lo", F.col("_hi") - F.col("_n")).drop("_bucket", "_below")
+
+
+def _value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def with_global_rank(df: DataFrame, value: str, name: str = "rank", descending: bool = True) -> DataFrame:
-    """SQL RANK over the whole frame: rank within a value range plus the rows in the ranges ahead.
+    """SQL RANK over the whole frame; NULL values get no rank.
 
-    The frame (one row per entity) is read three times, so it is checkpointed first in the shared folder.
+    Ranks are worked out per distinct value and joined back, so a value shared by a third of the rows costs no
+    more than any other.  The frame (one row per entity) is read twice and checkpointed first in the shared folder.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    b = _bucketed(df.checkpoint(), value)
-    off = _offsets(b, (), F.count(F.lit(1))).withColumnRenamed("_bucket", "_b")
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    local = F.rank().over(W.partitionBy("_bucket").orderBy(order))
-    ahead = F.col("_above") if descending else F.col("_below")
-    return (
-        b.join(off, F.col("_bucket") == F.col("_b"))
-        .withColumn(name, (ahead + local).cast("int"))
-        .drop("_bucket", "_b", "_below", "_above")
-    )
+    df = df.checkpoint()
+    cum = _cumulated(_value_counts(df, value), value)
+    ahead = F.col("_total") - F.col("_hi") if descending else F.col("_lo")
+    ranks = cum.select(value, (ahead + 1).cast("int").alias(name))
+    return df.join(ranks, value, "left")
 
 
 def with_percent_rank(df: DataFrame, value: str, name: str = "pct_rank") -> DataFrame:
     """Average-method ascending rank over the row count, ties sharing their mean rank."""
     ensure_checkpoint_dir(df.sparkSession)
     df = df.checkpoint()
-    n = df.agg(F.count(value)).scalar()
-    ties = F.count(F.lit(1)).over(W.partitionBy(value))
-    ranked = with_global_rank(df, value, "_rank", descending=False)
-    return ranked.withColumn(name, (F.col("_rank") + (ties - 1) / 2) / n).drop("_rank")
+    cum = _cumulated(_value_counts(df, value), value)
+    ranks = cum.select(value, ((F.col("_lo") + 1 + (F.col("_n") - 1) / 2) / F.col("_total")).alias(name))
+    return df.join(ranks, value, "left")
 
 
 def exact_quantiles(
@@ -65,27 +76,11 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated percentiles, one row per group (or one row): ``probs`` maps output name -> p.
 
-    Values are counted first, so repeats collapse before the shuffle; ranges of values are then accumulated
-    separately, so no task holds a whole group.  Cut points, range totals and the final pass read the same
-    counted frame, whose shuffle is computed once and reused.
+    Values are counted first, so repeats collapse before the shuffle, and cumulated by ranges, so no task holds
+    a whole group.
     """
     by = list(by)
-    vc = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    grid = [i / RANGES for i in range(1, RANGES)]
-    sketch = F.struct(F.percentile_approx(value, grid, 1000).alias("edges"), F.sum("_n").alias("total"))
-    if by:
-        b = vc.join(vc.groupBy(*by).agg(sketch.alias("_s")), by)
-    else:
-        b = vc.withColumn("_s", vc.agg(sketch).scalar())
-    b = b.withColumn("_bucket", F.size(F.filter(F.col("_s.edges"), lambda e: e < F.col(value)))).withColumn("_total", F.col("_s.total")).drop("_s")
-    keys = by + ["_bucket"]
-    off = _offsets(b, by, F.sum("_n"))
-    running = F.sum("_n").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    cum = (
-        b.join(off, keys)
-        .withColumn("_hi", F.col("_below") + running)
-        .withColumn("_lo", F.col("_hi") - F.col("_n"))
-    )
+    cum = _cumulated(_value_counts(df, value, by), value, by)
     aggs = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_total") - 1)

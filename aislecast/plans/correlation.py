@@ -91,7 +91,18 @@ def bundle_opportunities(t):
     return _bundles(t)
 
 
-@query("bundle_triples", "PFL-2 JN-15 SET-4")
+_YEAR = _BUNDLES.replace("-90", "-365").replace("r>=0.4", "r>=0.1")
+
+
+@query(
+    "bundle_triples",
+    "PFL-2 JN-15 SET-4",
+    f"""{_YEAR}
+, tb AS (SELECT * FROM b ORDER BY r DESC, item_a, item_b LIMIT 2000),
+en AS (SELECT item_a h, item_b l, r, ra hr, rb lr FROM tb UNION ALL SELECT item_b, item_a, r, rb, ra FROM tb),
+t3 AS (SELECT x.h, x.l la, y.l lb, (x.r+y.r)/2 av, (x.hr+x.lr+y.lr)*30 rv FROM en x JOIN en y ON x.h=y.h AND x.l<y.l)
+SELECT h AS hub, la AS leaf_a, lb AS leaf_b, {q('av')} AS r, {q('least(0.9, av*0.7)')} AS success_probability, {q('rv')} AS revenue_potential FROM t3 WHERE rv>=1500""",
+)
 def bundle_triples(t):
     # bundles over a year of correlations, so that chains occur
     s = t.lines(since=t.day(365))
@@ -111,7 +122,15 @@ def category_correlations(t):
     return cor.category_correlations(t.sales(geo=False))
 
 
-@query("correlation_overview", "COR-3")
+@query(
+    "correlation_overview",
+    "COR-3",
+    f"""
+, c AS (SELECT second_category k, sale_date, sum(sale_amount)::DOUBLE x FROM sales GROUP BY 1,2), n AS (SELECT count(DISTINCT sale_date)::DOUBLE n FROM c),
+p AS (SELECT k, sum(x) s, sum(x*x) ss FROM c GROUP BY 1), xy AS (SELECT a.k ka, b.k kb, sum(a.x*b.x) sxy FROM c a JOIN c b ON a.sale_date=b.sale_date AND a.k<b.k GROUP BY 1,2),
+r AS (SELECT ka, kb, (n*sxy-a.s*b.s)/sqrt((n*a.ss-a.s*a.s)*(n*b.ss-b.s*b.s)) r FROM xy JOIN p a ON a.k=ka JOIN p b ON b.k=kb, n)
+SELECT count(*) AS pairs, {q('avg(abs(r))*100')} AS cross_impact, CASE WHEN max(abs(r))>0.7 THEN 'High' WHEN max(abs(r))>0.5 THEN 'Medium' ELSE 'Low' END AS substitution_risk FROM r""",
+)
 def correlation_overview(t):
     return cor.correlation_overview(cor.category_correlations(t.sales(geo=False), "second_category"))
 

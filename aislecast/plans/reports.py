@@ -13,6 +13,7 @@ from ..sources import checks, ingest, sinks
 from ..streaming.monitors import run_folder
 from . import alerts as alert_plans
 from . import correlation as correlation_plans
+from . import forecast as forecast_plans
 from . import inventory as inventory_plans
 from . import market as market_plans
 from .features import MEAN
@@ -143,13 +144,16 @@ def stored_alert_payloads(t):
     return back.select("alert_type", "store_id", "item", p.alias("p")).select("alert_type", "store_id", "item", "p.severity", "p.impact_score")
 
 
-@query("forecast_files", "SRC-19")
+@query(
+    "forecast_files",
+    "SRC-19",
+    f"""{forecast_plans._NAIVE}
+SELECT city_id, first_category, dt::VARCHAR AS date, {q('f')} AS forecast, {q('lo')} AS lower, {q('hi')} AS upper FROM naive""",
+)
 def forecast_files(t):
     """Forecasts written as JSON lines by city and read back with the folder as a column."""
-    from .forecast import _naive
-
     path = f"{run_folder(t.spark)}/forecast"
-    sinks.write_forecasts(_naive(t), path)
+    sinks.write_forecasts(forecast_plans._naive(t), path)
     return t.spark.read.schema("city_id int, first_category string, date date, forecast double, lower double, upper double").json(path)
 
 
