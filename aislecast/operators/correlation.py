@@ -45,8 +45,7 @@ def grid_correlations(
 
     ``cells`` has one row per entity and cell.  Pairs with |r| below ``min_corr`` or without variance are left out.
     """
-    n = cells.select(cell).distinct().count()
-    items = cells.agg(F.approx_count_distinct(item)).first()[0]
+    n, items = cells.agg(F.count_distinct(cell), F.approx_count_distinct(item)).first()
     kind = cells.schema[item].dataType
     out = T.StructType([T.StructField("item_a", kind), T.StructField("item_b", kind), T.StructField("r", T.DoubleType())])
 
@@ -84,8 +83,7 @@ def cooccurrence_sums(
 
     Cells may be many (store-days); they are cut into chunks, and only the chunk sums leave a task.
     """
-    n_cells = cells.agg(F.approx_count_distinct(F.struct(*cell))).first()[0]
-    n_items = cells.agg(F.approx_count_distinct(item)).first()[0]
+    n_cells, n_items = cells.agg(F.approx_count_distinct(F.xxhash64(*cell)), F.approx_count_distinct(item)).first()
     kind = cells.schema[item].dataType
     fields = [T.StructField("item_a", kind), T.StructField("item_b", kind)]
     out = T.StructType(fields + [T.StructField(c, T.DoubleType()) for c in ("xx", "xy", "yx")])

@@ -202,10 +202,10 @@ def transfer_opportunities(
             )
         )
     )
-    near = dst.select(*[F.col(c).alias("t_" + c) for c in cols if c != item], item, around.alias("_c")).select(
-        "*", "_c._x", "_c._y", "_c._z"
-    ).drop("_c")
-    pairs = src.join(near, [item, "_x", "_y", "_z"]).filter(F.col("store_id") != F.col("t_store_id"))
+    # overstock is the rarer side, so that one is spread over the touching cells
+    reach = src.select(*cols, around.alias("_c")).select("*", "_c._x", "_c._y", "_c._z").drop("_c")
+    short = dst.select(*[F.col(c).alias("t_" + c) for c in cols if c != item], item, "_x", "_y", "_z")
+    pairs = reach.join(short, [item, "_x", "_y", "_z"]).filter(F.col("store_id") != F.col("t_store_id"))
     km = haversine_km(F.col("latitude"), F.col("longitude"), F.col("t_latitude"), F.col("t_longitude"))
     out = pairs.withColumns(
         {

@@ -11,6 +11,7 @@ import fnmatch
 import os
 import sys
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -79,20 +80,23 @@ def main():
     pats = sys.argv[2:] or ["*"]
     spark, con = build_session("checker"), duck(folder)
     qs, sqls = queries(), oracle_sql()
-    bad = 0
-    for name, fn in qs.items():
-        if not any(fnmatch.fnmatch(name, p) for p in pats):
-            continue
+    only_sql = bool(os.environ.get("CHECK_SQL_ONLY"))
+    names = [n for n in qs if any(fnmatch.fnmatch(n, p) for p in pats) and (n in sqls or not only_sql)]
+
+    def check(name):
         t = time.time()
         try:
             if name in sqls:
-                msg = compare(spark, con, folder, fn, sqls[name])
+                msg = compare(spark, con.cursor(), folder, qs[name], sqls[name])
             else:
-                msg = "" if fn(spark, folder).count() else "EMPTY"
+                msg = "" if qs[name](spark, folder).count() else "EMPTY"
         except Exception as e:  # noqa: BLE001
             msg = f"{type(e).__name__}: {str(e)[:1500]}"
-        bad += bool(msg)
         print(f"{'ok ' if not msg else 'BAD'} {time.time() - t:6.2f}s {name}{' (no sql)' if name not in sqls else ''} {msg}", flush=True)
+        return bool(msg)
+
+    with ThreadPoolExecutor(int(os.environ.get("CHECK_JOBS", "1"))) as pool:
+        bad = sum(pool.map(check, names))
     print(f"{bad} bad")
 
 
