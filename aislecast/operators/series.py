@@ -149,10 +149,10 @@ def share_of_total(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def equal_width_bins(df: DataFrame, value: str, bins: int, name: str = "bin") -> DataFrame:
     """Bin 1..n of equal width between the column's minimum and maximum; the maximum falls in the last bin."""
-    low, high = df.agg(F.min(value)).scalar(), df.agg(F.max(value)).scalar()
-    x = F.col(value)
+    span = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
+    x, low, high = F.col(value), F.col("_span.low"), F.col("_span.high")
     raw = F.floor((x - low) * bins / F.nullif(high - low, F.lit(0.0))) + 1
-    return df.withColumn(name, F.least(raw, F.lit(bins)).cast("int"))
+    return df.withColumn("_span", span).withColumn(name, F.least(raw, F.lit(bins)).cast("int")).drop("_span")
 
 
 def phase_statistics(daily: DataFrame, keys: Sequence[str], phase: Column, value: str) -> DataFrame:
