@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -29,14 +30,13 @@ def build_session(app: str = "aislecast", cpus: int | str = "*", shuffle_partiti
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints: the cluster's setting, or a fresh folder where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
-    if shared is None and current is not None:
+    if current is not None:
         return current
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="aislecast-ckpt-")
-    if current is None:
-        spark.sparkContext.setCheckpointDir(shared)
-    return shared
+    spark.sparkContext.setCheckpointDir(shared)
+    return spark.sparkContext.getCheckpointDir()
