@@ -37,22 +37,21 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def running_total(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[Column], amount: str, out: str) -> DataFrame:
-    """Exclusive running total of ``amount`` per group in (bucket, order) without one task per group.
+def running_total(df: DataFrame, group: Sequence[str], buckets: Sequence[str], order: Sequence[Column], amount: str, out: str) -> DataFrame:
+    """Exclusive running total of ``amount`` per group in the order of ``buckets``, then ``order``.
 
-    Totals per (group, bucket) are few and cumulated first; rows are then cumulated inside their bucket only.
-    A bucket must hold a bounded share of a group; buckets order the rows before ``order`` does.
+    Totals per bucket are cumulated first, level by level; rows are cumulated inside their bucket only. So no group,
+    and not the whole table where ``group`` is empty, passes through one task as rows.
     """
-    part = f"__{out}_part"
-    sums = df.groupBy(*group, bucket).agg(F.sum(amount).alias("__sum"))
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*group, bucket, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
-    inner = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn(part, F.coalesce(F.sum(amount).over(inner), F.lit(0)))
-    keys = [*group, bucket]
-    o = offsets.select(*[F.col(k).alias(f"__o_{k}") for k in keys], "__offset")
-    on = [F.col(k).eqNullSafe(F.col(f"__o_{k}")) for k in keys]
-    return rows.join(o, on).withColumn(out, F.col(part) + F.col("__offset")).drop(part, "__offset", *[f"__o_{k}" for k in keys])
+    keys = [*group, *buckets]
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = df.withColumn(out, F.coalesce(F.sum(amount).over(so_far), F.lit(0)))
+    if not buckets:
+        return inside
+    sums = df.groupBy(*keys).agg(F.sum(amount).alias("__sum"))
+    before = f"{out}_before"
+    offsets = running_total(sums, group, buckets[:-1], [F.col(buckets[-1])], "__sum", before).drop("__sum")
+    return inside.join(offsets, keys).withColumn(out, F.col(out) + F.col(before)).drop(before)
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:

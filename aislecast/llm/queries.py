@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import linededup
+from . import linededup, mixing, simhash
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
+    "op3_mixing": mixing.op3_mixing,
+    "op10_simhash": simhash.op10_simhash,
 }
 SQL = {
     "op1_line_dedup": linededup.SQL,
+    "op3_mixing": mixing.SQL,
 }
