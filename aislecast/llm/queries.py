@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, simhash, winnowing
+from . import bpe, linededup, mixing, simhash, winnowing
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op3_mixing": mixing.op3_mixing,
+    "op4_bpe": bpe.op4_bpe,
     "op9_winnowing": winnowing.op9_winnowing,
     "op10_simhash": simhash.op10_simhash,
 }
