@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Cache, table
 
 # fixed value: the split pattern of byte-level BPE
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -54,25 +54,6 @@ def lookahead(merges: list[tuple[int, int, int]], size: dict[int, int]) -> int:
     return longest
 
 
-class _Cache(dict):
-    """Tokens of a piece, merged when first asked for; two generations of ``limit`` pieces, the older one is let go."""
-
-    def __init__(self, merge, limit: int):
-        super().__init__()
-        self.merge, self.limit, self.older = merge, limit, {}
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = tuple(self.merge(piece))
-        if len(piece) <= 64:
-            if len(self) >= self.limit:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class Transducer:
     def __init__(self, vocabulary: bytes, chunk: int = 1 << 16, buffer: int = 512, cache: int = 250_000):
         spec = json.loads(vocabulary)
@@ -96,7 +77,7 @@ class Transducer:
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.chunk, self.buffer = chunk, buffer
-        self.pieces = _Cache(self._piece, cache)
+        self.pieces = Cache(self._piece, cache, 64)
 
     def _merge(self, ids: list[int]) -> list[int]:
         """Merges by rank, the leftmost of equal ones first, until no pair is left."""
@@ -115,7 +96,10 @@ class Transducer:
                 ranks[i] = rank((new, ids[i + 1]), none)
         return ids
 
-    def _piece(self, piece: str) -> Iterator[int]:
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        return tuple(self._tokens(piece))
+
+    def _tokens(self, piece: str) -> Iterator[int]:
         data = piece.encode("utf-8", "surrogatepass")
         of_byte, size = self.of_byte, self.bytes
         start = 0

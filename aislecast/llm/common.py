@@ -89,3 +89,27 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+
+
+class Cache(dict):
+    """Values of ``make`` by text, made when first asked for; two generations of ``limit`` texts, the older one is let go.
+
+    Texts longer than ``longest`` are made anew each time, so the memory is bounded.
+    """
+
+    def __init__(self, make, limit: int, longest: int):
+        super().__init__()
+        self.make, self.limit, self.longest, self.older = make, limit, longest, {}
+
+    def __missing__(self, text: str):
+        if len(text) > self.longest:
+            return self.make(text)
+        if text in self.older:
+            value = self.older[text]
+        else:
+            value = self.make(text)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[text] = value
+        return value

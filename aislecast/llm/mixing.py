@@ -65,14 +65,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, passes: int = 3) -> D
     budget = F.lit(packets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     named = packets.join(goals.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     served = named.where("size > 0")
-    queued = running_total(served, ["rank"], ["b1", "b2"], [F.col("place"), F.col("digest")], "size", "ahead")
+    queued = stored(running_total(served, ["rank"], ["b1", "b2"], [F.col("place"), F.col("digest")], "size", "ahead"), "queued")
     goal = F.ceil("target").cast("long")
     start = F.col("pass") * F.col("source_size") + F.col("ahead")
     packet = (
         queued.select("*", F.explode(F.array(*[F.lit(p) for p in range(passes)])).alias("pass"))
         .withColumn("length", F.least(F.col("size"), goal - start))
-        .where("length > 0 or pass = 0")
-        .withColumn("length", F.greatest("length", F.lit(0)))
+        .where("length > 0")
         .withColumn("finish", F.try_divide(start + F.col("length"), F.col("target")))
         .withColumn("f1", F.least(F.lit(255), F.floor(F.col("finish") * 256)).cast("int"))
         .withColumn("f2", F.least(F.lit(65535), F.floor(F.col("finish") * 65536)).cast("int"))
@@ -80,10 +79,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, passes: int = 3) -> D
     order = [F.col("finish"), F.col("rank"), F.col("ahead"), F.col("pass")]
     line = running_total(packet, [], ["f1", "f2"], order, "length", "position")
     cut = F.greatest(F.lit(0), F.least(F.col("length"), budget - F.col("position")))
-    keys = ["doc_id", "source", "digest", "size", "source_size", "target", "rank", "ahead"]
-    taken = line.groupBy(*keys).agg(F.sum(cut).alias("taken")).drop("rank", "ahead")
-    idle = named.where("size = 0").select(*taken.columns[:-1], F.lit(0).cast("long").alias("taken"))
-    return taken.union(idle)
+    out, nothing = ["doc_id", "source", "digest", "size", "source_size", "target"], F.lit(0).cast("long").alias("taken")
+    taken = line.groupBy(*out, "rank", "ahead").agg(F.sum(cut).alias("taken")).select(*out, "taken")
+    late = queued.where(F.col("ahead") >= goal).select(*out, nothing)
+    return taken.union(late).union(named.where("size = 0").select(*out, nothing))
 
 
 def op3_mixing(spark, folder):
