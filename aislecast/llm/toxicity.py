@@ -247,13 +247,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, start: Sequence[float], ridge: float
     x = np.column_stack([np.ones(len(x)), x])
     penalty = np.full(x.shape[1], ridge)
     w = start = np.array(start)
+
+    def loss(w):
+        z = x @ w
+        return np.sum(np.logaddexp(0, z) - y * z) + 0.5 * np.sum(penalty * (w - start) ** 2)
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (y - p) - penalty * (w - start)
         bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(bend, slope)
+        step, now = np.linalg.solve(bend, slope), loss(w)
+        while np.abs(step).max() > 1e-9 and loss(w + step) > now:
+            step = step / 2
         w = w + step
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() <= 1e-9:
             break
     return w
 
