@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, mixing, simhash, toxicity, winnowing
+from . import bpe, linededup, mixing, ngrams, simhash, toxicity, winnowing
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_bpe": bpe.op4_bpe,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op7_lm_scoring": ngrams.op7_lm_scoring,
     "op9_winnowing": winnowing.op9_winnowing,
     "op10_simhash": simhash.op10_simhash,
 }
