@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, mixing, ngrams, simhash, toxicity, winnowing
+from . import bpe, linededup, mixing, ngrams, simhash, toxicity, vectors, winnowing
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -10,10 +10,12 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_lm_scoring": ngrams.op7_lm_scoring,
+    "op6_embedding_dedup": vectors.op6_embedding_dedup,
     "op9_winnowing": winnowing.op9_winnowing,
     "op10_simhash": simhash.op10_simhash,
 }
 SQL = {
     "op1_line_dedup": linededup.SQL,
     "op3_mixing": mixing.SQL,
+    "op6_embedding_dedup": vectors.SQL,
 }
