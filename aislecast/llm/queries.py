@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, mixing, ngrams, simhash, toxicity, vectors, winnowing
+from . import bpe, linededup, mixing, ngrams, rotation, simhash, toxicity, vectors, winnowing
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_lm_scoring": ngrams.op7_lm_scoring,
     "op6_embedding_dedup": vectors.op6_embedding_dedup,
+    "op8_chat_rotation": rotation.op8_chat_rotation,
     "op9_winnowing": winnowing.op9_winnowing,
     "op10_simhash": simhash.op10_simhash,
 }
@@ -18,4 +19,5 @@ SQL = {
     "op1_line_dedup": linededup.SQL,
     "op3_mixing": mixing.SQL,
     "op6_embedding_dedup": vectors.SQL,
+    "op8_chat_rotation": rotation.SQL,
 }
