@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, mixing, ngrams, rotation, simhash, toxicity, vectors, winnowing
+from . import bpe, linededup, mixing, ngrams, pii, rotation, simhash, toxicity, vectors, winnowing
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
+    "op2_pii": pii.op2_pii,
     "op3_mixing": mixing.op3_mixing,
     "op4_bpe": bpe.op4_bpe,
     "op5_toxicity": toxicity.op5_toxicity,
