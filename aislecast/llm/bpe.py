@@ -20,6 +20,7 @@ import json
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -152,8 +153,11 @@ class Transducer:
             yield machine.decode(b"".join(map(look, some)))
         yield machine.decode(b"", final=True)
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """(number of tokens, sha256 of the ids joined by commas, sha256 of the decoded text), as a stream."""
+    def digests(self, text: str, keep: list | None = None) -> tuple[int, str, str]:
+        """(number of tokens, sha256 of the ids joined by commas, sha256 of the decoded text), as a stream.
+
+        ``keep`` gets the ids, chunk by chunk.
+        """
         named, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
         name, look = self.names.__getitem__, self.bytes.__getitem__
         machine = codecs.getincrementaldecoder("utf-8")("replace")
@@ -161,6 +165,8 @@ class Transducer:
             if ids:
                 named.update((("," if n else "") + ",".join(map(name, ids))).encode())
                 n += len(ids)
+                if keep is not None:
+                    keep.append(np.array(ids, np.int32))
                 decoded.update(machine.decode(b"".join(map(look, ids))).encode("utf-8"))
         decoded.update(machine.decode(b"", final=True).encode("utf-8"))
         return n, named.hexdigest(), decoded.hexdigest()
@@ -233,5 +239,16 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return _per_text(docs, lambda t, text: t.digests(text), names, kinds, path)
 
 
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): ``digests`` with the ids themselves."""
+
+    def make(t, text):
+        kept: list[np.ndarray] = []
+        return *t.digests(text, kept), np.concatenate(kept) if kept else np.zeros(0, np.int32)
+
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    return _per_text(docs, make, names, [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())], path)
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return digests(table(spark, folder, "documents"))

@@ -85,6 +85,33 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, passes: int = 3) -> D
     return taken.union(late).union(named.where("size = 0").select(*out, nothing))
 
 
+def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, passes: int = 3) -> DataFrame:
+    """The rows of ``docs`` in the mix: each as often as it is taken whole, and cut to its first words where a part is taken.
+
+    ``n_chars`` follows a cut text. Equal rows are told apart by a number, so each gets its own share.
+    """
+    same = Window.partitionBy("id", "digest", "of").orderBy("id")
+    shares = mix(docs, weights, passes).where("taken > 0")
+    shares = shares.select(F.col("doc_id").alias("id"), F.col("source").alias("of"), "digest", "size", "taken")
+    shares = shares.withColumn("copy", F.row_number().over(same.orderBy(F.desc("taken"))))
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("of"),
+        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"),
+    ).withColumn("copy", F.row_number().over(same))
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("id", "of", "digest", "copy")]
+    taken = rows.alias("r").join(shares.alias("s"), on).select("r.row", "s.size", "s.taken")
+    whole, rest = F.floor(F.col("taken") / F.col("size")), F.pmod("taken", "size")
+    words = F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>"))
+    served = taken.withColumn("words", F.explode(F.concat(F.array_repeat("size", whole.cast("int")), words)))
+    blank = r"[\x20\x09-\x0D]"
+    pattern = F.concat(F.lit(f"^(?:{blank}*+{NOT_BLANK}+){{"), F.col("words"), F.lit("}+"))
+    text = F.when(F.col("words") < F.col("size"), F.regexp_substr("row.text", pattern)).otherwise(F.col("row.text"))
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(F.col("words") < F.col("size"), F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return served.select(row.alias("row")).select("row.*")
+
+
 def op3_mixing(spark, folder):
     return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
