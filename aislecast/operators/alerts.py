@@ -51,15 +51,13 @@ def low_stock(
 
 
 def demand_anomalies(
-    daily: DataFrame, since: dt.date, item: str = "product_id", threshold: float = 2.0, top: int | None = 50, unit_price: float = 25.0
+    daily: DataFrame, since: dt.date, item: str = "product_id", threshold: float = 2.0, unit_price: float = 25.0
 ) -> DataFrame:
     """Recent rows whose z-score against the moving baseline reaches the threshold (filtered after the window)."""
     z = moving_baseline(daily, ["store_id", item], "units_sold").filter(
         (F.col("sale_date") >= F.lit(since)) & (F.col("baseline_std") > 0) & (F.abs("z_score") >= threshold)
     )
     z = z.withColumn("_a", F.abs("z_score"))
-    if top is not None:
-        z = z.orderBy(F.desc("_a"), "store_id", item, "sale_date").limit(top)
     return _alert(
         z,
         F.when(F.col("z_score") > 0, "demand_spike").otherwise("anomaly_detection"),
@@ -112,7 +110,6 @@ def promotion_opportunities(
     min_promo_days: int = 5,
     min_lift: float = 1.2,
     min_days: float = 14.0,
-    top: int = 20,
     unit_price: float = 25.0,
 ) -> DataFrame:
     """Well-stocked series that have answered promotions."""
@@ -126,7 +123,6 @@ def promotion_opportunities(
         F.count_if(disc).alias("_pd"),
     ).filter((F.col("_n") >= min_rows) & (F.col("_stock") > F.col("_avg") * cover) & (F.col("_pd") >= min_promo_days))
     g = g.withColumn("_lift", F.when(F.col("_p").isNotNull() & (F.col("_r") > 0), F.col("_p") / F.col("_r")).otherwise(1.0))
-    g = g.orderBy((F.col("_stock") / F.col("_avg")).desc(), "store_id", item).limit(top)
     g = g.withColumn("_days", F.col("_stock") / F.greatest(F.col("_avg"), F.lit(1.0)))
     g = g.filter((F.col("_lift") >= min_lift) & (F.col("_days") > min_days))
     return _alert(

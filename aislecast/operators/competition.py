@@ -16,7 +16,7 @@ def _all():
     return W.partitionBy(F.lit(0))
 
 
-def category_profile(sales: DataFrame, min_rows: int = 30, unit_price: float = 25.0, top: int = 10) -> DataFrame:
+def category_profile(sales: DataFrame, min_rows: int = 30, unit_price: float = 25.0) -> DataFrame:
     """Revenue, spread, coverage and place of each category."""
     g = sales.groupBy("first_category").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -26,8 +26,7 @@ def category_profile(sales: DataFrame, min_rows: int = 30, unit_price: float = 2
         F.count_distinct("product_id").alias("product_variety"),
         (F.sum("units_sold") * unit_price).alias("estimated_revenue"),
     ).filter(F.col("_n") >= min_rows)
-    ranked = g.withColumn("revenue_rank", F.rank().over(_all().orderBy(F.desc("estimated_revenue")))).drop("_n")
-    return ranked.orderBy("revenue_rank", "first_category").limit(top)
+    return g.withColumn("revenue_rank", F.rank().over(_all().orderBy(F.desc("estimated_revenue")))).drop("_n")
 
 
 def threats(sales: DataFrame, as_of: dt.date, recent: int = 14, span: int = 45, min_rows: int = 20, decline: float = 0.10, unit_price: float = 25.0) -> DataFrame:
@@ -48,9 +47,9 @@ def threats(sales: DataFrame, as_of: dt.date, recent: int = 14, span: int = 45,
 
 
 def opportunities(
-    sales: DataFrame, min_rows: int = 20, max_share: float = 0.15, min_products: int = 5, top: int = 6, unit_price: float = 25.0, category: str = "first_category"
+    sales: DataFrame, min_rows: int = 20, max_share: float = 0.15, min_products: int = 5, unit_price: float = 25.0, category: str = "first_category"
 ) -> DataFrame:
-    """Small categories with enough products, by the sum of their performance and revenue ranks."""
+    """Small categories with enough products, with their places by performance and revenue."""
     g = sales.groupBy(category).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_distinct("product_id").alias("product_count"),
@@ -65,8 +64,7 @@ def opportunities(
             "revenue_rank": F.rank().over(_all().orderBy(F.desc("total_revenue"))),
         }
     ).filter((F.col("market_share") < max_share) & (F.col("product_count") >= min_products))
-    best = g.orderBy((F.col("performance_rank") + F.col("revenue_rank")).desc(), category).limit(top)
-    return best.withColumns(
+    return g.withColumns(
         {
             "revenue_potential": F.col("total_revenue") * 1.5,
             "success_probability": F.least(F.lit(0.85), F.lit(0.4) + F.col("product_count") / 20),
@@ -76,7 +74,7 @@ def opportunities(
     ).drop("_n")
 
 
-def pricing(sales: DataFrame, min_rows: int = 20, unit_price: float = 25.0, top: int = 15, tiers=((75, "premium"), (40, "mid_market"), (20, "value"))) -> DataFrame:
+def pricing(sales: DataFrame, min_rows: int = 20, unit_price: float = 25.0, tiers=((75, "premium"), (40, "mid_market"), (20, "value"))) -> DataFrame:
     """Transaction value, tier, volume share and price pressure of each category."""
     v = F.col("units_sold") * unit_price
     g = sales.filter(F.col("units_sold") > 0).groupBy("first_category").agg(
@@ -86,7 +84,7 @@ def pricing(sales: DataFrame, min_rows: int = 20, unit_price: float = 25.0, top:
         F.min(v).alias("min_value"),
         F.max(v).alias("max_value"),
         F.sum("units_sold").alias("total_volume"),
-    ).filter(F.col("sample_size") >= min_rows).orderBy(F.desc("total_volume"), "first_category").limit(top)
+    ).filter(F.col("sample_size") >= min_rows)
     total = g.agg(F.sum("total_volume")).scalar()
     return g.withColumns(
         {

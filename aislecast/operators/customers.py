@@ -83,7 +83,7 @@ def segment_overview(named: DataFrame) -> DataFrame:
     )
 
 
-def seasonal_patterns(sales: DataFrame, min_rows: int = 10, min_cv: float = 0.3, unit_price: float = 25.0, top: int = 10) -> DataFrame:
+def seasonal_patterns(sales: DataFrame, min_rows: int = 10, min_cv: float = 0.3, unit_price: float = 25.0) -> DataFrame:
     """Categories whose monthly means vary by more than ``min_cv`` of their mean."""
     month = sales.groupBy("first_category", F.month("sale_date").alias("_m")).agg(
         F.count(F.lit(1)).alias("_n"), mean_of("units_sold").alias("_a"), (F.sum("units_sold") * unit_price).alias("_r")
@@ -95,7 +95,7 @@ def seasonal_patterns(sales: DataFrame, min_rows: int = 10, min_cv: float = 0.3,
         F.sum("_r").alias("annual_revenue"),
     )
     out = g.withColumn("variation", ratio("_s", "_o")).filter(F.col("_s") > F.col("_o") * min_cv)
-    return out.select("first_category", "variation", "peak_to_low", "annual_revenue").orderBy(F.desc("variation"), "first_category").limit(top)
+    return out.select("first_category", "variation", "peak_to_low", "annual_revenue")
 
 
 def promotion_response(sales: DataFrame, min_rows: int = 10, min_lift: float = 1.2, unit_price: float = 25.0) -> DataFrame:
@@ -139,16 +139,15 @@ def lifecycle(activity: DataFrame, as_of: dt.date, min_purchases: int = 3) -> Da
     )
 
 
-def preferences(sales: DataFrame, product: DataFrame, min_rows: int = 10, top: int = 30, unit_price: float = 25.0) -> DataFrame:
-    """Categories among the ``top`` products by revenue."""
+def preferences(sales: DataFrame, product: DataFrame, min_rows: int = 10, unit_price: float = 25.0) -> DataFrame:
+    """Products, revenue and units of each category, over products with at least ``min_rows`` sales."""
     g = sales.groupBy("product_id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum("units_sold").alias("_u"),
         (F.sum("units_sold") * unit_price).alias("_r"),
         mean_of("units_sold").alias("_a"),
     ).filter(F.col("_n") >= min_rows)
-    best = g.orderBy(F.desc("_r"), "product_id").limit(top)
-    return best.join(product.select("product_id", "first_category"), "product_id").groupBy("first_category").agg(
+    return g.join(product.select("product_id", "first_category"), "product_id").groupBy("first_category").agg(
         F.count(F.lit(1)).alias("products"),
         F.sum("_r").alias("revenue"),
         F.avg("_a").alias("avg_sales"),

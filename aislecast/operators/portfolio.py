@@ -36,13 +36,12 @@ def product_performance(sales: DataFrame, min_rows: int = 7, unit_price: float =
     return with_global_rank(with_global_rank(out, "total_revenue", "revenue_rank"), "avg_daily_sales", "sales_rank")
 
 
-def performance_segments(perf: DataFrame, pool: int = 50, top: int = 10, stars: int = 5) -> DataFrame:
-    """Best ten, weakest ten and five stars among the ``pool`` products with most revenue (a report of at most 25 rows)."""
+def performance_segments(perf: DataFrame, top: int = 10, stars: int = 5) -> DataFrame:
+    """Best ten, weakest ten and five stars of all products (a report of at most 25 rows)."""
     cols = ["product_id", "total_revenue", "avg_daily_sales", "star_score"]
-    pooled = perf.orderBy(F.desc("total_revenue"), "product_id").limit(pool).select(*cols)
 
     def pick(label, *order, n):
-        return pooled.orderBy(*order).limit(n).select(F.lit(label).alias("segment"), *cols)
+        return perf.orderBy(*order).limit(n).select(F.lit(label).alias("segment"), *cols)
 
     return (
         pick("top", F.desc("total_revenue"), F.asc("product_id"), n=top)
@@ -86,9 +85,9 @@ def bundles(
     )
 
 
-def bundle_triples(pairs: DataFrame, top: int = 6, min_revenue: float = 1500.0) -> DataFrame:
-    """Sets of three from two of the ``top`` strongest bundles that share exactly one product."""
-    best = pairs.orderBy(F.desc("r"), "item_a", "item_b").limit(top)
+def bundle_triples(pairs: DataFrame, min_corr: float = 0.7, min_revenue: float = 1500.0) -> DataFrame:
+    """Sets of three from two bundles of at least ``min_corr`` that share exactly one product."""
+    best = pairs.filter(F.col("r") >= min_corr)
     ends = best.select(F.col("item_a").alias("hub"), F.col("item_b").alias("leaf"), "r", F.col("revenue_a").alias("hr"), F.col("revenue_b").alias("lr"))
     ends = ends.unionByName(
         best.select(F.col("item_b").alias("hub"), F.col("item_a").alias("leaf"), "r", F.col("revenue_b").alias("hr"), F.col("revenue_a").alias("lr"))

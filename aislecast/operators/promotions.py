@@ -117,13 +117,11 @@ def effectiveness(sales: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def recommend_discounts(sales: DataFrame, keys: Sequence[str], levels: int = 3, min_rows: int = 2) -> DataFrame:
-    """The lowest useful discount levels (5 to 60 %) of each key with uplift, length and return.
+def recommend_discounts(sales: DataFrame, keys: Sequence[str], min_rows: int = 2) -> DataFrame:
+    """Every useful discount level (5 to 60 %) of each key with uplift, length and return.
 
     A level counts from ``min_rows`` sales on; negative uplift is reported as 0.
     """
-    from pyspark.sql import Window as W
-
     pct = F.round(F.col("discount") * 100, 2).cast("double")
     base = sales.groupBy(*keys).agg(F.coalesce(mean_if(F.col("discount") == 0, "sale_amount"), mean_of("sale_amount")).alias("_base"))
     per = (
@@ -131,8 +129,7 @@ def recommend_discounts(sales: DataFrame, keys: Sequence[str], levels: int = 3,
         .filter(F.col("discount_pct").between(5, 60))
         .groupBy(*keys, "discount_pct")
         .agg(F.count(F.lit(1)).alias("rows"), mean_of("sale_amount").alias("_a"))
-        .withColumn("_l", F.row_number().over(W.partitionBy(*keys).orderBy("discount_pct")))
-        .filter((F.col("_l") <= levels) & (F.col("rows") >= min_rows))
+        .filter(F.col("rows") >= min_rows)
         .join(base, list(keys))
     )
     up = ratio(F.col("_a") - F.col("_base"), "_base") * 100

@@ -150,13 +150,13 @@ def sales_profile(sales: DataFrame) -> DataFrame:
     return by("holiday", holiday).unionByName(by("discount", discount_band(F.col("discount"))))
 
 
-def weather_profile(weather: DataFrame, top: int = 10) -> DataFrame:
-    """Weather minimum, mean and maximum of the cities with the most days."""
+def weather_profile(weather: DataFrame) -> DataFrame:
+    """Days and weather minimum, mean and maximum of each city."""
     cols = ("avg_temperature", "avg_humidity", "precpt", "avg_wind_level")
     aggs = [F.count(F.lit(1)).alias("days")]
     for c in cols:
         aggs += [F.min(c).alias(f"{c}_min"), F.avg(c).alias(f"{c}_mean"), F.max(c).alias(f"{c}_max")]
-    return weather.groupBy("city_id").agg(*aggs).orderBy(F.desc("days"), "city_id").limit(top)
+    return weather.groupBy("city_id").agg(*aggs)
 
 
 def store_statistics(sales: DataFrame) -> DataFrame:
@@ -195,7 +195,9 @@ def daily_view(sales: DataFrame) -> DataFrame:
     )
 
 
-def entity_day_matrix(daily: DataFrame, entity: str, entities: Sequence, value: str) -> DataFrame:
-    """Day x entity matrix (mean, zero where absent) for a listed, bounded set of entities."""
+def entity_day_matrix(daily: DataFrame, entity: str, value: str, entities: Sequence | None = None) -> DataFrame:
+    """Day x entity matrix (mean, zero where absent); the entities are the labels of a short dimension, all of them by default."""
+    if entities is None:
+        entities = sorted(r[0] for r in daily.select(entity).distinct().dropna().collect())
     wide = daily.groupBy("sale_date").pivot(entity, list(entities)).agg(mean_of(value))
     return wide.select("sale_date", *[F.coalesce(F.col(f"`{e}`"), F.lit(0.0)).alias(str(e).lower()) for e in entities])

@@ -41,7 +41,7 @@ a2 AS (SELECT CASE WHEN z>0 THEN 'demand_spike' ELSE 'anomaly_detection' END AS
 
 def _anomalies(t):
     d = t.daily("store_id", "first_category", geo=False, since=t.day(730))
-    return alerts.demand_anomalies(d, t.day(90), "first_category", top=None)
+    return alerts.demand_anomalies(d, t.day(90), "first_category")
 
 
 @query("alert_demand_anomaly", "ALR-2 WIN-4", f"{_ANOM}\nSELECT {_OUT} FROM a2")
@@ -71,14 +71,14 @@ def alert_weather_impact(t):
 _PRO = f"""
 , pg AS (SELECT store_id, first_category, {MEAN('units_sold')} av, max(stock_level) st, {MEAN('units_sold', 'discount>0')} p, {MEAN('units_sold', 'discount=0')} r FROM sales
   WHERE sale_date>=(SELECT d FROM ref)-730 GROUP BY 1,2 HAVING count(*)>=30 AND count(*) FILTER (WHERE discount>0)>=5),
-pl AS (SELECT *, CASE WHEN p IS NOT NULL AND r>0 THEN p/r ELSE 1 END lf FROM pg WHERE st>av*5 ORDER BY st/av DESC, store_id, first_category LIMIT 200),
+pl AS (SELECT *, CASE WHEN p IS NOT NULL AND r>0 THEN p/r ELSE 1 END lf FROM pg WHERE st>av*5),
 a4 AS (SELECT 'promotion_opportunity' AS alert_type, 'medium' AS severity, store_id, first_category AS item, st/greatest(av,1) AS current_value, least(100::DOUBLE,(lf-1)*100) AS impact_score,
   2 AS urgency_level, (lf-1)*av*7*25 AS revenue_impact FROM pl WHERE lf>=1.2 AND st/greatest(av,1)>6)"""
 
 
 def _promo(t):
     s = t.sales(geo=False, since=t.day(730))
-    return alerts.promotion_opportunities(s, "first_category", cover=5, min_days=6, top=200)
+    return alerts.promotion_opportunities(s, "first_category", cover=5, min_days=6)
 
 
 @query("alert_promotion_opportunity", "ALR-4", f"{_PRO}\nSELECT {_OUT} FROM a4")

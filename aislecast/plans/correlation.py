@@ -98,7 +98,7 @@ _YEAR = _BUNDLES.replace("-90", "-365").replace("r>=0.4", "r>=0.1")
     "bundle_triples",
     "PFL-2 JN-15 SET-4",
     f"""{_YEAR}
-, tb AS (SELECT * FROM b ORDER BY r DESC, item_a, item_b LIMIT 2000),
+, tb AS (SELECT * FROM b WHERE r>=0.3),
 en AS (SELECT item_a h, item_b l, r, ra hr, rb lr FROM tb UNION ALL SELECT item_b, item_a, r, rb, ra FROM tb),
 t3 AS (SELECT x.h, x.l la, y.l lb, (x.r+y.r)/2 av, (x.hr+x.lr+y.lr)*30 rv FROM en x JOIN en y ON x.h=y.h AND x.l<y.l)
 SELECT h AS hub, la AS leaf_a, lb AS leaf_b, {q('av')} AS r, {q('least(0.9, av*0.7)')} AS success_probability, {q('rv')} AS revenue_potential FROM t3 WHERE rv>=1500""",
@@ -106,7 +106,7 @@ SELECT h AS hub, la AS leaf_a, lb AS leaf_b, {q('av')} AS r, {q('least(0.9, av*0
 def bundle_triples(t):
     # bundles over a year of correlations, so that chains occur
     s = t.lines(since=t.day(365))
-    return pfl.bundle_triples(pfl.bundles(s, s, min_corr=0.1, min_rows=1), top=2000)
+    return pfl.bundle_triples(pfl.bundles(s, s, min_corr=0.1, min_rows=1), min_corr=0.3)
 
 
 @query(
@@ -244,9 +244,8 @@ def product_performance(t):
     "performance_segments",
     "PFL-1 SRT-2",
     f"""{_PERF}
-, pool AS (SELECT * FROM pq ORDER BY tr DESC, product_id LIMIT 50),
-u AS ((SELECT 'top' seg, * FROM pool ORDER BY tr DESC, product_id LIMIT 10) UNION ALL (SELECT 'under', * FROM pool ORDER BY tr, product_id DESC LIMIT 10)
-  UNION ALL (SELECT 'star', * FROM pool ORDER BY star DESC, product_id LIMIT 5))
+, u AS ((SELECT 'top' seg, * FROM pq ORDER BY tr DESC, product_id LIMIT 10) UNION ALL (SELECT 'under', * FROM pq ORDER BY tr, product_id DESC LIMIT 10)
+  UNION ALL (SELECT 'star', * FROM pq ORDER BY star DESC, product_id LIMIT 5))
 SELECT seg AS segment, product_id, {q('tr')} AS total_revenue, {q('av')} AS avg_daily_sales, {q('star')} AS star_score FROM u""",
 )
 def performance_segments(t):

@@ -65,25 +65,28 @@ def ensemble_forecast(t):
     "forecast_with_regressors",
     "FC-5",
     f"""
-, d AS (SELECT city_id, sale_date, sum(sale_amount) AS a FROM sales WHERE sale_date<=(SELECT d FROM ref)-60 GROUP BY 1,2),
+, d AS (SELECT city_id, sale_date, sum(sale_amount) AS a FROM sales GROUP BY 1,2),
 r AS (SELECT *, row_number() OVER (PARTITION BY city_id ORDER BY sale_date DESC) dn FROM d),
 ts AS (SELECT city_id, {MEAN('a', 'dn<=30')} m, max(sale_date) ld FROM r GROUP BY 1),
 nf AS (SELECT city_id, (ld+h.i::INT) dt, m*CASE WHEN isodow(ld+h.i::INT)>=6 THEN 0.8::DOUBLE ELSE 1 END p FROM ts, range(1,31) h(i)),
-pd AS (SELECT s.city_id, x::DATE dt, count(*) n, avg(discount_percentage) dp FROM (SELECT store_id, discount_percentage, unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) x FROM promotions WHERE store_id IS NOT NULL) JOIN store s USING (store_id) GROUP BY 1,2)
+pd AS (SELECT s.city_id, x::DATE dt, count(*) n, avg(discount_percentage) dp FROM (SELECT store_id, discount_percentage, unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) x FROM promotions WHERE store_id IS NOT NULL) JOIN store s USING (store_id) GROUP BY 1,2),
+nw AS (SELECT city_id, month(date) mm, avg(avg_temperature) avg_temperature, avg(precpt) precpt FROM weather GROUP BY 1,2)
 SELECT nf.city_id, nf.dt::VARCHAR AS date, {q('p')} AS forecast, {q('avg_temperature')} AS avg_temperature, {q('precpt')} AS precpt, coalesce(n,0)::BIGINT AS promo_count, {q('coalesce(dp,0)')} AS promo_discount
-FROM nf LEFT JOIN weather w ON w.city_id=nf.city_id AND w.date=nf.dt LEFT JOIN pd ON pd.city_id=nf.city_id AND pd.dt=nf.dt""",
+FROM nf LEFT JOIN nw w ON w.city_id=nf.city_id AND w.mm=month(nf.dt) LEFT JOIN pd ON pd.city_id=nf.city_id AND pd.dt=nf.dt""",
 )
 def forecast_with_regressors(t):
     from ..operators.relational import promotion_days
 
-    s = t.sales(category=False, until=t.day(60))
+    s = t.sales(category=False)
     d = s.groupBy("city_id", "sale_date").agg(F.sum("sale_amount").alias("sale_amount"))
     f = fc.naive_forecast(d, ["city_id"], 30).drop("lower", "upper")
     own = promotion_days(t.promotions.filter(F.col("store_id").isNotNull())).join(t.store.select("store_id", "city_id"), "store_id")
     p = own.groupBy("city_id", F.col("sale_date").alias("date")).agg(
         F.count(F.lit(1)).alias("promo_count"), F.avg("discount_percentage").alias("promo_discount")
     )
-    w = t.weather.select("city_id", "date", "avg_temperature", "precpt")
+    # no weather is known ahead: the mean of the city's month stands for it
+    normal = t.weather.groupBy("city_id", F.month("date").alias("month")).agg(F.avg("avg_temperature").alias("avg_temperature"), F.avg("precpt").alias("precpt"))
+    w = f.select("city_id", "date", F.month("date").alias("month")).join(normal, ["city_id", "month"]).drop("month")
     return fc.with_future_regressors(f, w, p)
 
 

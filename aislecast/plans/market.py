@@ -108,7 +108,7 @@ def customer_lifecycle(t):
     f"""
 , m AS (SELECT first_category, month(sale_date) mm, {MEAN('units_sold')} a, sum(units_sold)*25.0::DOUBLE r FROM sales GROUP BY 1,2 HAVING count(*)>=10),
 g AS (SELECT first_category, avg(a) o, stddev_samp(a) s, max(a)/min(a) pl, sum(r) ar FROM m GROUP BY 1)
-SELECT first_category, {q('s/o')} AS variation, {q('pl')} AS peak_to_low, {q('ar')} AS annual_revenue FROM g WHERE s>o*0.01 ORDER BY s/o DESC, first_category LIMIT 10""",
+SELECT first_category, {q('s/o')} AS variation, {q('pl')} AS peak_to_low, {q('ar')} AS annual_revenue FROM g WHERE s>o*0.01""",
 )
 def customer_seasonality(t):
     return cus.seasonal_patterns(t.sales(geo=False), min_cv=0.01)
@@ -141,7 +141,7 @@ def customer_weekday_profile(t):
     "customer_preferences",
     "CUS-8",
     f"""
-, g AS (SELECT product_id, sum(units_sold)::BIGINT u, sum(units_sold)*25.0::DOUBLE r, {MEAN('units_sold')} a FROM lines GROUP BY 1 HAVING count(*)>=10 ORDER BY r DESC, product_id LIMIT 30)
+, g AS (SELECT product_id, sum(units_sold)::BIGINT u, sum(units_sold)*25.0::DOUBLE r, {MEAN('units_sold')} a FROM lines GROUP BY 1 HAVING count(*)>=10)
 SELECT first_category, count(*) AS products, {q('sum(r)')} AS revenue, {q('avg(a)')} AS avg_sales, sum(u)::BIGINT AS total_units FROM g JOIN product USING (product_id) GROUP BY 1""",
 )
 def customer_preferences(t):
@@ -157,7 +157,7 @@ def customer_preferences(t):
     f"""
 , g AS (SELECT first_category, {MEAN('units_sold')} a, stddev_samp(units_sold::DOUBLE) s, count(DISTINCT store_id) sc, count(DISTINCT product_id) pv, sum(units_sold)*25.0::DOUBLE r FROM sales
   WHERE sale_date>=(SELECT d FROM ref)-90 GROUP BY 1 HAVING count(*)>=30)
-SELECT first_category, {q('a')} AS avg_sales, {q('s')} AS sales_std, sc AS store_coverage, pv AS product_variety, {q('r')} AS estimated_revenue, (rank() OVER (ORDER BY r DESC))::INT AS revenue_rank FROM g ORDER BY r DESC, 1 LIMIT 10""",
+SELECT first_category, {q('a')} AS avg_sales, {q('s')} AS sales_std, sc AS store_coverage, pv AS product_variety, {q('r')} AS estimated_revenue, (rank() OVER (ORDER BY r DESC))::INT AS revenue_rank FROM g""",
 )
 def competition_profile(t):
     return cmp.category_profile(t.sales(geo=False, since=t.day(90)))
@@ -189,7 +189,7 @@ _OPP = f"""
 , og AS (SELECT second_category, count(DISTINCT product_id) pc, sum(units_sold)*25.0::DOUBLE tr, {MEAN('units_sold')} ap FROM sales GROUP BY 1 HAVING count(*)>=20),
 ox AS (SELECT *, tr/sum(tr) OVER () ms, rank() OVER (ORDER BY ap) pr, rank() OVER (ORDER BY tr DESC) rr FROM og),
 ob AS (SELECT *, least(0.85, 0.4+pc/20) sp, CASE WHEN pc>=15 THEN 'low' WHEN pc>=10 THEN 'medium' ELSE 'high' END df, CASE WHEN ms<0.05 THEN 'high' WHEN ms<0.1 THEN 'medium' ELSE 'low' END im
-  FROM ox WHERE ms<0.15 AND pc>=5 ORDER BY pr+rr DESC, second_category LIMIT 6)"""
+  FROM ox WHERE ms<0.15 AND pc>=5)"""
 
 
 def _opportunities(t):
@@ -212,7 +212,7 @@ def competition_opportunities(t):
     "CMP-4",
     f"""
 , g AS (SELECT first_category, count(*) n, {MEAN('units_sold')}*25 av, stddev_samp(units_sold*25.0::DOUBLE) sd, min(units_sold)*25.0::DOUBLE mn, max(units_sold)*25.0::DOUBLE mx, sum(units_sold)::BIGINT tv FROM sales
-  WHERE units_sold>0 AND sale_date>=(SELECT d FROM ref)-30 GROUP BY 1 HAVING count(*)>=20 ORDER BY tv DESC, 1 LIMIT 15)
+  WHERE units_sold>0 AND sale_date>=(SELECT d FROM ref)-30 GROUP BY 1 HAVING count(*)>=20)
 SELECT first_category, n AS sample_size, {q('av')} AS avg_value, {q('sd')} AS value_std, {q('mn')} AS min_value, {q('mx')} AS max_value, tv AS total_volume,
   CASE WHEN av>75 THEN 'premium' WHEN av>40 THEN 'mid_market' WHEN av>20 THEN 'value' ELSE 'budget' END AS pricing_tier, {q('tv::DOUBLE/(sum(tv) OVER ())::DOUBLE')} AS volume_share,
   CASE WHEN sd>av*0.3 THEN 'high' ELSE 'moderate' END AS pricing_pressure FROM g""",

@@ -81,8 +81,7 @@ def promotion_effectiveness(t):
     f"""
 , b AS (SELECT store_id, coalesce({MEAN('sale_amount', 'discount=0')},{MEAN('sale_amount')}) bs FROM lines GROUP BY 1),
 p AS (SELECT store_id, (discount*100)::DOUBLE dp, count(*) n, {MEAN('sale_amount')} a FROM lines WHERE discount*100 BETWEEN 5 AND 60 GROUP BY 1,2),
-r AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY dp) l FROM p),
-x AS (SELECT r.*, (a-bs)/bs*100 u FROM r JOIN b USING (store_id) WHERE l<=3 AND n>=2)
+x AS (SELECT p.*, (a-bs)/bs*100 u FROM p JOIN b USING (store_id) WHERE n>=2)
 SELECT store_id, {q('dp')} AS discount_pct, n AS "rows", {q('greatest(0,u)')} AS estimated_uplift, CASE WHEN n>21 THEN 'long' WHEN n>14 THEN 'medium' ELSE 'short' END AS duration,
   {q('(u/100-dp/100)/(dp/100)')} AS estimated_roi, CASE WHEN u<0 THEN 'conservative' WHEN u<10 THEN 'balanced' ELSE 'data_driven' END AS strategy FROM x""",
 )

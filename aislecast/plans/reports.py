@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import alerts as alert_ops
 from ..operators import categories as cat
 from ..operators import insights as ins
 from ..operators import inventory as inv
@@ -163,7 +164,7 @@ def forecast_files(t):
 def _insights(t):
     return ins.fuse(
         [
-            ins.from_alerts(alert_plans._low(t)),
+            ins.from_alerts(alert_ops.merge_alerts(alert_plans._monitors(t), top=None)),
             ins.from_transfers(inv.transfer_opportunities(inventory_plans._status(t))),
             ins.from_bundles(correlation_plans._bundles(t)),
             ins.from_segments(market_plans._coded(t)),
@@ -179,9 +180,9 @@ def _nested(name, ctes, select):
 
 _INS = (
     _nested(
-        "fa", alert_plans._LOW,
+        "fa", alert_plans._MERGED,
         "SELECT 'alert' insight_type, 'operations' category, concat_ws(':', store_id::VARCHAR, item) subject, severity priority, "
-        "85::DOUBLE confidence, revenue_impact::DOUBLE impact FROM a1",
+        "85::DOUBLE confidence, revenue_impact::DOUBLE impact FROM m WHERE rn=1",
     )
     + _nested(
         "ft", inventory_plans._TRANSFER,
@@ -298,7 +299,7 @@ def store_advice(t):
     f"""
 , cat AS (SELECT sale_date, first_category, store_id, city_id, sum(sale_amount) cs FROM sales GROUP BY 1,2,3,4), p AS (SELECT first_category, sum(cs) ts, count(*) n, {MEAN('cs')} av FROM cat GROUP BY 1),
 mo AS (SELECT first_category, month(sale_date) m, {MEAN('sale_amount')} a FROM sales GROUP BY 1,2), g AS (SELECT first_category, arg_max(m,a)::INT pk, arg_min(m,a)::INT lo, (max(a)-min(a))/min(a) st FROM mo GROUP BY 1)
-SELECT first_category, {q('ts')} AS total_sales, n AS records, {q('av')} AS avg_sales, pk AS peak_month, lo AS low_month, {q('st')} AS strength FROM p JOIN g USING (first_category) ORDER BY ts DESC, first_category LIMIT 20""",
+SELECT first_category, {q('ts')} AS total_sales, n AS records, {q('av')} AS avg_sales, pk AS peak_month, lo AS low_month, {q('st')} AS strength FROM p JOIN g USING (first_category)""",
 )
 def category_report(t):
     s = t.sales()
@@ -308,7 +309,7 @@ def category_report(t):
         F.sum("category_sales").alias("total_sales"), F.count(F.lit(1)).alias("records"), mean_of("category_sales").alias("avg_sales")
     )
     pattern = cat.seasonality_pattern(s).select("first_category", "peak_month", "low_month", "strength")
-    return g.join(pattern, "first_category").orderBy(F.desc("total_sales"), "first_category").limit(20)
+    return g.join(pattern, "first_category")
 
 
 @query(

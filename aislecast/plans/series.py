@@ -214,7 +214,7 @@ def top_days_per_city(t):
 , m AS (SELECT store_id, product_id, max(stock_hour6_22_cnt) h, sum(sale_amount) a FROM lines WHERE sale_date>=(SELECT d FROM ref)-365 GROUP BY 1,2),
 p AS (SELECT *, CASE WHEN h>=15 THEN 'immediate' WHEN h>=10 THEN 'high' WHEN h>=5 THEN 'medium' ELSE 'low' END priority FROM m)
 SELECT store_id, product_id, {q('a')} AS amount, priority FROM p
-ORDER BY CASE priority WHEN 'immediate' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, a DESC, store_id, product_id LIMIT 100""",
+ORDER BY CASE priority WHEN 'immediate' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, a DESC, store_id, product_id""",
 )
 def priority_order(t):
     m = t.lines(since=t.day(365)).groupBy("store_id", "product_id").agg(
@@ -223,4 +223,4 @@ def priority_order(t):
     p = m.withColumn("priority", ladder("hours", [(15, "immediate"), (10, "high"), (5, "medium")], "low"))
     rank = F.when(F.col("priority") == "immediate", 4).when(F.col("priority") == "high", 3)
     rank = rank.when(F.col("priority") == "medium", 2).otherwise(1)
-    return p.orderBy(rank.desc(), F.desc("amount"), "store_id", "product_id").limit(100).drop("hours")
+    return p.orderBy(rank.desc(), F.desc("amount"), "store_id", "product_id").drop("hours")
