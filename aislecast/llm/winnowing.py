@@ -17,6 +17,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -110,31 +111,50 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
     return picked.mapInArrow(run, "doc_id long, hashes array<long>, places array<long>")
 
 
-def in_order(docs: DataFrame, ranges: int) -> DataFrame:
-    """(part, echo, id, doc_id, text): sorted within ranges of ids; echo rows follow a range and only serve as next."""
+def _longs(values) -> F.Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _range_of(value: F.Column, bounds: list[int]) -> F.Column:
+    """Number of bounds below ``value``, found in two steps of about the root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    chunks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    below = lambda array: F.size(F.filter(array, lambda b: b < value))
+    head = below(_longs([c[-1] for c in chunks]))
+    rows = F.transform(F.split(F.lit(";".join(",".join(map(str, c)) for c in chunks)), ";"), lambda c: F.split(c, ",").cast("array<bigint>"))
+    return head * step + F.coalesce(below(F.get(rows, head)), F.lit(0))
+
+
+def in_order(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(part, echo, id, doc_id, text): sorted within ranges of ids; echo rows follow a range and only serve as next.
+
+    ``ranges`` is four times the shuffle partitions by default, so it grows with the cluster's setting for the input.
+    """
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
+    spark = docs.sparkSession
+    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = [i / ranges for i in range(1, ranges)]
     ids = rows.select("id")
-    bounds = sorted(set((ids.agg(F.percentile_approx("id", at, 100 * ranges)).first()[0] or []) if at else []))
-    spots = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    part = F.size(F.filter(spots, lambda b: b < F.col("id")))
-    firsts = sorted(ids.select("id", part.alias("part")).groupBy("part").agg(F.min("id")).collect())
-    echo = F.lit(None).cast("int")
-    for (_, first), (before, _) in zip(firsts, firsts[-1:] + firsts[:-1]):  # at most `ranges` rows
-        echo = F.when(F.col("id") == first, F.lit(before).cast("int")).otherwise(echo)
-    both = rows.withColumn("part", part).withColumn("echo_part", echo)
+    bounds = sorted(set((ids.agg(F.percentile_approx("id", at, 20 * ranges)).first()[0] or []) if at else []))
+    part = _range_of(F.col("id"), bounds)
+    firsts = [tuple(r) for r in sorted(ids.select("id", part.alias("part")).groupBy("part").agg(F.min("id")).collect())]
+    echoes = [(first, before) for (_, first), (before, _) in zip(firsts, firsts[-1:] + firsts[:-1])]
+    marks = F.broadcast(spark.createDataFrame(echoes, "first long, before int"))  # one row per range
+    both = rows.withColumn("part", part).join(marks, F.col("id") == F.col("first"), "left")
     once = F.struct(F.col("part").alias("part"), F.lit(0).alias("echo"))
-    again = F.struct(F.col("echo_part").alias("part"), F.lit(1).alias("echo"))
-    copies = F.when(F.col("echo_part").isNull(), F.array(once)).otherwise(F.array(once, again))
+    again = F.struct(F.col("before").alias("part"), F.lit(1).alias("echo"))
+    copies = F.when(F.col("before").isNull(), F.array(once)).otherwise(F.array(once, again))
     spread = both.select("id", "doc_id", "text", F.explode(copies).alias("at")).select("at.part", "at.echo", "id", "doc_id", "text")
     return spread.repartition("part").sortWithinPartitions("part", "echo", "id", F.xxhash64("text"))
 
 
-def edits(docs: DataFrame, ranges: int = 256, k: int = K, window: int = WINDOW) -> DataFrame:
+def edits(docs: DataFrame, ranges: int | None = None, k: int = K, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The edited text has its last half replaced by the first as many characters of the next row's text.
