@@ -99,7 +99,8 @@ def finite(c: ColumnLike) -> Column:
 
 def stable_bucket(*cols: ColumnLike, buckets: int = 100) -> Column:
     """Repeatable bucket number of an entity id."""
-    return F.pmod(F.crc32(F.concat_ws("_", *[_col(c).cast("string") for c in cols])), F.lit(buckets))
+    digest = F.md5(F.concat_ws("_", *[_col(c).cast("string") for c in cols]).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 7), 16, 10).cast("bigint"), F.lit(buckets))
 
 
 # Rounding offset of the report form: just above one half, so that exact decimal ties, where the last bit

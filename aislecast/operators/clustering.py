@@ -49,6 +49,14 @@ def _scaled(columns: Sequence[str]) -> list:
     ]
 
 
+def standardised(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """The columns as the clusterings see them: gaps 0, mean 0 and deviation 1 (a constant column 0)."""
+    filled = fill_gaps(df, columns)
+    out = vector_to_array(F.col("features"))
+    scaled = Pipeline(stages=_scaled(columns)).fit(filled).transform(filled)
+    return scaled.select(key, *[out[i].alias(c) for i, c in enumerate(columns)])
+
+
 def kmeans_clusters(df: DataFrame, columns: Sequence[str], k: int, seed: int = SEED, components: int | None = None) -> DataFrame:
     """Rows with standardised ``features``, ``cluster`` and squared ``distance`` to the centre; optionally on main components."""
     filled = fill_gaps(df, columns)
@@ -229,8 +237,17 @@ def density_clusters(
     Distances are computed between hash blocks of bounded size; a task returns neighbour counts or a spanning
     forest of the core points it sees, never its pairs.  The forests are joined by label propagation with
     pointer jumping, checkpointed every round in the shared folder.  Without ``eps`` it is the upper quartile of
-    the distance to the ``min_samples``-th neighbour; ``min_samples`` is the dimension plus 1, at least 3.
+    the distance to the fourth nearest point, the point itself being the first (or to the farthest of fewer points);
+    ``min_samples`` is the dimension plus 1, at least 3.
     """
+    core, radius = density_core(df, key, columns, eps, min_samples, block)
+    return _joined(core, key, radius, block)
+
+
+def density_core(
+    df: DataFrame, key: str, columns: Sequence[str], eps: float | None = None, min_samples: int | None = None, block: int = BLOCK
+) -> tuple[DataFrame, float]:
+    """(id, x, n, core) with the number of points within the radius, itself included, and the radius."""
     ensure_checkpoint_dir(df.sparkSession)
     min_samples = max(3, len(columns) + 1) if min_samples is None else min_samples
     filled = fill_gaps(df, columns)
@@ -238,7 +255,7 @@ def density_clusters(
     points = scaled.select(F.col(key).cast("bigint").alias("id"), vector_to_array("features").alias("x")).checkpoint()
     n = points.count()
     spread = _pairs_of_blocks(points, max(1, math.ceil(n / block)))
-    kth = min_samples
+    kth = max(1, min(4, n - 1) - 1)
 
     if eps is None:
 
@@ -271,32 +288,39 @@ def density_clusters(
         return pd.concat(parts)
 
     counts = spread.groupBy("_lo", "_hi").applyInPandas(count_near, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    core = points.join(counts, "id").withColumn("core", F.col("n") >= min_samples).select("id", "x", "core").checkpoint()
+    return points.join(counts, "id").withColumn("core", F.col("n") >= min_samples).select("id", "x", "n", "core").checkpoint(), radius
+
+
+def _least_reached(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest position reachable from each position over the links (i, j)."""
+    root = np.arange(size)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, root[i])
+        low = low[low]
+        if np.array_equal(low, root):
+            return root
+        root = low
+
+
+def _joined(core: DataFrame, key: str, radius: float, block: int) -> DataFrame:
+    n = core.count()
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, a, b, d, _ = _distances(pdf)
         is_core = pdf["core"].to_numpy()
         hit = d <= radius
-        parent: dict[int, int] = {}
-
-        def find(i):
-            while parent.setdefault(i, i) != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        edges = []
-        for i, j in zip(*np.nonzero(hit & is_core[a][:, None] & is_core[b][None, :])):
-            p, r = find(int(a[i])), find(int(b[j]))
-            if p != r:
-                parent[max(p, r)] = min(p, r)
-                edges.append((ids[a[i]], ids[b[j]], True))
+        i, j = np.nonzero(hit & is_core[a][:, None] & is_core[b][None, :])
+        root = _least_reached(len(ids), a[i], b[j])
+        at = np.flatnonzero(root != np.arange(len(ids)))
+        parts = [(ids[at], ids[root[at]], True)]
         for rows, cols, m in ((a, b, hit), (b, a, hit.T)):
-            for i in np.flatnonzero(~is_core[rows]):
-                js = np.flatnonzero(m[i] & is_core[cols])
-                if len(js):
-                    edges.append((ids[rows[i]], ids[cols[js]].min(), False))
-        return pd.DataFrame(edges, columns=["src", "dst", "joined"]).astype({"src": "int64", "dst": "int64", "joined": "bool"})
+            near = np.where(m & is_core[cols][None, :], ids[cols][None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+            at = np.flatnonzero(~is_core[rows] & (near < np.iinfo(np.int64).max))
+            parts.append((ids[rows[at]], near[at], False))
+        edges = pd.concat([pd.DataFrame({"src": s, "dst": d, "joined": k}) for s, d, k in parts])
+        return edges.astype({"src": "int64", "dst": "int64", "joined": "bool"})
 
     edges = (
         _pairs_of_blocks(core, max(1, math.ceil(n / block)))

@@ -141,12 +141,35 @@ def product_correlations(sales: DataFrame, item: str = "product_id", value: str
     )
 
 
-def positive_correlations(
+def _never_together(per: DataFrame, item: str, n: Column, min_corr: float, block: int) -> DataFrame:
+    """Pairs whose r would be at most -``min_corr`` if they shared no cell: r is then -ua * ub, u = s / sqrt(n ss - s s).
+
+    Only entities that fill a large part of the grid can take part, so few are left before they meet in blocks.
+    """
+    u = per.select(F.col(item).alias("item"), F.try_divide(F.col("s"), F.sqrt(n * F.col("ss") - F.col("s") * F.col("s"))).alias("u"))
+    most = u.agg(F.max(F.abs("u"))).scalar()
+    dense = u.filter(F.abs("u") * most >= min_corr)
+    kind = per.schema[item].dataType
+    out = T.StructType([T.StructField("item_a", kind), T.StructField("item_b", kind)])
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x, home = pdf["item"].to_numpy(), pdf["u"].to_numpy(dtype=float), pdf["_b"].to_numpy()
+        left, right = (np.flatnonzero(home == int(pdf[c].iloc[0])) for c in ("_lo", "_hi"))
+        i, j = np.nonzero((np.outer(x[left], x[right]) >= min_corr) & (ids[left][:, None] != ids[right][None, :]))
+        a, b = ids[left[i]], ids[right[j]]
+        return pd.DataFrame({"item_a": np.where(a < b, a, b), "item_b": np.where(a < b, b, a)}).drop_duplicates()
+
+    blocks = _count_blocks(dense.count(), block)
+    return _block_pairs(dense, "item", blocks).groupBy("_lo", "_hi").applyInPandas(meet, out)
+
+
+def cell_correlations(
     sales: DataFrame, item: str, cell: Sequence[str], value: str, min_corr: float, block: int = BLOCK, chunk: int = CHUNK
 ) -> DataFrame:
-    """Pairs with r >= ``min_corr`` > 0 over a grid of many cells, absent cells 0.
+    """Pairs with |r| >= ``min_corr`` > 0 over a grid of many cells, absent cells 0.
 
-    A pair that never shares a cell has a negative r under zero fill, so the co-occurring pairs are all candidates.
+    Candidates are the pairs that share a cell, and those that fill so much of the grid apart from each other
+    that their r is negative enough.
     """
     assert min_corr > 0
     cells = sales.groupBy(item, *cell).agg(mean_of(value).alias("_x")).filter(F.col("_x") != 0)
@@ -155,11 +178,39 @@ def positive_correlations(
     per = cells.groupBy(item).agg(F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("ss"))
     a = per.select(F.col(item).alias("item_a"), F.col("s").alias("sa"), F.col("ss").alias("ssa"))
     b = per.select(F.col(item).alias("item_b"), F.col("s").alias("sb"), F.col("ss").alias("ssb"))
-    joined = sums.join(a, "item_a").join(b, "item_b").withColumn("sample_size", n)
+    apart = _never_together(per, item, n, min_corr, block).join(sums, ["item_a", "item_b"], "left_anti").withColumn("xx", F.lit(0.0))
+    joined = sums.unionByName(apart).join(a, "item_a").join(b, "item_b").withColumn("sample_size", n)
     c = F.col
     den = F.sqrt((c("sample_size") * c("ssa") - c("sa") * c("sa")) * (c("sample_size") * c("ssb") - c("sb") * c("sb")))
     r = F.try_divide(c("sample_size") * c("xx") - c("sa") * c("sb"), den)
-    return joined.select("item_a", "item_b", r.alias("r"), "sample_size").filter(c("r") >= min_corr)
+    return joined.select("item_a", "item_b", r.alias("r"), "sample_size").filter(F.abs("r") >= min_corr)
+
+
+def positive_correlations(
+    sales: DataFrame, item: str, cell: Sequence[str], value: str, min_corr: float, block: int = BLOCK, chunk: int = CHUNK
+) -> DataFrame:
+    """The pairs of ``cell_correlations`` with a positive r."""
+    return cell_correlations(sales, item, cell, value, min_corr, block, chunk).filter(F.col("r") > 0)
+
+
+def correlations_with(sales: DataFrame, wanted: Sequence, item: str = "product_id", value: str = "sale_amount", min_corr: float = 0.3) -> DataFrame:
+    """Pairs of the listed entities with all others over the sale days (mean per day, absent days 0), |r| >= ``min_corr``.
+
+    A rectangular product: only the cells of the listed entities meet the others of their day.
+    """
+    cells = sales.groupBy(item, "sale_date").agg(mean_of(value).alias("_x"))
+    n = sales.agg(F.count_distinct("sale_date").cast("double")).scalar()
+    per = cells.groupBy(item).agg(F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("ss"))
+    few = cells.filter(F.col(item).isin(list(wanted))).select(F.col(item).alias("a"), "sale_date", F.col("_x").alias("xa"))
+    sums = few.join(cells.withColumnRenamed(item, "b"), "sale_date").groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("_x")).alias("xy"))
+    one = per.filter(F.col(item).isin(list(wanted))).select(F.col(item).alias("a"), F.col("s").alias("sa"), F.col("ss").alias("ssa"), F.lit(1).alias("one"))
+    rest = per.select(F.col(item).alias("b"), F.col("s").alias("sb"), F.col("ss").alias("ssb"), F.lit(1).alias("one"))
+    both = rest.join(F.broadcast(one), "one").filter(F.col("a") != F.col("b")).join(sums, ["a", "b"], "left").withColumn("n", n)
+    c = F.col
+    den = F.sqrt((c("n") * c("ssa") - c("sa") * c("sa")) * (c("n") * c("ssb") - c("sb") * c("sb")))
+    r = F.try_divide(c("n") * F.coalesce("xy", F.lit(0.0)) - c("sa") * c("sb"), den)
+    pairs = both.select(F.least("a", "b").alias("item_a"), F.greatest("a", "b").alias("item_b"), r.alias("r"))
+    return pairs.filter(F.abs("r") >= min_corr).groupBy("item_a", "item_b").agg(F.max("r").alias("r"))
 
 
 def pair_label(r: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.calendar import is_weekend
+from ..functions.calendar import calendar_columns, is_weekend
 from ..functions.core import ladder, mean_if, mean_of, ratio, safe_corr, std_of
 from .features import forecast_features, future_frame
 from .series import tail_rank
@@ -217,9 +217,9 @@ def seasonal_forecast(
 
 
 def split_by_time(df: DataFrame, day: str = "sale_date", share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Older part and newer part at the date below which ``share`` of the rows lie (one date read back)."""
-    cut = df.agg(F.percentile_approx(F.unix_date(day), share, 10000)).first()[0]
-    old = F.unix_date(day) <= F.lit(cut)
+    """Older part and newer part at ``share`` of the calendar between the first and the last day (two dates read back)."""
+    first, last = df.agg(F.min(F.unix_date(day)), F.max(F.unix_date(day))).first()
+    old = F.unix_date(day) <= F.lit(None if first is None else first + int((last - first) * share))
     return df.filter(old), df.filter(~old)
 
 
@@ -254,33 +254,91 @@ def assembled(columns: Sequence[str], model) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep"), model])
 
 
+FOREST_INPUTS = [
+    "day_of_week", "month", "quarter", "is_weekend", "days_since_start", "avg_temperature", "avg_humidity", "precpt", "discount", "holiday_flag",
+    "lag_1", "lag_7", "lag_30", "roll_mean_7", "roll_mean_30", "trend",
+]
+_KNOWN = ("avg_temperature", "avg_humidity", "precpt", "discount", "holiday_flag")
 SERIES_FEATURES = [
     "day_of_week", "month", "quarter", "is_weekend", "days_since_start", "lag_1", "lag_7", "lag_30", "roll_mean_7", "series_mean",
 ]
 
 
-def forest_forecast(daily: DataFrame, keys: Sequence[str], horizon: int, value: str = "sale_amount", min_rows: int = 30) -> DataFrame:
-    """One random forest over all series, with the series mean in place of its key; 95 % band from the series' own errors.
+def _rolled(df: DataFrame, keys: Sequence[str], value: str, upto: int) -> DataFrame:
+    """Lags, full rolling means of the rows up to ``upto`` rows from the current one, and their trend (7 less 14)."""
+    w = W.partitionBy(*keys).orderBy("sale_date")
+    v = F.col(value).cast("double")
+
+    def mean(n):
+        frame = w.rowsBetween(upto - n + 1, upto)
+        return F.when(F.count(v).over(frame) == n, F.avg(v).over(frame))
+
+    lag = lambda n: F.lag(v, n - 1 - upto).over(w) if n - 1 - upto else v
+    cols = {"lag_1": lag(1), "lag_7": lag(7), "lag_30": lag(30), "roll_mean_7": mean(7), "roll_mean_30": mean(30), "trend": mean(7) - mean(14)}
+    return df.withColumns(cols)
+
+
+def forest_rows(daily: DataFrame, keys: Sequence[str], value: str = "sale_amount") -> DataFrame:
+    """Training rows of the forest: 16 inputs known before the day is over, and the label.
 
-    The model is scored on a time-ordered hold-out through its residuals, never on its training rows.
+    ``daily`` has weather, discount and holiday flag beside the value. Lags and means end the day before, so the label is
+    in none of them; rows without 30 predecessors are left out, so a short history gives no rows.
     """
-    keys = list(keys)
-    means = daily.groupBy(*keys).agg(mean_of(value).alias("series_mean"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows).drop("_n")
     start = daily.agg(F.min("sale_date")).scalar()
-    rows = forecast_features(daily, keys, value).join(means, keys).withColumn("label", F.col(value).cast("double"))
-    with cached(rows.select("sale_date", "label", *SERIES_FEATURES)) as held:
+    rows = calendar_columns(_rolled(daily, keys, value, -1)).withColumn("days_since_start", F.date_diff("sale_date", start))
+    out = rows.select(*keys, "sale_date", *[F.col(c).cast("double").alias(c) for c in FOREST_INPUTS], F.col(value).cast("double").alias("label"))
+    return out.dropna(subset=[*FOREST_INPUTS, "label"])
+
+
+def forest_ahead(daily: DataFrame, keys: Sequence[str], horizon: int, value: str = "sale_amount") -> DataFrame:
+    """Inputs of the next ``horizon`` days: calendar, and the last known values of everything else."""
+    start = daily.agg(F.min("sale_date")).scalar()
+    kept = ["lag_1", "lag_7", "lag_30", "roll_mean_7", "roll_mean_30", "trend", *_KNOWN]
+    last = _rolled(daily, keys, value, 0).groupBy(*keys).agg(F.max("sale_date").alias("_last"), F.max_by(F.struct(*kept), "sale_date").alias("_k"))
+    days = F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", horizon))).alias("sale_date")
+    out = calendar_columns(last.select(*keys, "_k", days)).withColumn("days_since_start", F.date_diff("sale_date", start))
+    out = out.select("*", "_k.*").drop("_k")
+    return out.select(*keys, "sale_date", *[F.col(c).cast("double").alias(c) for c in FOREST_INPUTS]).dropna(subset=FOREST_INPUTS)
+
+
+def baseline_error(rows: DataFrame, label: str = "label") -> DataFrame:
+    """Error on the newest fifth of the calendar of the mean of what came before."""
+    old, new = split_by_time(rows)
+    mean = old.agg(F.avg(label)).scalar()
+    e = F.col(label) - F.col("_m")
+    return new.withColumn("_m", mean).agg(F.count(F.lit(1)).alias("rows"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"))
+
+
+def forest_scores(rows: DataFrame, trees: int = 100, depth: int = 10) -> DataFrame:
+    """Error of a forest of the older rows on the newest fifth of the calendar."""
+    with cached(rows.select("sale_date", "label", *FOREST_INPUTS)) as held:
         old, _ = split_by_time(held)
-        model = assembled(SERIES_FEATURES, make_regressor("random_forest", "label")).fit(old)
+        model = assembled(FOREST_INPUTS, make_regressor("random_forest", "label", trees=trees, depth=depth)).fit(old)
     _, new = split_by_time(rows)
-    err = model.transform(new).groupBy(*keys).agg(F.coalesce(F.stddev_samp(F.col("label") - F.col("prediction")), F.lit(0.0)).alias("_sd"))
-    ahead = future_frame(daily, keys, horizon, value).join(means, keys)
-    ahead = ahead.withColumns({"days_since_start": F.date_diff("sale_date", start), "roll_mean_7": F.col("mean_7")})
-    ahead = ahead.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("lag_1", "lag_7", "lag_30", "roll_mean_7")})
-    p = model.transform(ahead).join(err, keys, "left")
-    f, band = F.greatest(F.lit(0.0), F.col("prediction")), F.coalesce("_sd", F.lit(0.0)) * Z95
-    return p.select(
-        *keys, F.col("sale_date").alias("date"), f.alias("forecast"), F.greatest(F.lit(0.0), f - band).alias("lower"), (f + band).alias("upper")
-    )
+    e = F.col("label") - F.col("prediction")
+    return model.transform(new).agg(F.count(F.lit(1)).alias("rows"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"))
+
+
+def forest_forecast(daily: DataFrame, keys: Sequence[str], horizon: int, value: str = "sale_amount", trees: int = 100, depth: int = 10) -> DataFrame:
+    """One random forest over all rows of all series; the 95 % band comes from the spread of its trees.
+
+    ``forest_scores`` tells its error on days it has not seen.
+    """
+    keys = list(keys)
+    with cached(forest_rows(daily, keys, value).select("label", *FOREST_INPUTS)) as held:
+        model = assembled(FOREST_INPUTS, make_regressor("random_forest", "label", trees=trees, depth=depth)).fit(held)
+    p = model.transform(forest_ahead(daily, keys, horizon, value))
+    names = []
+    for i, tree in enumerate(model.stages[-1].trees):
+        names.append(f"_t{i}")
+        p = tree.setPredictionCol(names[-1]).transform(p)
+    votes = F.array(*names)
+    mean = F.aggregate(votes, F.lit(0.0), lambda s, x: s + x) / len(names)
+    p = p.select(*keys, F.col("sale_date").alias("date"), mean.alias("_f"), votes.alias("_v"))
+    var = F.aggregate(F.transform("_v", lambda x: (x - F.col("_f")) * (x - F.col("_f"))), F.lit(0.0), lambda s, x: s + x) / len(names)
+    p = p.withColumn("_sd", F.sqrt(var))
+    f, band = F.greatest(F.lit(0.0), F.col("_f")), F.col("_sd") * Z95
+    return p.select(*keys, "date", f.alias("forecast"), F.greatest(F.lit(0.0), f - band).alias("lower"), (f + band).alias("upper"))
 
 
 def cross_validate(df: DataFrame, columns: Sequence[str], label: str, kinds: Sequence[str], folds: int = 3) -> dict[str, float]:

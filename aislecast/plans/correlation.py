@@ -39,15 +39,13 @@ def product_correlations(t):
 SELECT item_a, item_b, {q('r')} AS r FROM r WHERE abs(r)>=0.3 AND (item_a=7 OR item_b=7 OR item_a=1 OR item_b=1 OR item_a=100 OR item_b=100)""",
 )
 def correlated_with_product(t):
-    pairs = cor.product_correlations(t.lines(since=t.day(90)))
-    wanted = [7, 1, 100]
-    hit = pairs.filter((F.col("item_a").isin(wanted) | F.col("item_b").isin(wanted)) & (F.abs("r") >= 0.3))
-    return hit.select("item_a", "item_b", "r").orderBy(F.abs("r").desc(), "item_a", "item_b")
+    pairs = cor.correlations_with(t.lines(since=t.day(90)), [7, 1, 100])
+    return pairs.orderBy(F.abs("r").desc(), "item_a", "item_b")
 
 
 @query("correlation_p_values", "COR-2 COR-8")
 def correlation_p_values(t):
-    pairs = cor.positive_correlations(t.lines(since=t.day(90)), "product_id", ["sale_date", "store_id"], "units_sold", 0.3)
+    pairs = cor.cell_correlations(t.lines(since=t.day(90)), "product_id", ["sale_date", "store_id"], "units_sold", 0.3)
     return pairs.select(
         "item_a",
         "item_b",
@@ -71,9 +69,14 @@ b AS (SELECT item_a, item_b, r, a.rv ra, c2.rv rb, (a.rv+c2.rv)*30 rp, least(0.9
   FROM r JOIN dy a ON a.product_id=item_a JOIN dy c2 ON c2.product_id=item_b WHERE r>=0.4 AND (a.rv+c2.rv)*30>=1000)"""
 
 
-@query("store_day_correlations", "COR-1 JN-13", f"{_SPAIRS}\nSELECT item_a, item_b, {q('r')} AS r, sample_size FROM r WHERE r>=0.3")
+_SALL = f"""{_SPAIRS}
+, ra AS (SELECT a.product_id item_a, b.product_id item_b, n::BIGINT sample_size, (n*coalesce(sxy,0)-a.s*b.s)/sqrt((n*a.ss-a.s*a.s)*(n*b.ss-b.s*b.s)) r
+  FROM p a JOIN p b ON a.product_id<b.product_id LEFT JOIN xy ON pa=a.product_id AND pb=b.product_id, n)"""
+
+
+@query("store_day_correlations", "COR-1 JN-13", f"{_SALL}\nSELECT item_a, item_b, {q('r')} AS r, sample_size FROM ra WHERE abs(r)>=0.3")
 def store_day_correlations(t):
-    return cor.positive_correlations(t.lines(since=t.day(90)), "product_id", ["sale_date", "store_id"], "units_sold", 0.3)
+    return cor.cell_correlations(t.lines(since=t.day(90)), "product_id", ["sale_date", "store_id"], "units_sold", 0.3)
 
 
 def _bundles(t):

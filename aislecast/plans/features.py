@@ -178,7 +178,12 @@ def synthetic_customers(t):
     )
 
 
-@query("stable_buckets", "FN-25 FN-23")
+@query(
+    "stable_buckets",
+    "FN-25 FN-23",
+    f"""
+SELECT (('0x' || substr(md5(store_id || '_' || product_id), 1, 7))::BIGINT % 100)::BIGINT AS bucket, count(*) AS "rows", {q('sum(units_sold)::DOUBLE/count(*)')} AS mean_units FROM lines GROUP BY 1""",
+)
 def stable_buckets(t):
     b = t.lines().withColumn("bucket", stable_bucket("store_id", "product_id"))
     return b.groupBy("bucket").agg(

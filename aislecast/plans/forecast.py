@@ -152,7 +152,7 @@ def series_dashboard(t):
 
 
 def _daily_weather(t):
-    d = t.daily(*KEYS).select(*KEYS, "sale_date", "units_sold", "sale_amount", "discount", "activity_flag")
+    d = t.daily(*KEYS).select(*KEYS, "sale_date", "units_sold", "sale_amount", "discount", "activity_flag", "holiday_flag")
     return d.join(t.weather.withColumnRenamed("date", "sale_date"), ["city_id", "sale_date"])
 
 
@@ -163,7 +163,7 @@ def seasonal_forecast(t):
 
 @query("forest_forecast", "FC-2 FEA-10 FEA-12")
 def forest_forecast(t):
-    return fc.forest_forecast(t.daily(*KEYS), KEYS, 14)
+    return fc.forest_forecast(_daily_weather(t), KEYS, 14)
 
 
 @query("three_way_ensemble", "FC-4 FC-2 FC-3")
@@ -190,13 +190,13 @@ def weather_model_scores(t):
 
 @query("weather_model_importance", "FC-7")
 def weather_model_importance(t):
-    return fc.weather_importance(fc.fit_weather_models(_weather_rows(t), ("random_forest",)), t.spark)
+    return fc.weather_importance(fc.fit_weather_models(_weather_rows(t), ("gradient_boost", "random_forest")), t.spark)
 
 
 @query("weather_model_scenarios", "FC-7 FC-9 CMB-8")
 def weather_model_scenarios(t):
     rows = _weather_rows(t)
-    models = fc.fit_weather_models(rows, ("random_forest", "elastic_net"))
+    models = fc.fit_weather_models(rows)
     temp, rain = F.col("avg_temperature"), F.col("precpt")
     return fc.scenario_predictions(
         models,
@@ -211,7 +211,7 @@ def weather_model_scenarios(t):
 @query("weather_partial_dependence", "FC-8 CMB-8")
 def weather_partial_dependence(t):
     rows = _weather_rows(t)
-    return fc.partial_dependence(fc.fit_weather_models(rows, ("random_forest",)), rows, "avg_temperature")
+    return fc.partial_dependence(fc.fit_weather_models(rows), rows, "avg_temperature")
 
 
 _UK = ["store_id", "first_category"]
@@ -219,7 +219,7 @@ _UK = ["store_id", "first_category"]
 
 @query("uplift_model_scores", "UPL-1")
 def uplift_model_scores(t):
-    return up.uplift_scores(up.uplift_rows(t.sales(), _UK), ("random_forest", "linear"))
+    return up.uplift_scores(up.uplift_rows(t.sales(), _UK))
 
 
 @query("uplift_cross_validation", "UPL-1")
@@ -229,7 +229,17 @@ def uplift_cross_validation(t):
 
 @query("promotion_simulation", "PRM-8")
 def promotion_simulation(t):
-    return up.simulate_promotions(t.sales(), _UK, top=50)
+    return up.simulate_promotions(up.promotion_grid(t.sales(), _UK), _UK, top=50)
+
+
+@query("promotion_simulation_summary", "PRM-8")
+def promotion_simulation_summary(t):
+    return up.simulation_summary(up.promotion_grid(t.sales(), _UK))
+
+
+@query("uplift_importance", "UPL-1")
+def uplift_importance(t):
+    return up.uplift_importance(up.uplift_rows(t.sales(), _UK))
 
 
 @query("optimal_discounts", "PRM-12 PRM-14")

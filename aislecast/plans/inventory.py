@@ -138,8 +138,8 @@ def transfer_opportunities(t):
     "transfer_top",
     "INV-8 SRT-4",
     f"""{_TRANSFER}
-SELECT {_TR_COLS} FROM transfers
-ORDER BY CASE prio WHEN 'immediate' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, score DESC, rev DESC, src, tgt, product_id LIMIT 50""",
+, o AS (SELECT *, row_number() OVER (ORDER BY CASE prio WHEN 'immediate' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, score DESC, rev DESC, src, tgt, product_id) AS place FROM transfers)
+SELECT {_TR_COLS} FROM o WHERE place<=50""",
 )
 def transfer_top(t):
     return inv.top_transfers(inv.transfer_opportunities(_status(t)))
