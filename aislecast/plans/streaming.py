@@ -21,10 +21,10 @@ def _batch(t):
     "STR-1",
     f"""
 , w AS (SELECT date_trunc('hour', ts) s, event_type, count(*) n, sum(CAST(value AS DECIMAL(12,2))) v FROM events GROUP BY 1,2)
-SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n, {q('v')} AS total FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n, {q('v')} AS total FROM w""",
 )
 def stream_tumbling_counts(t):
-    return mon.run_to_end(mon.tumbling_counts(_events(t)))
+    return mon.run_complete(t.spark, t.path, mon.tumbling_counts)
 
 
 @query(
@@ -33,21 +33,23 @@ def stream_tumbling_counts(t):
     f"""
 , e AS (SELECT event_type, unnest([0,1,2,3]) k, time_bucket(INTERVAL 6 HOUR, ts) b FROM events),
 w AS (SELECT b - k*INTERVAL 6 HOUR s, event_type, count(*) n FROM e GROUP BY 1,2),
-bl AS (SELECT event_type, avg(n) m, stddev_samp(n) sd FROM w GROUP BY 1),
-z AS (SELECT s, w.event_type, n, (n-m)/sd z FROM w JOIN bl ON bl.event_type=w.event_type WHERE sd>0 AND s + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)
+cu AS (SELECT date_trunc('day', min(ts)) + INTERVAL 15 DAY c FROM events),
+bl AS (SELECT event_type, avg(n) m, stddev_samp(n) sd FROM w, cu WHERE s + INTERVAL 24 HOUR <= c GROUP BY 1),
+z AS (SELECT s, w.event_type, n, (n-m)/sd z FROM w JOIN bl ON bl.event_type=w.event_type, cu WHERE sd>0 AND s >= c)
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n, {q('z')} AS z_score FROM z WHERE abs(z)>=1.5""",
 )
 def stream_spikes(t):
-    spark = t.spark
-    counts = mon.sliding_counts(_batch(t))
-    baseline = counts.groupBy("event_type").agg(F.avg("n").alias("mean_n"), F.stddev_samp("n").alias("std_n"))
+    """Windows from the sixteenth day on, judged by the windows of the first fifteen days."""
+    spark, history = t.spark, _batch(t)
+    cut = F.lit(history.agg(F.date_trunc("day", F.min("ts")) + F.make_dt_interval(days=F.lit(15))).first()[0])
+    counts = mon.sliding_counts(history).filter(F.col("window_start") + F.make_dt_interval(days=F.lit(1)) <= cut)
     table = f"{mon.run_folder(spark)}/baseline"
-    baseline.write.mode("overwrite").parquet(table)
-    schema = "window_start timestamp, event_type string, n bigint, z_score double"
-    out = mon.run_batches(
-        mon.sliding_counts(_events(t)), lambda b, _: mon.spikes(b, b.sparkSession.read.parquet(table), 1.5)
-    )
-    return spark.read.schema(schema + ", batch_id bigint").parquet(out).drop("batch_id")
+    counts.groupBy("event_type").agg(F.avg("n").alias("mean_n"), F.stddev_samp("n").alias("std_n")).write.mode("overwrite").parquet(table)
+
+    def judge(batch):
+        return mon.spikes(batch.filter(F.col("window_start") >= cut), batch.sparkSession.read.parquet(table), 1.5)
+
+    return mon.run_complete(spark, t.path, mon.sliding_counts, judge)
 
 
 @query(
@@ -57,10 +59,10 @@ def stream_spikes(t):
 , g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 1 ELSE 0 END nw FROM events),
 i AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) sid FROM g),
 s AS (SELECT user_id, sid, min(ts) st, max(ts) en, count(*) n, sum(CAST(value AS DECIMAL(12,2))) v FROM i GROUP BY 1,2)
-SELECT strftime(st, '%Y-%m-%d %H:%M:%S') AS session_start, user_id, n AS events, {q('v')} AS total FROM s WHERE en + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+SELECT strftime(st, '%Y-%m-%d %H:%M:%S') AS session_start, user_id, n AS events, {q('v')} AS total FROM s""",
 )
 def stream_sessions(t):
-    return mon.run_to_end(mon.sessions(_events(t)))
+    return mon.run_complete(t.spark, t.path, mon.sessions)
 
 
 @query("stream_deduplicated_alerts", "STR-4", "SELECT DISTINCT user_id, event_type, ts::DATE::VARCHAR AS day FROM events")
@@ -79,7 +81,7 @@ SELECT user_id, strftime(st, '%Y-%m-%d %H:%M:%S') AS start_time, strftime(en, '%
     digits=3,
 )
 def stream_outages(t):
-    return mon.run_to_end(mon.outages(_events(t)))
+    return mon.run_complete(t.spark, t.path, mon.outages)
 
 
 @query(

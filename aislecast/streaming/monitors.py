@@ -1,7 +1,10 @@
 """Structured Streaming jobs over the event files.
 
 Every job takes a streaming frame and returns a streaming frame; ``run_to_end`` processes what is available
-and leaves the result as parquet in the shared folder, so a restart continues from the checkpoint.
+and leaves the result as parquet in the shared folder, so a restart continues from the checkpoint.  ``run_complete``
+also closes what is still open when the input has ended: the job is started once more from its checkpoint with one
+marker event far ahead, so that the watermark passes every window and session.  Results do not depend on how
+the files fall into batches as long as ``late`` covers the disorder of the events.
 """
 
 from __future__ import annotations
@@ -9,24 +12,31 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..schemas import RAW
 from ..session import ensure_checkpoint_dir
 
 
-def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Events as a stream of the files in a folder, at most ``files_per_trigger`` per batch."""
-    return (
+END = "end"  # event type of the marker after the last event
+
+
+def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 100, marker: str | None = None) -> DataFrame:
+    """Events as a stream of the files in a folder, at most ``files_per_trigger`` per batch, and of a marker folder."""
+    events = (
         spark.readStream.schema(RAW["events"])
         .option("pathGlobFilter", "events*.parquet")
         .option("maxFilesPerTrigger", files_per_trigger)
         .parquet(path)
-        .withColumn("ts", F.col("ts").cast("timestamp"))
     )
+    if marker is not None:
+        events = events.unionByName(spark.readStream.schema(RAW["events"]).parquet(marker))
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_folder(spark: SparkSession) -> str:
@@ -73,6 +83,46 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, str], DataFrame
     return f"{base}/out"
 
 
+def run_complete(
+    spark: SparkSession,
+    path: str,
+    job: Callable[[DataFrame], DataFrame],
+    handle: Callable[[DataFrame], DataFrame] | None = None,
+    files_per_trigger: int = 100,
+    ahead_days: int = 3650,
+) -> DataFrame:
+    """Processes all events, then closes open windows, sessions and intervals; ``handle`` changes each batch before it is written.
+
+    Batches go to a folder of their id, which is overwritten, so a batch that is replayed after a failure leaves its rows once.
+    """
+    base = run_folder(spark)
+    marker, schema = f"{base}/end", []
+    spark.createDataFrame([], RAW["events"]).write.parquet(marker)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        out = handle(batch) if handle else batch
+        schema[:] = [out.schema]
+        out.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+
+    def start() -> None:
+        stream = job(event_stream(spark, path, files_per_trigger, marker))
+        state = f"{base}/state"
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    start()
+    last = F.max("ts") + F.make_dt_interval(days=F.lit(ahead_days))
+    events = spark.read.schema(RAW["events"]).option("pathGlobFilter", "events*.parquet").parquet(path)
+    kinds = {f.name: f.dataType for f in T.StructType.fromDDL(RAW["events"]).fields}
+    end = events.agg(last.alias("ts")).where("ts is not null").select(
+        *[(F.col("ts") if n == "ts" else F.lit(END if n == "event_type" else None if n in ("value", "props") else -1)).cast(k).alias(n) for n, k in kinds.items()]
+    )
+    end.write.mode("append").parquet(marker)
+    start()
+    if not schema:
+        return job(events.withColumn("ts", F.col("ts").cast("timestamp"))).limit(0)
+    return spark.read.schema(schema[0]).option("recursiveFileLookup", "true").parquet(f"{base}/out")
+
+
 def tumbling_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Count and value per window and type; rows later than the watermark are dropped."""
     return (
@@ -125,31 +175,46 @@ def enriched(events: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 OUTAGE = "user_id bigint, start_time timestamp, end_time timestamp, duration_seconds double"
+WAITING = "opened timestamp, ts array<timestamp>, event_id array<bigint>, down array<boolean>"
 
 
-def outages(events: DataFrame, down: str = "error", up: str = "purchase", late: str = "10 minutes") -> DataFrame:
-    """Intervals per key: opened by the first ``down`` event, closed by the next ``up`` event; open ones stay in state."""
+def outages(events: DataFrame, down: str = "error", up: str = "purchase", late: str = "10 minutes", expiry: str = "90 days") -> DataFrame:
+    """Intervals per key: opened by the first ``down`` event, closed by the next ``up`` event.
+
+    Events wait in the state until the watermark has passed them and are then taken in the order of time, so an event that
+    comes late, or in another batch, changes nothing. An interval still open after ``expiry`` is given up, and the state of a key
+    goes with its last event and interval.
+    """
+    keep = pd.Timedelta(expiry)
 
     def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for ts, kind in zip(rows["ts"], rows["event_type"]):
-            if kind == down and opened is None:
-                opened = ts
-            elif kind == up and opened is not None:
-                out.append((key[0], opened, ts, (ts - opened).total_seconds()))
-                opened = None
-        if opened is None:
+        opened, ts, ids, kinds = state.get if state.exists else (None, [], [], [])
+        new = [b for b in batches if len(b)]
+        waiting = pd.DataFrame({"ts": pd.to_datetime(pd.Series(ts, dtype="datetime64[us]")), "event_id": pd.Series(ids, dtype="int64"), "down": pd.Series(kinds, dtype="bool")})
+        rows = pd.concat([waiting, *[b[["ts", "event_id", "down"]] for b in new]]).sort_values(["ts", "event_id"], ignore_index=True)
+        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        ripe = rows["ts"].to_numpy() <= mark.to_datetime64()
+        done, rest = rows[ripe], rows[~ripe]
+        if opened is not None and not len(done) and mark - pd.Timestamp(opened) > keep:
+            opened = None
+        is_down, at = done["down"].to_numpy(), done["ts"].to_numpy()
+        before = np.concatenate(([opened is not None], is_down[:-1]))[: len(is_down)]
+        starts, ends = at[is_down & ~before], at[~is_down & before]
+        if opened is not None:
+            starts = np.concatenate(([pd.Timestamp(opened).to_datetime64()], starts))
+        n = len(ends)
+        opened = pd.Timestamp(starts[n]).to_pydatetime() if len(starts) > n else None
+        if opened is None and not len(rest):
             if state.exists:
                 state.remove()
         else:
-            state.update((opened,))
-        yield pd.DataFrame(out, columns=["user_id", "start_time", "end_time", "duration_seconds"]).astype(
-            {"user_id": "int64", "duration_seconds": "float64"}
-        )
-
-    kept = events.filter(F.col("event_type").isin(down, up)).select("user_id", "event_id", "ts", "event_type")
-    return kept.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(
-        track, OUTAGE, "opened timestamp", "append", GroupStateTimeout.NoTimeout
-    )
+            state.update((opened, [x.to_pydatetime() for x in rest["ts"]], rest["event_id"].tolist(), rest["down"].tolist()))
+            wake = rest["ts"].min() if len(rest) else pd.Timestamp(opened) + keep
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(wake.timestamp() * 1000) + 1))
+        length = (ends - starts[:n]) / np.timedelta64(1, "s") if n else np.zeros(0)
+        yield pd.DataFrame({"user_id": np.full(n, key[0], "int64"), "start_time": starts[:n], "end_time": ends, "duration_seconds": length})
+
+    # the marker stays, or the watermark would not see it; it is an up event of a key of its own
+    kept = events.withWatermark("ts", late).filter(F.col("event_type").isin(down, up, END))
+    kept = kept.select("user_id", "event_id", "ts", (F.col("event_type") == down).alias("down"))
+    return kept.groupBy("user_id").applyInPandasWithState(track, OUTAGE, WAITING, "append", GroupStateTimeout.EventTimeTimeout)

@@ -43,15 +43,45 @@ def test_stream_equals_batch_without_late_rows(spark, tmp_path):
     assert out == want
 
 
-def test_outage_state_survives_batches(spark, tmp_path):
-    batches = [
-        [ev(1, 0, 1, "error"), ev(2, 1, 2, "purchase")],
-        [ev(3, 5, 1, "error"), ev(4, 6, 2, "error")],
-        [ev(5, 30, 1, "purchase"), ev(6, 31, 1, "purchase")],
-    ]
-    path = write_files(spark, tmp_path, batches)
-    out = mon.run_to_end(mon.outages(mon.event_stream(spark, path, 1))).collect()
-    assert [(r.user_id, r.start_time, r.duration_seconds) for r in out] == [(1, T0, 1800.0)]
+OUTAGES = [ev(1, 0, 1, "error"), ev(2, 1, 2, "purchase"), ev(3, 5, 1, "error"), ev(4, 6, 2, "error"), ev(5, 30, 1, "purchase"), ev(6, 31, 1, "purchase"),
+           ev(7, 40, 1, "error"), ev(8, 50, 3, "error"), ev(9, 55, 1, "purchase"), ev(10, 70, 3, "view"), ev(11, 90, 3, "purchase")]
+
+
+@pytest.mark.parametrize("cuts", [[], [4, 8], list(range(1, 11))])
+def test_outage_state_survives_batches(spark, tmp_path, cuts):
+    edges = [0, *cuts, len(OUTAGES)]
+    path = write_files(spark, tmp_path, [OUTAGES[a:b] for a, b in zip(edges, edges[1:])])
+    out = mon.run_complete(spark, path, mon.outages, files_per_trigger=1).collect()
+    minutes = lambda m: T0 + dt.timedelta(minutes=m)
+    assert sorted((r.user_id, r.start_time, r.duration_seconds) for r in out) == [(1, T0, 1800.0), (1, minutes(40), 900.0), (3, minutes(50), 2400.0)]
+
+
+@pytest.mark.parametrize("files", [1, 3, 10])
+@pytest.mark.parametrize("job", [mon.tumbling_counts, mon.sessions, mon.outages])
+def test_results_do_not_depend_on_batches(spark, tmp_path, job, files):
+    import random
+
+    kinds = ["error", "purchase", "view"]
+    rows = [ev(i, i * 7 + (i // 20) * 300, user=i % 3, kind=kinds[i * i % 3 if i % 5 else 0]) for i in range(60)]
+    shuffled = rows[:]
+    random.Random(files).shuffle(shuffled)
+    path = write_files(spark, tmp_path, [shuffled[i::files] for i in range(files)])
+    out = mon.run_complete(spark, path, lambda e: job(e, late="30 days"), files_per_trigger=1)
+    got = sorted(tuple(map(str, r)) for r in out.collect())
+    if job is mon.outages:
+        want = []
+        for u in range(3):
+            opened = None
+            for _, ts, _, kind, _, _ in (r for r in rows if r[2] == u):
+                if kind == "error" and opened is None:
+                    opened = ts
+                elif kind == "purchase" and opened is not None:
+                    want.append(tuple(map(str, (u, opened, ts, (ts - opened).total_seconds()))))
+                    opened = None
+        assert got == sorted(want) and got
+    else:
+        batch = spark.read.schema(RAW["events"]).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+        assert got == sorted(tuple(map(str, r)) for r in job(batch).collect())
 
 
 def test_duplicates_across_batches(spark, tmp_path):
