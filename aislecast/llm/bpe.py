@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, table
+from .common import Cache, held, table
 
 # fixed value: the split pattern of byte-level BPE
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -172,16 +172,9 @@ class Transducer:
         return n, named.hexdigest(), decoded.hexdigest()
 
 
-_made: dict[bytes, Transducer] = {}
-
-
 def transducer(vocabulary: bytes) -> Transducer:
-    """One per worker and vocabulary."""
-    key = hashlib.sha256(vocabulary).digest()
-    if key not in _made:
-        _made.clear()
-        _made[key] = Transducer(vocabulary)
-    return _made[key]
+    """The worker's transducer for a vocabulary."""
+    return held(("bpe", hashlib.sha256(vocabulary).digest()), lambda: Transducer(vocabulary))
 
 
 def read_vocabulary(path: str | None = None) -> bytes:
@@ -202,7 +195,7 @@ def _per_text(docs: DataFrame, make, names: list[str], types: list, path: str |
     def run(batches):
         t = transducer(sent.value)
         for batch in batches:
-            out = [make(t, text or "") for text in batch.column(1).to_pylist()]
+            out = [make(t, text.as_py() or "") for text in batch.column(1)]
             columns = [pa.array(c, kind) for c, kind in zip(zip(*out), types)] if out else [pa.array([], kind) for kind in types]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
 

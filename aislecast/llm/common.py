@@ -113,3 +113,14 @@ class Cache(dict):
             self.clear()
         self[text] = value
         return value
+
+
+_held: list = [None, None]
+
+
+def held(key, make):
+    """What ``make`` prepared for ``key`` in this worker process; only the last one is held, so its caches are all there are."""
+    if _held[0] != key:
+        _held[:] = [None, None]
+        _held[:] = [key, make()]
+    return _held[1]

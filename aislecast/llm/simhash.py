@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t, words) for t in batch.column(1).to_pylist()]
+            fps = [fingerprint(t.as_py(), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -18,7 +18,7 @@ several labels of an id the largest counts; rows of one id are scored alike if t
 from __future__ import annotations
 
 import math
-from collections import Counter
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Cache, stored, table
+from .common import Cache, held, stored, table
 
 SAMPLE, MAX_TERMS, THRESHOLD = 20_000, 4_000, 0.7
 INSULTS = ("idiot", "moron", "stupid", "pathetic", "worthless", "loser", "scum", "trash", "disgusting", "clown")
@@ -133,12 +133,20 @@ class Model:
     words: dict[str, float]
     stems: dict[str, float] = field(default_factory=dict)
     known: frozenset = frozenset()
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)  # names the model in the workers
     coefficients: Sequence[float] = (-4.0, 1.2, 0.8, 0.5, 0.6, -0.3, 0.4, 0.2)  # constant first; the starting model
 
-    def prepare(self) -> Model:
+    def prepare(self) -> Scorer:
+        return Scorer(self)
+
+
+class Scorer:
+    """A model with its automaton and its cache of tokens."""
+
+    def __init__(self, model: Model):
+        self.words, self.stems, self.known, self.coefficients = model.words, model.stems, model.known, model.coefficients
         self.fuzzy = Automaton({w: x for w, x in self.words.items() if len(w) >= FUZZY_FROM and x >= FUZZY_WEIGHT})
         self.cache = Cache(self._look, 200_000, 64)
-        return self
 
     def _look(self, token: str) -> tuple[float, float] | None:
         """(weight as written, weight as a misspelling) of a token, None if it means nothing."""
@@ -301,16 +309,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
 def score(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -> DataFrame:
     """(row, score): the columns ``keep`` of each row (all of them by default) as a struct, and its score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    text = F.col("text").cast("string")
+    if keep is None:  # the text goes to the workers once, within the row
+        picked = docs.withColumn("text", text).select(F.struct("*").alias("row"))
+    else:
+        picked = docs.select(F.struct(*keep).alias("row"), text.alias("text"))
 
     def run(batches):
-        m = sent.value
-        if not hasattr(m, "cache"):
-            m.prepare()
+        m = held(("toxicity", sent.value.key), sent.value.prepare)
         for batch in batches:
-            scores = [m.score(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(0).field("text") if keep is None else batch.column(1)
+            scores = [m.score(t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row", "score"])
 
-    picked = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([picked.schema["row"], T.StructField("score", T.DoubleType())])
     return picked.mapInArrow(run, schema)
 

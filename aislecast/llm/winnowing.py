@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            out = [winnow(t or "", k, window) for t in batch.column(1).to_pylist()]
+            out = [winnow(t.as_py() or "", k, window) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([h.view(np.int64) for h, _ in out], pa.list_(pa.int64())),
                  pa.array([p for _, p in out], pa.list_(pa.int64()))], ["doc_id", "hashes", "places"],
@@ -172,7 +172,7 @@ def edits(docs: DataFrame, ranges: int | None = None, k: int = K, window: int =
         part, now = None, None
         for batch in batches:
             out = []
-            for at, echo, doc_id, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4))):
+            for at, echo, doc_id, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), map(pa.StringScalar.as_py, batch.column(4))):
                 if at != part:
                     part, now = at, None
                 if echo and now is None:
