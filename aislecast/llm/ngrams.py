@@ -87,8 +87,10 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def _split(bucket: np.ndarray, buckets: int, *arrays: np.ndarray) -> Iterator[tuple]:
     """(bucket, its part of each array) in bucket order; order within a bucket is kept."""
+    if buckets <= 1 << 16:
+        bucket = bucket.astype(np.uint16)  # sorted by counting
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+    edges = np.searchsorted(bucket[order].astype(np.uint64), np.arange(buckets + 1, dtype=np.uint64))
     for b in np.flatnonzero(np.diff(edges)):
         at = order[edges[b] : edges[b + 1]]
         yield (int(b), *(a[at] for a in arrays))
@@ -165,9 +167,8 @@ class Model:
         self.stats = [_mapped(f"{self.folder}/stats-{i}", "<u4").reshape(-1, 4) for i in b]
         return self
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers, -1 for words not seen in training."""
-        distinct, back = np.unique(hashes, return_inverse=True)
+    def numbers(self, distinct: np.ndarray) -> np.ndarray:
+        """Word numbers of ascending hashes, so ascending too; -1 for words not seen in training."""
         out = np.full(len(distinct), -1, np.int64)
         bucket = _bucket(distinct, self.buckets)
         edges = np.searchsorted(bucket, np.arange(self.buckets + 1, dtype=np.uint64))
@@ -176,7 +177,7 @@ class Model:
             if len(words):
                 at = np.minimum(np.searchsorted(words, part), len(words) - 1)
                 out[edges[b] : edges[b + 1]] = np.where(words[at] == part, at + self.offsets[b], -1)
-        return out[back]
+        return out
 
     def _of_word(self, arrays: list[np.ndarray], numbers: np.ndarray) -> np.ndarray:
         """Entries of per-word arrays; ``numbers`` ascending and known."""
@@ -193,37 +194,35 @@ class Model:
                 out[at] = np.where(self.keys[b][place] == part, self.times[b][place], 0)
         return out
 
-    def base(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 of the add-a-half unigram probability, known) of every token."""
-        distinct, back = np.unique(numbers, return_inverse=True)
-        count = np.zeros(len(distinct))
-        count[distinct >= 0] = self._of_word(self.counts, distinct[distinct >= 0])
-        return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.types + 1)))[back], (count > 0)[back]
-
-    def scores(self, before: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each token after the one before it; the start of a text is word number ``types``."""
-        words, of = np.unique(np.concatenate((before, numbers)), return_inverse=True)
-        stats, count = np.zeros((len(words), 4)), np.zeros(len(words))
-        known = (words >= 0) & (words < self.types)
-        stats[known] = self._of_word(self.stats, words[known])
-        count[known] = self._of_word(self.counts, words[known])
-        start = words == self.types
-        stats[start], count[start] = self.start[:4], self.start[4]
-        d = np.array([0.0, *self.discounts])
-        e = np.array([0.0, *self.lower])
-        left = float(np.dot(self.lower, self.lower_types))
-        ahead = stats[:, 0]
+    def scores(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known, log10 of the add-a-half probability, log10 of the model's) of each token of texts that start at ``first``.
+
+        Words are looked up once each; the start of a text is one more word, number ``types``.
+        """
+        distinct, of = np.unique(hashes, return_inverse=True)
+        numbers = self.numbers(distinct)
+        seen = numbers >= 0
+        count, stats = np.zeros(len(distinct) + 1), np.zeros((len(distinct) + 1, 4))
+        count[:-1][seen], stats[:-1][seen] = self._of_word(self.counts, numbers[seen]), self._of_word(self.stats, numbers[seen])
+        base = np.log10((count[:-1] + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
+        stats[-1], count[-1] = self.start[:4], self.start[4]
+        d, e = np.array([0.0, *self.discounts]), np.array([0.0, *self.lower])
+        left, ahead = float(np.dot(self.lower, self.lower_types)), stats[:-1, 0]
         if self.pairs:
             low = (np.maximum(ahead - e[np.minimum(ahead, 3).astype(int)], 0) + left / (self.types + 1)) / self.pairs
         else:
-            low = np.full(len(words), 1 / (self.types + 1))
-        spare = np.divide(stats[:, 1:] @ d[1:], count, out=np.ones(len(words)), where=count > 0)
-        u, w = of[: len(before)], of[len(before) :]
-        keys = np.where((before >= 0) & (numbers >= 0), (before.astype(np.uint64) << np.uint64(32)) | numbers.astype(np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF))
-        pairs, back = np.unique(keys, return_inverse=True)
-        c = self.pair_counts(pairs)[back]
+            low = np.full(len(distinct), 1 / (self.types + 1))
+        spare = np.divide(stats[:, 1:] @ d[1:], count, out=np.ones(len(count)), where=count > 0)
+        before = np.empty_like(of)
+        before[1:] = of[:-1]
+        before[first] = len(distinct)
+        pairs, back = np.unique(before * np.int64(len(distinct) + 1) + of, return_inverse=True)
+        u, w = np.divmod(pairs, len(distinct) + 1)
+        number = np.append(numbers, self.types)
+        c, both = np.zeros(len(pairs)), (number[u] >= 0) & seen[w]
+        c[both] = self.pair_counts((number[u[both]].astype(np.uint64) << np.uint64(32)) | numbers[w[both]].astype(np.uint64))
         high = np.divide(np.maximum(c - d[np.minimum(c, 3).astype(int)], 0), count[u], out=np.zeros(len(c)), where=count[u] > 0)
-        return np.log10(high + spare[u] * low[w])
+        return seen[of], base[of], np.log10(high + spare[u] * low[w])[back]
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -273,7 +272,8 @@ def _count_pairs(texts: DataFrame, model: Model) -> None:
     def count(batches):
         m = model.open()
         for held in _flushes(batches):
-            numbers = m.numbers(np.concatenate(held))
+            distinct, of = np.unique(np.concatenate(held), return_inverse=True)
+            numbers = m.numbers(distinct)[of]
             before = np.empty_like(numbers)
             before[1:] = numbers[:-1]
             before[np.cumsum([0, *(len(h) for h in held[:-1])])] = types
@@ -362,12 +362,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         def some(ids, held):
             sizes = np.array([len(h) for h in held])
             first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            numbers = m.numbers(np.concatenate(held))
-            before = np.empty_like(numbers)
-            before[1:] = numbers[:-1]
-            before[first] = m.types
-            base, known = m.base(numbers)
-            full = m.scores(before, numbers)
+            known, base, full = m.scores(np.concatenate(held), first)
             columns = [pa.array(ids, pa.int64()), *(pa.array(x) for x in (sizes, np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(full, first)))]
             return pa.RecordBatch.from_arrays(columns, names)
 
