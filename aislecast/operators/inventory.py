@@ -636,3 +636,22 @@ def stockout_base(sales: DataFrame, events: DataFrame) -> DataFrame:
             "had_stockout": F.col("stock_hour6_22_cnt") > 0,
         }
     )
+
+
+def transfer_history(stored: DataFrame, as_of: dt.date, days: int = 30, store_id: int | None = None) -> DataFrame:
+    """Stored transfers of the last days, of one store as source or target if given, newest and best first."""
+    rows = stored.filter(F.col("analysis_date") >= F.lit(as_of - dt.timedelta(days=days)))
+    if store_id is not None:
+        rows = rows.filter((F.col("source_store_id") == store_id) | (F.col("target_store_id") == store_id))
+    return rows.orderBy(F.desc("analysis_date"), F.desc("optimization_score"), "source_store_id", "target_store_id", "product_id")
+
+
+def optimisation_opportunities(
+    stored: DataFrame, product: DataFrame, city: DataFrame, as_of: dt.date, days: int = 7, min_score: float = 70.0, min_success: float = 80.0
+) -> DataFrame:
+    """Stored transfers of the last days that score well and are likely to succeed, with names, largest revenue first."""
+    good = stored.filter(
+        (F.col("analysis_date") >= F.lit(as_of - dt.timedelta(days=days))) & (F.col("optimization_score") >= min_score) & (F.col("success_probability") >= min_success)
+    )
+    named = good.join(product.select("product_id", "product_name"), "product_id").join(city.select("city_id", "city_name"), "city_id")
+    return named.orderBy(F.desc("revenue_impact"), F.desc("optimization_score"), "source_store_id", "target_store_id", "product_id")

@@ -145,6 +145,43 @@ def recommend_discounts(sales: DataFrame, keys: Sequence[str], min_rows: int = 2
     )
 
 
+def promotion_strategies(effects: DataFrame, baseline: DataFrame, keys: Sequence[str], unlikely: float = 50.0) -> DataFrame:
+    """Three options per key: conservative where promotions have hurt, balanced where their uplift is unlikely, else by its history.
+
+    ``effects`` has average_uplift (percent) and best_discount (share), ``baseline`` the mean regular sale of a key.
+    """
+    j = effects.join(baseline, list(keys))
+    b, u = F.col("baseline_sales"), F.col("average_uplift")
+    best = F.col("best_discount") * 100
+    best = F.when(best > 60, 25.0).when(best < 5, 15.0).otherwise(best)
+    strong, soft = F.least(best * 1.3, F.lit(35.0)), F.greatest(best * 0.7, F.lit(10.0))
+
+    def option(n, discount, days, uplift, sales, roi):
+        values = [F.lit(n), *[x if isinstance(x, Column) else F.lit(x) for x in (discount, days, uplift, sales, roi)]]
+        names = ("option", "discount", "duration_days", "estimated_uplift", "incremental_sales", "estimated_roi")
+        kinds = ("int", "double", "int", "double", "bigint", "double")
+        return F.struct(*[v.cast(k).alias(c) for v, c, k in zip(values, names, kinds)])
+
+    # fixed values: the levels, lengths and shares of the three strategies
+    conservative = F.array(*[
+        option(i, d, n, up, F.greatest(F.lit(i), F.floor(b * (up / 100) * n)), roi)
+        for i, d, n, up, roi in ((1, 5.0, 3, 2.0, 0.40), (2, 10.0, 5, 5.0, 0.50), (3, 15.0, 7, 8.0, 0.53))
+    ])
+    balanced = F.array(*[
+        option(i + 1, d, max(3, 7 - i), d * 1.5, F.greatest(F.lit(2), F.floor(b * (d * 0.015) * (7 - i))), (1 + d * 0.015) / (d / 100))
+        for i, d in enumerate((12.0, 20.0, 30.0))
+    ])
+    data_driven = F.array(*[
+        option(i, d, n, F.greatest(F.lit(low), u * k), F.greatest(F.lit(few), F.floor(b * (u * k / 100))), F.greatest(F.lit(least), (u * k / 100) / (by / 100)))
+        for i, d, by, n, low, k, few, least in (
+            (1, F.least(best, F.lit(25.0)), best, 7, 5.0, 0.8, 3, 0.5), (2, strong, strong, 10, 8.0, 1.1, 5, 0.6), (3, soft, soft, 5, 3.0, 0.6, 2, 0.4)
+        )
+    ])
+    kind = F.when(u < 0, "conservative").when(u > unlikely, "balanced").otherwise("data_driven")
+    options = F.when(u < 0, conservative).when(u > unlikely, balanced).otherwise(data_driven)
+    return j.select(*keys, kind.alias("strategy"), F.explode(options).alias("o")).select(*keys, "strategy", "o.*")
+
+
 def group_uplift(sales: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Promotion mean, regular mean, uplift and percent for groups that have both."""
     p = F.col("activity_flag")

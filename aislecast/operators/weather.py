@@ -336,9 +336,65 @@ def weather_advice(effects: DataFrame, current: DataFrame, keys: Sequence[str])
         "impact_pct",
         F.when(best, F.least(F.lit(0.9), 0.5 + F.coalesce("sensitivity", F.lit(0.0)))).otherwise(0.5).alias("confidence"),
         F.when(best, 1 + F.col("impact_pct") / 100).when(worst, 1 - F.abs("impact_pct") / 100).otherwise(1.0).alias("weather_boost"),
+        F.when(best, F.greatest(F.lit(10), (F.col("impact_pct") * 2).cast("int")))
+        .when(worst, F.greatest(F.lit(-20), (F.col("impact_pct") * 2).cast("int")))
+        .otherwise(0)
+        .alias("stock_adjustment"),
     )
 
 
+# fixed values: rule, products, measured value, direction, bound, impact in percent, stock adjustment; first match counts
+WEATHER_RULES = (
+    ("cold_weather_boost", (306, 413, 109), "temperature", "below", 20.0, 15.0, 20),
+    ("rainy_weather_boost", (306, 413), "precipitation", "above", 4.0, 20.0, 25),
+    ("warm_weather_boost", (118, 368), "temperature", "above", 24.0, 12.0, 15),
+    ("high_humidity_boost", (306, 413), "humidity", "above", 80.0, 18.0, 22),
+)
+# fixed values: bundle, weather, products, discount, expected boost
+WEATHER_BUNDLES = (
+    ("cold_weather_bundle", "cold", (306, 413, 109), 0.15, 0.25),
+    ("rainy_day_bundle", "rainy", (306, 413), 0.15, 0.25),
+    ("warm_weather_bundle", "warm", (118, 368), 0.15, 0.25),
+)
+# fixed values: weather, season, expected impact in percent from and to
+SEASONS = (("cold", "winter", 10, 20), ("warm", "summer", 15, 25), ("rainy", "rainy", 12, 18))
+
+
+def rule_advice(current: DataFrame, rules=WEATHER_RULES) -> DataFrame:
+    """Stock advice by a rule table: for every city and listed product the first rule its weather fulfils.
+
+    ``current`` has city_id, temperature, precipitation and humidity of today.
+    """
+    row = "struct<place:int,rule:string,product_id:bigint,value:string,direction:string,bound:double,impact_pct:double,stock_adjustment:int>"
+    listed = [
+        F.struct(*[F.lit(x) for x in (i, rule, p, value, direction, bound, impact, adjust)]).cast(row)
+        for i, (rule, products, value, direction, bound, impact, adjust) in enumerate(rules)
+        for p in products
+    ]
+    each = current.withColumn("r", F.explode(F.array(*listed)))
+    seen = F.when(F.col("r.value") == "temperature", F.col("temperature")).when(F.col("r.value") == "humidity", F.col("humidity")).otherwise(F.col("precipitation"))
+    holds = F.when(F.col("r.direction") == "above", seen > F.col("r.bound")).otherwise(seen < F.col("r.bound"))
+    first = each.filter(holds).groupBy("city_id", F.col("r.product_id").alias("product_id")).agg(F.min("r").alias("r"))
+    return first.select("city_id", "product_id", "r.rule", "r.impact_pct", "r.stock_adjustment")
+
+
+def bundle_advice(current: DataFrame, sold: DataFrame, bundles=WEATHER_BUNDLES) -> DataFrame:
+    """Bundles that suit the weather class of a city and of which it sells at least two products."""
+    row = "struct<bundle:string,weather:string,product_id:bigint,discount:double,expected_boost:double>"
+    listed = [F.struct(*[F.lit(x) for x in (b, w, p, d, e)]).cast(row) for b, w, products, d, e in bundles for p in products]
+    each = current.withColumn("r", F.explode(F.array(*listed))).filter(F.col("r.weather") == F.col("weather_category"))
+    here = each.select("city_id", "r.*").join(sold.select("city_id", "product_id").distinct(), ["city_id", "product_id"], "left_semi")
+    g = here.groupBy("city_id", "bundle", "discount", "expected_boost").agg(F.count(F.lit(1)).alias("products"))
+    return g.filter(F.col("products") >= 2)
+
+
+def season_advice(current: DataFrame, seasons=SEASONS) -> DataFrame:
+    """Season of a city's weather class with the expected change in percent."""
+    listed = [F.struct(*[F.lit(x) for x in s]).cast("struct<weather:string,season:string,impact_from:int,impact_to:int>") for s in seasons]
+    each = current.withColumn("r", F.explode(F.array(*listed))).filter(F.col("r.weather") == F.col("weather_category"))
+    return each.select("city_id", "r.season", "r.impact_from", "r.impact_to")
+
+
 def city_climatology(weather: DataFrame, city: DataFrame) -> DataFrame:
     """Mean weather of every city; a city without records gets the overall means."""
     cols = {"temperature": "avg_temperature", "precipitation": "precpt", "humidity": "avg_humidity", "wind_level": "avg_wind_level"}

@@ -6,7 +6,7 @@ import importlib
 
 MODULES = (
     "stores", "scans", "relational", "series", "features", "inventory", "holidays", "alerts", "correlation",
-    "market", "promotions", "weather", "forecast", "clustering", "signals", "reports", "streaming",
+    "market", "promotions", "weather", "forecast", "clustering", "signals", "reports", "stored", "streaming",
 )
 
 for _m in MODULES:

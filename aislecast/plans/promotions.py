@@ -159,7 +159,8 @@ def _advice(t):
     "WEA-11 WEA-10 CMB-5",
     f"""{_EFF}
 SELECT store_id, first_category, tc AS temp_class, rc AS rain_class, CASE WHEN bb THEN 'increase_stock' WHEN ww THEN 'decrease_stock' ELSE 'normal' END AS recommendation, {q('im')} AS impact_pct,
-  {q('CASE WHEN bb THEN least(0.9, 0.5+coalesce(se,0)) ELSE 0.5 END')} AS confidence, {q('wb')} AS weather_boost FROM ax""",
+  {q('CASE WHEN bb THEN least(0.9, 0.5+coalesce(se,0)) ELSE 0.5 END')} AS confidence, {q('wb')} AS weather_boost,
+  (CASE WHEN bb THEN greatest(10, trunc(im*2)) WHEN ww THEN greatest(-20, trunc(im*2)) ELSE 0 END)::INT AS stock_adjustment FROM ax""",
 )
 def weather_stock_advice(t):
     return _advice(t)

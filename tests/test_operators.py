@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from aislecast.functions import arrays, codec, geo
 from aislecast.functions.core import clamp, ladder, mean_of, ratio, safe_corr, slope_of, stable_bucket
-from aislecast.operators import cleaning, clustering, correlation, forecast, inventory, ranking, relational, series
+from aislecast.operators import cleaning, clustering, correlation, forecast, inventory, ranking, relational, series, uplift
 from aislecast.sources import checks, sinks
 
 D0 = dt.date(2024, 1, 1)
@@ -283,3 +283,56 @@ def test_dense_series_fills_inner_gaps_only(spark):
     df = spark.createDataFrame([(1, day(0), 5), (1, day(3), 7)], "k int, sale_date date, u bigint")
     out = relational.dense_series(df, ["k"], ["u"]).orderBy("sale_date").collect()
     assert [r.u for r in out] == [5, 0, 0, 7]
+
+
+def test_default_radius_of_density_clusters(spark):
+    rng = np.random.default_rng(8)
+    pts = np.concatenate([rng.normal((0, 0), 0.3, (30, 2)), rng.normal((4, 4), 0.5, (25, 2))])
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(pts)), "x": pts[:, 0], "y": pts[:, 1]}))
+    core, radius = clustering.density_core(df, "id", ["x", "y"], block=20)
+    z = (pts - pts.mean(0)) / pts.std(0, ddof=1)
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
+    assert radius == pytest.approx(np.quantile(np.sort(d, axis=1)[:, 3], 0.75))  # the point itself is the first of four
+    assert {r.id: r.n for r in core.collect()} == dict(enumerate((d <= radius).sum(1).tolist()))
+
+
+def test_cell_correlations_equal_numpy_with_negative_pairs(spark):
+    rng = np.random.default_rng(3)
+    days, items = 40, 12
+    x = np.zeros((items, days))
+    for i in range(items):
+        on = np.arange(days) % 2 == i % 2 if i < 6 else rng.random(days) < 0.4
+        x[i, on] = rng.integers(5, 9, on.sum()) if i < 6 else rng.integers(1, 9, on.sum())
+    rows = [(int(i), day(int(j)), 1, float(x[i, j])) for i in range(items) for j in range(days) if x[i, j]]
+    df = spark.createDataFrame(rows, "item long, sale_date date, store_id int, v double")
+    r = np.corrcoef(x)
+    want = {(i, j): r[i, j] for i in range(items) for j in range(i + 1, items) if abs(r[i, j]) >= 0.3}
+    got = {(p.item_a, p.item_b): p.r for p in correlation.cell_correlations(df, "item", ["sale_date", "store_id"], "v", 0.3, block=5, chunk=7).collect()}
+    assert got.keys() == want.keys() and min(want.values()) < -0.5
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    listed = {(p.item_a, p.item_b): p.r for p in correlation.correlations_with(df, [2, 9], "item", "v").collect()}
+    assert listed.keys() == {k for k in want if 2 in k or 9 in k}
+    assert all(listed[k] == pytest.approx(want[k]) for k in listed)
+
+
+def test_forest_beats_the_mean_and_refuses_short_history(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for k, level in ((1, 100.0), (2, 300.0)):
+        for i in range(220):
+            promo = i % 9 == 0
+            rows.append((k, day(i), level + 25 * (i % 7) + (40 if promo else 0) + float(rng.normal(0, 4)), 15.0 + i % 20, 50.0, 0.0, 0.2 if promo else 0.0, i % 50 == 0))
+    rows += [(3, day(i), 5.0, 15.0, 50.0, 0.0, 0.0, False) for i in range(12)]
+    df = spark.createDataFrame(rows, "k int, sale_date date, sale_amount double, avg_temperature double, avg_humidity double, precpt double, discount double, holiday_flag boolean")
+    inputs = forecast.forest_rows(df, ["k"])
+    assert inputs.filter("k = 3").count() == 0
+    mean, model = forecast.baseline_error(inputs).first(), forecast.forest_scores(inputs, trees=20, depth=8).first()
+    assert model.rows == mean.rows and model.mae < mean.mae / 2
+    ahead = forecast.forest_forecast(df, ["k"], 14, trees=20, depth=8)
+    assert {r.k: r["count"] for r in ahead.groupBy("k").count().collect()} == {1: 14, 2: 14}
+    assert ahead.filter("lower > forecast or forecast > upper or lower < 0").count() == 0
+
+
+def test_targets_are_filtered_before_the_best_are_taken(spark):
+    grid = spark.createDataFrame([(1, 0.1, 5.0, 9.0), (2, 0.1, 50.0, 1.0), (3, 0.1, 60.0, 0.5)], "k int, discount double, estimated_uplift double, estimated_roi double")
+    assert [r.k for r in uplift.simulate_promotions(grid, ["k"], top=1, target_uplift=20.0).collect()] == [2]
