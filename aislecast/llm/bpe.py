@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, held, table
+from .common import Cache, held, in_workers, table
 
 # fixed value: the split pattern of byte-level BPE
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -200,7 +200,7 @@ def _per_text(docs: DataFrame, make, names: list[str], types: list, path: str |
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} {sql[k]}" for n, k in zip(names, types))]))
+    return in_workers(picked, run, ", ".join(["doc_id long", *(f"{n} {sql[k]}" for n, k in zip(names, types))]))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -223,7 +223,7 @@ def decode(encoded: DataFrame, path: str | None = None, piece: int = 1 << 14) ->
             texts = ["".join(t.decode(v[i : i + piece] for i in range(0, len(v), piece))) for v in (x or [] for x in batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return in_workers(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

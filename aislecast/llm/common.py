@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -115,6 +118,37 @@ class Cache(dict):
         return value
 
 
+#: Batches that go to a worker: texts are long, so few rows fill one.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def in_workers(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with small batches, after which a worker gives free memory back to the machine.
+
+    The batch sizes are session settings; they are left alone where the session's own configuration names them.
+    """
+    spark = df.sparkSession
+    for key, value in BATCHES.items():
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 _held: list = [None, None]
 
 

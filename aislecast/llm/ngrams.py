@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, scratch, table
+from .common import Cache, in_workers, scratch, table
 
 START, END = b"\t", b"\n"  # no word holds a blank
 FLUSH = 1 << 21
@@ -253,7 +253,7 @@ def _count_words(texts: DataFrame, model: Model) -> None:
         _write(f"{folder}/count-{b}", n)
         return pa.table({"bucket": pa.array([b], pa.int32()), "types": pa.array([len(words)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
 
-    merged = texts.mapInArrow(count, PIECES).groupBy("bucket").applyInArrow(merge, "bucket int, types long, tokens long")
+    merged = in_workers(texts, count, PIECES).groupBy("bucket").applyInArrow(merge, "bucket int, types long, tokens long")
     found = {r.bucket: r for r in merged.collect()}  # one line per bucket
     for b in range(buckets):
         if b not in found:
@@ -318,7 +318,7 @@ def _count_pairs(texts: DataFrame, model: Model) -> None:
     def _line(b, values, blank):
         return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([[int(v) for v in values] or blank], pa.list_(pa.int64()))})
 
-    pairs = texts.mapInArrow(count, PIECES).groupBy("bucket").applyInArrow(merge, PIECES)
+    pairs = in_workers(texts, count, PIECES).groupBy("bucket").applyInArrow(merge, PIECES)
     lines = {r.bucket: r.n for r in pairs.groupBy("bucket").applyInArrow(gather, "bucket int, n array<long>").collect()}  # one line per bucket
     for b in range(buckets):
         for name in ("pair", "times", "stats"):
@@ -379,7 +379,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield some(ids, held)
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return in_workers(picked, run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Cache, held, stored, table
+from .common import Cache, held, in_workers, stored, table
 
 SAMPLE, MAX_TERMS, THRESHOLD = 20_000, 4_000, 0.7
 INSULTS = ("idiot", "moron", "stupid", "pathetic", "worthless", "loser", "scum", "trash", "disgusting", "clown")
@@ -38,7 +38,7 @@ QUOTES = "\"“”„«»‘’‹›"
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + QUOTES + "¿¡…–—"
 STEMS = (4, 5, 6)
 FUZZY_FROM, FUZZY_WEIGHT, CAP, WINDOW = 5, 3.0, 5.0, 4
-FEATURES = 7
+FLUSH = 50_000  # terms a task counts before it hands them on
 
 
 class Automaton:
@@ -146,7 +146,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.words, self.stems, self.known, self.coefficients = model.words, model.stems, model.known, model.coefficients
         self.fuzzy = Automaton({w: x for w, x in self.words.items() if len(w) >= FUZZY_FROM and x >= FUZZY_WEIGHT})
-        self.cache = Cache(self._look, 200_000, 64)
+        self.cache = Cache(self._look, 100_000, 64)
 
     def _look(self, token: str) -> tuple[float, float] | None:
         """(weight as written, weight as a misspelling) of a token, None if it means nothing."""
@@ -202,22 +202,29 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 def _term_counts(sample: DataFrame) -> DataFrame:
     """(term, stem, t0, t1, c0, c1): documents of each half with a word or stem, toxic and clean; one row per term."""
 
+    names, kinds = ["term", "stem", "t0", "t1", "c0", "c1"], [pa.string(), pa.bool_(), *[pa.int64()] * 4]
+
+    def rows(counts):
+        out = [(w, s, *c) for (w, s), c in counts.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+
     def run(batches):
+        counts: dict[tuple[str, bool], list[int]] = {}
         for batch in batches:
-            counts: dict[tuple[str, bool], list[int]] = {}
-            for text, toxic, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = {t.strip(EDGES) for t in (text or "").lower().split()}
+            for text, toxic, half in zip(*batch.columns):
+                words = {t.strip(EDGES) for t in (text.as_py() or "").lower().split()}
                 terms = {(w, False) for w in words if 3 <= len(w) <= 40}
                 terms |= {(w[:n], True) for w in words for n in STEMS if len(w) > n}
-                slot = half if toxic else 2 + half
+                slot = half.as_py() if toxic.as_py() else 2 + half.as_py()
                 for t in terms:
                     counts.setdefault(t, [0, 0, 0, 0])[slot] += 1
-            names = ["term", "stem", "t0", "t1", "c0", "c1"]
-            rows = [(w, s, *c) for (w, s), c in counts.items()]
-            kinds = [pa.string(), pa.bool_(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                if len(counts) >= FLUSH:
+                    yield rows(counts)
+                    counts = {}
+        if counts:
+            yield rows(counts)
 
-    out = sample.mapInArrow(run, "term string, stem boolean, t0 long, t1 long, c0 long, c1 long")
+    out = in_workers(sample, run, "term string, stem boolean, t0 long, t1 long, c0 long, c1 long")
     return out.groupBy("term", "stem").agg(*[F.sum(c).alias(c) for c in ("t0", "t1", "c0", "c1")])
 
 
@@ -247,7 +254,7 @@ def _known(counts: DataFrame, model: Model) -> frozenset:
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["term"])
 
     words = counts.where("not stem and c0 + c1 > 0").select("term")
-    return frozenset(r.term for r in words.mapInArrow(run, "term string").collect())
+    return frozenset(r.term for r in in_workers(words, run, "term string").collect())
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, start: Sequence[float], ridge: float = 0.5, rounds: int = 50) -> np.ndarray:
@@ -298,7 +305,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
             f = [m.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), batch.column(1)], ["f", "toxic"])
 
-    got = rows.where("half = 1").select("text", "toxic").mapInArrow(run, "f array<double>, toxic int").collect()  # at most `sample` rows
+    got = in_workers(rows.where("half = 1").select("text", "toxic"), run, "f array<double>, toxic int").collect()  # at most `sample` rows
     y = np.array([r.toxic for r in got], float)
     if len(got) and 0 < y.sum() < len(y):
         order = sorted(range(len(got)), key=lambda i: (got[i].toxic, got[i].f))
@@ -323,7 +330,7 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] | None = None) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row", "score"])
 
     schema = T.StructType([picked.schema["row"], T.StructField("score", T.DoubleType())])
-    return picked.mapInArrow(run, schema)
+    return in_workers(picked, run, schema)
 
 
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, running_total, stored, table
+from .common import components, in_workers, running_total, stored, table
 
 THRESHOLD, TILE, BLOCK, BOX = 0.93, 2048, 16, 4
 SLACK = 1e-9  # rounding of rotated products; pairs this close to the threshold are decided on the vectors themselves
@@ -48,7 +48,7 @@ def axes(reps: DataFrame) -> dict[int, np.ndarray]:
         m = np.sum([np.frombuffer(b.as_py()) for b in group.column("m")], axis=0)
         return pa.table({"size": pa.array([key[0].as_py()], pa.int32()), "m": pa.array([m.tobytes()], pa.binary())})
 
-    parts = reps.select("embedding", "size").mapInArrow(moments, "size int, m binary")
+    parts = in_workers(reps.select("embedding", "size"), moments, "size int, m binary")
     slots = parts.groupBy("size", F.pmod(F.spark_partition_id(), F.lit(16)).alias("slot"))
     out: dict[int, np.ndarray] = {}
     for r in sorted(slots.applyInArrow(add, "size int, m binary").collect()):
@@ -162,7 +162,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(lead[:, k]) for k in range(BOX))], [*batch.schema.names, *LEAD])
 
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema.fields)
-    placed = reps.mapInArrow(project, kind + "".join(f", {c} double" for c in LEAD))
+    placed = in_workers(reps, project, kind + "".join(f", {c} double" for c in LEAD))
     cell = F.greatest(F.lit(0), F.least(F.lit(65535), F.floor((F.col("p0") + 1) * 32768))).cast("int")
     placed = placed.withColumns({"b1": F.floor(cell / 256).cast("int"), "b2": cell, "b3": F.pmod("node", F.lit(64)).cast("int"), "one": F.lit(1).cast("long")})
     ranked = running_total(placed, ["label", "size"], ["b1", "b2", "b3"], [F.col("node")], "one", "rank")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_workers, table
 
 LAST = 9223372036854775807
 K, WINDOW = 12, 12
@@ -108,7 +108,7 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
             )
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, hashes array<long>, places array<long>")
+    return in_workers(picked, run, "doc_id long, hashes array<long>, places array<long>")
 
 
 def _longs(values) -> F.Column:
@@ -185,7 +185,7 @@ def edits(docs: DataFrame, ranges: int | None = None, k: int = K, window: int =
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], schema=ARROW)
 
-    return in_order(docs, ranges).mapInArrow(run, SCHEMA)
+    return in_workers(in_order(docs, ranges), run, SCHEMA)
 
 
 SCHEMA = (
