@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, in_workers, stored, table
 
 BITS, SEED, CHUNK = 64, 42, 1 << 16
 
@@ -43,15 +43,19 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; ``fp`` is the fingerprint as a signed long."""
+    """(doc_id, digest, fp) of every row; ``fp`` is the fingerprint as a signed long, ``digest`` a hash of the text."""
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_py(), words) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "digest", "fp"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    return in_workers(_keyed(docs).select("id", "digest", "body"), run, "doc_id long, digest long, fp long")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    body = F.col("text").cast("string")
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(body).alias("digest"), body.alias("body"))
 
 
 def entries(fps: DataFrame) -> DataFrame:
@@ -68,24 +72,30 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= distance).select(F.col("fp").alias("a"), F.col("least").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id reachable over links, for every row."""
+def groups(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, digest, fp, root, component_id) of every row: ``root`` names its group, ``component_id`` is the group's smallest id."""
     marked = stored(fingerprints(docs, words), "fingerprints")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes.select("fp"))).withColumnsRenamed({"node": "fp"})
     rooted = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stored(rooted.join(least, "root").select("fp", "component_id"), "groups")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stored(rooted.join(least, "root").select("fp", "root", "component_id"), "groups")
+    return marked.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest doc_id reachable over links, for every row."""
+    return groups(docs, words).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the row of its smallest id, of rows that share that id one."""
-    kept = near_duplicates(docs, words).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    inner = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    hit = inner.join(kept.select(F.col("doc_id").alias("id"), F.lit(True).alias("stay")), "id", "left_semi")
-    first = Window.partitionBy("id").orderBy(F.xxhash64("row.text"))
-    return hit.withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*")
+    """The rows of ``docs`` that stay, one of each group: that of the smallest id, without ids that of the smallest hash."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("f")
+    chosen = groups(docs, words).groupBy("root").agg(first).select(F.col("f.doc_id").alias("keep"), F.col("f.digest").alias("digest"))
+    rows = _keyed(docs)
+    hit = rows.join(chosen, rows.id.eqNullSafe(chosen.keep) & (rows.digest == chosen.digest), "left_semi")
+    same = Window.partitionBy("id", "digest").orderBy("id")
+    return hit.select("row", F.row_number().over(same).alias("n")).where("n = 1").select("row.*")
 
 
 def op10_simhash(spark, folder):

@@ -80,7 +80,9 @@ def test_one_of_each(spark):
     docs = documents(spark, [(3, "a b c d"), (1, "A b C d"), (1, "a b c d"), (2, None), (5, ""), (7, "quite another text here"), (None, "alone in the dark night")])
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 7]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 7]
+    copies = documents(spark, [(None, "no id at all"), (None, "no id at all"), (None, "no id, other text")])
+    assert sorted(r.text for r in simhash.one_of_each(copies).collect()) == ["no id at all", "no id, other text"]
 
 
 @pytest.mark.parametrize("words_in_shingle", [3, 5])
