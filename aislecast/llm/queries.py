@@ -18,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op1_line_dedup": linededup.SQL,
+    "op2_pii": pii.SQL,
     "op3_mixing": mixing.SQL,
     "op6_embedding_dedup": vectors.SQL,
     "op8_chat_rotation": rotation.SQL,
