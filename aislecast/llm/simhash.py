@@ -7,6 +7,10 @@ differ in at most two bits always meet in an entry: the differing bits are put r
 documents look alike; its members point at the smallest one after their complete distance is verified, and connected
 components of these links are the groups. Nothing is sampled, capped or paired within a group.
 
+``one_of_each`` has a measure of its own, a Jaccard similarity of 0.8 of the sets of five-word shingles. Such pairs are about
+ten of 64 bits apart, and segments short enough for them to meet are shared by too many unrelated texts, so they meet in
+bands of least shingle hashes (MinHash). Each pair that is linked has been verified by the sets themselves.
+
 Defined results: a null or empty text (or blanks only) has fingerprint zero and is linked like any other; fewer words than
 a shingle has make one shingle of all words; equal fingerprints are one node; a null id counts for no component id
 (a component of null ids only has none); rows of one id stay rows of their own; an empty table gives an empty result.
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import components, in_workers, stored, table
 
 BITS, SEED, CHUNK = 64, 42, 1 << 16
+BANDS, ROWS = 16, 5  # two texts of Jaccard similarity s share a key with probability 1 - (1 - s**ROWS)**BANDS, 0.998 at 0.8
+FACTORS = [(f | np.uint64(1), t) for f, t in np.random.default_rng(SEED).integers(0, 1 << 64, (BANDS * ROWS, 2), np.uint64)]
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -88,10 +94,77 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return groups(docs, words).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
+def _shingles(text: str | None, words: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the word shingles, ascending; empty for a text without words."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    shingles = iter([b" ".join(tokens)]) if len(tokens) < words else map(b" ".join, zip(*(tokens[i:] for i in range(words))))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64))
+
+
+def _band_keys(shingles: np.ndarray) -> list[int]:
+    """One key for each band of ``ROWS`` least shingle hashes under as many multiplications; none for a text without words."""
+    if not len(shingles):
+        return []
+    least = np.empty(BANDS * ROWS, "<u8")
+    for i, (factor, term) in enumerate(FACTORS):
+        least[i] = ((shingles ^ (shingles >> np.uint64(29))) * factor + term).min()
+    return [xxhash.xxh64_intdigest(least[k : k + ROWS].tobytes(), k) - (1 << 63) for k in range(0, BANDS * ROWS, ROWS)]
+
+
+def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, digest, node, keys) of every row: ``node`` is a hash of the lower-cased words, ``keys`` are its bands' keys."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(2)]
+            nodes = [xxhash.xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) - (1 << 63) for t in texts]
+            keys = pa.array([_band_keys(_shingles(t, words)) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), keys], ["doc_id", "digest", "node", "keys"])
+
+    return in_workers(_keyed(docs).select("id", "digest", "body"), run, "doc_id long, digest long, node long, keys array<long>")
+
+
+def alike(docs: DataFrame, marked: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b): nodes that met in a band and whose shingle sets are verified to have a Jaccard similarity of ``similarity``.
+
+    A key's nodes are compared with its smallest and its largest one, so a key of any size costs two pairs a node.
+    """
+    entries = stored(marked.select("node", F.explode("keys").alias("key")).distinct(), "bands")
+    ends = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    met = entries.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
+    pairs = stored(met.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct(), "met")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("f")
+    one = marked.join(wanted, "node", "left_semi").groupBy("node").agg(place).select("node", F.col("f.doc_id").alias("at"), F.col("f.digest").alias("of"))
+    rows = _keyed(docs)
+    found = rows.join(one, rows.id.eqNullSafe(one["at"]) & (rows.digest == one["of"]))
+    bodies = stored(found.groupBy("node").agg(F.first("body").alias("body")), "bodies")
+    left, right = bodies.withColumnsRenamed({"node": "a", "body": "x"}), bodies.withColumnsRenamed({"node": "b", "body": "y"})
+
+    def run(batches):
+        last, held = None, None
+        for batch in batches:
+            kept = []
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if a != last:
+                    last, held = a, _shingles(x.as_py(), words)
+                other = _shingles(y.as_py(), words)
+                both = len(np.intersect1d(held, other, assume_unique=True))
+                kept.append(both >= similarity * (len(held) + len(other) - both))
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+    return in_workers(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), run, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group: that of the smallest id, without ids that of the smallest hash."""
+    marked = stored(sketches(docs, words), "sketches")
+    roots = components(alike(docs, marked, words, similarity)).withColumnsRenamed({"root": "group"})
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("f")
-    chosen = groups(docs, words).groupBy("root").agg(first).select(F.col("f.doc_id").alias("keep"), F.col("f.digest").alias("digest"))
+    least = marked.groupBy("node").agg(first).join(roots, "node", "left").groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("f").alias("f"))
+    chosen = least.select(F.col("f.doc_id").alias("keep"), F.col("f.digest").alias("digest"))
     rows = _keyed(docs)
     hit = rows.join(chosen, rows.id.eqNullSafe(chosen.keep) & (rows.digest == chosen.digest), "left_semi")
     same = Window.partitionBy("id", "digest").orderBy("id")

@@ -95,3 +95,29 @@ def test_components_of_a_long_chain_and_a_star(spark):
     star = [(1000, 1000 + i) for i in range(1, 300)]
     out = components(spark.createDataFrame(chain + star, "a long, b long"))
     assert {r.node: r.root for r in out.collect()} == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}}
+
+
+def jaccard(a, b, k=5):
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)} for w in (words(a), words(b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_one_of_each_joins_texts_alike_by_five_words(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(900)]
+    rows = []
+    for i in range(40):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(60, 200))]
+        rows.append((10 * i, " ".join(base)))
+        for j, edits in enumerate((1, 2, 3, 8)):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), edits):
+                copy[at] = "changed"
+            rows.append((10 * i + j + 1, " ".join(copy)))
+    text = dict(rows)
+    near = [(a, b) for a in text for b in text if a < b and a // 10 == b // 10 and jaccard(text[a], text[b]) >= 0.8]
+    top = groups(near, text)
+    least = {min(i for i in text if top[i] == t) for t in set(top.values())}
+    assert sum(bin(brute_fp(text[a]) ^ brute_fp(text[b])).count("1") > 2 for a, b in near) > 10
+    kept = {r.doc_id for r in simhash.one_of_each(documents(spark, rows)).collect()}
+    assert kept == least
