@@ -1,6 +1,6 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, and context windows that tell quotation from abuse.
 
-The lexicon is learned from labelled training rows (and starts from a short list of common insults): words, and stems
+The lexicon is learned from labelled training rows alone: words, and stems
 that open a word, weighted by how much likelier they are in toxic documents. Its trie is intersected with the automaton
 of all strings within one edit; the product is made deterministic as words ask for it, so a word costs one table
 step per letter and ends at the first letter that no lexicon word can follow. Words seen in clean documents are no
@@ -10,8 +10,8 @@ a second person makes it abuse. A logistic model over these sums gives the score
 Training reads at most ``sample`` labelled rows, half of each class, chosen by a hash of the id: it is the only bounded
 part and does not depend on the order of rows. Everything else reads all rows and whole texts.
 
-Defined results: null and empty texts get the score of a text without hits; without labelled rows of both classes the
-fixed starting model scores; a row may carry any other columns; labels of ids that are null or absent are unused, of
+Defined results: null and empty texts get the score of a text without hits; without labelled rows of both classes there
+is no lexicon and every text gets the score of a text without hits; a row may carry any other columns; labels of ids that are null or absent are unused, of
 several labels of an id the largest counts; rows of one id are scored alike if their texts are; an empty table gives an empty result.
 """
 
@@ -31,7 +31,6 @@ from pyspark.sql import types as T
 from .common import Cache, held, in_workers, stored, table
 
 SAMPLE, MAX_TERMS, THRESHOLD = 20_000, 4_000, 0.7
-INSULTS = ("idiot", "moron", "stupid", "pathetic", "worthless", "loser", "scum", "trash", "disgusting", "clown")
 REPORTING = frozenset("said says called calls quote quoted quotes word words term insult sagte nannte dit appelé dijo llamó".split())
 SECOND_PERSON = frozenset("you your you're youre yourself du dich dir dein euch tu te toi ton vous votre tú ti eres usted".split())
 QUOTES = "\"“”„«»‘’‹›"
@@ -286,14 +285,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     n = [0, 0, 0, 0]
     for r in rows.groupBy("toxic", "half").count().collect():
         n[r.half if r.toxic else 2 + r.half] = r["count"]
-    start = {w: FUZZY_WEIGHT for w in INSULTS}
     if not (n[0] + n[1]) or not (n[2] + n[3]):
-        return Model(start)
+        return Model({})
     counts = stored(_term_counts(rows), "terms")
 
     def lexicon(halves):
         words, stems = _lexicon(counts, n, halves, most)
-        model = Model(start | words, stems)
+        model = Model(words, stems)
         model.known = _known(counts, model)
         return model
 

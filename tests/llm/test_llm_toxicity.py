@@ -93,3 +93,10 @@ def test_held_out_accuracy(spark):
     hit = sum(r.toxic and r.predicted for r in got)
     assert hit >= 0.85 * sum(r.toxic for r in got)
     assert sum(r.predicted and not r.toxic for r in got) <= 0.01 * len(got)
+
+
+def test_lexicon_is_of_the_sample_alone(spark):
+    docs, labels = training(spark)
+    seen = {w for r in docs.collect() for w in r.text.split()}
+    assert set(t.learn(docs, labels).words) <= seen
+    assert t.learn(docs, labels.where("toxic = 0")).words == {}
