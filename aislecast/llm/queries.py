@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, mixing, ngrams, pii, rotation, simhash, toxicity, vectors, winnowing
+from . import bpe, collocations, linededup, mixing, ngrams, pii, rotation, simhash, toxicity, vectors, winnowing
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_rotation": rotation.op8_chat_rotation,
     "op9_winnowing": winnowing.op9_winnowing,
     "op10_simhash": simhash.op10_simhash,
+    "op12_collocations": collocations.op12_collocations,
 }
 SQL = {
     "op1_line_dedup": linededup.SQL,
@@ -22,4 +23,5 @@ SQL = {
     "op3_mixing": mixing.SQL,
     "op6_embedding_dedup": vectors.SQL,
     "op8_chat_rotation": rotation.SQL,
+    "op12_collocations": collocations.SQL,
 }
