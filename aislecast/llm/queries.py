@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, collocations, linededup, mixing, ngrams, pii, rotation, simhash, toxicity, vectors, winnowing
+from . import bpe, collocations, linededup, mixing, ngrams, packing, pii, rotation, simhash, toxicity, turnrepair, vectors, winnowing
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_chat_rotation": rotation.op8_chat_rotation,
     "op9_winnowing": winnowing.op9_winnowing,
     "op10_simhash": simhash.op10_simhash,
+    "op11_turn_repair": turnrepair.op11_turn_repair,
     "op12_collocations": collocations.op12_collocations,
+    "op13_packing": packing.op13_packing,
 }
 SQL = {
     "op1_line_dedup": linededup.SQL,
@@ -23,5 +25,6 @@ SQL = {
     "op3_mixing": mixing.SQL,
     "op6_embedding_dedup": vectors.SQL,
     "op8_chat_rotation": rotation.SQL,
+    "op11_turn_repair": turnrepair.SQL,
     "op12_collocations": collocations.SQL,
 }
