@@ -1,15 +1,12 @@
 """SimHash fingerprints and groups of near duplicates by multi-index hashing.
 
-Each fingerprint is cut into two 32-bit segments. For every segment the small Hamming ball around its value is enumerated
-and each member, together with the untouched other segment, is an entry of that segment's table. Two fingerprints that
-differ in at most two bits always meet in an entry: the differing bits are put right one by the one, one by the other
-(the same segment or not). An entry's key has 64 neighbours, so no entry holds more than 65 fingerprints however many
-documents look alike; its members point at the smallest one after their complete distance is verified, and connected
-components of these links are the groups. Nothing is sampled, capped or paired within a group.
-
-``one_of_each`` has a measure of its own, a Jaccard similarity of 0.8 of the sets of five-word shingles. Such pairs are about
-ten of 64 bits apart, and segments short enough for them to meet are shared by too many unrelated texts, so they meet in
-bands of least shingle hashes (MinHash). Each pair that is linked has been verified by the sets themselves.
+A fingerprint is cut into two 32-bit segments; each segment has a table of the fingerprints by the segment's value. Two fingerprints within
+two bits differ in at most one bit of one segment, so that segment's Hamming ball of radius one around either holds the
+other: every fingerprint fetches the table entries of the 33 members of both balls, and complete distances decide. A value that many
+fingerprints share (``CROWD``: families of near copies) is looked up by the other segment too: there the balls of radius one around the
+whole fingerprint meet, in which two within two bits always have a member in common, and whose members point at the smallest
+fingerprint of theirs. So no task gathers a family, no pairs of a family are listed, and no link is lost; connected components of the
+links are the groups. Nothing is sampled or capped.
 
 Defined results: a null or empty text (or blanks only) has fingerprint zero and is linked like any other; fewer words than
 a shingle has make one shingle of all words; equal fingerprints are one node; a null id counts for no component id
@@ -18,7 +15,7 @@ a shingle has make one shingle of all words; equal fingerprints are one node; a
 
 from __future__ import annotations
 
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import components, in_workers, stored, table
 
 BITS, SEED, CHUNK = 64, 42, 1 << 16
-BANDS, ROWS = 16, 5  # two texts of Jaccard similarity s share a key with probability 1 - (1 - s**ROWS)**BANDS, 0.998 at 0.8
-FACTORS = [(f | np.uint64(1), t) for f, t in np.random.default_rng(SEED).integers(0, 1 << 64, (BANDS * ROWS, 2), np.uint64)]
+SEGMENT, DISTANCE = 32, 2
+CROWD = 32  # a segment's value with more fingerprints is looked up by the other segment too
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -64,18 +61,48 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(body).alias("digest"), body.alias("body"))
 
 
-def entries(fps: DataFrame) -> DataFrame:
-    """(key, fp): the table entries of each distinct fingerprint, the balls of radius one in its two segments."""
-    low = [1 << b for b in range(32)]
-    high = [1 << b if b < 63 else -(1 << 63) for b in range(32, 64)]
-    flips = F.array(*[F.lit(m).cast("long") for m in chain([0], low, high)])
-    return fps.select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("key"), "fp")
+def _flips(bits) -> list[int]:
+    """0 and each single bit, as signed 64-bit masks."""
+    return [0, *(1 << b if b < BITS - 1 else -(1 << b) for b in bits)]
+
+
+def table_entries(fps: DataFrame) -> DataFrame:
+    """(segment, value, fp): each distinct fingerprint under the value of each of its segments."""
+    low, high = F.col("fp").bitwiseAND(F.lit((1 << SEGMENT) - 1)), F.shiftrightunsigned("fp", SEGMENT)
+    both = F.array(*[F.struct(F.lit(i).alias("segment"), v.alias("value")) for i, v in enumerate((low, high))])
+    return fps.select("fp", F.explode(both).alias("e")).select("e.segment", "e.value", "fp")
+
+
+def probes(entries: DataFrame) -> DataFrame:
+    """(segment, value, probe): the members of the ball of radius one around each segment of each fingerprint."""
+    flips = F.array(*[F.lit(m).cast("long") for m in _flips(range(SEGMENT))])
+    return entries.select("segment", F.explode(F.transform(flips, lambda m: F.col("value").bitwiseXOR(m))).alias("value"), F.col("fp").alias("probe"))
+
+
+def candidates(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(probe, fp) of fingerprints of which one fetched the other, and (fp, null) of those that hold or fetched a crowded value."""
+    entries = stored(table_entries(fps), "entries")
+    crowded = entries.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("segment", "value")
+    held = stored(entries.join(crowded.withColumn("crowded", F.lit(True)), ["segment", "value"], "left"), "held")
+    once = held.where("crowded").select("segment", "value", F.lit(None).cast("long").alias("fp")).distinct()
+    table_ = held.where("crowded is null").select("segment", "value", "fp").union(once)
+    met = table_.join(probes(entries), ["segment", "value"]).where("fp is null or probe < fp").select("probe", "fp")
+    return met.union(held.where("crowded").select("fp", F.lit(None).cast("long"))).distinct()
 
 
-def links(fps: DataFrame, distance: int = 2) -> DataFrame:
-    """(a, b): fingerprints that met in an entry and are verified to differ in at most ``distance`` = 2 bits."""
-    met = entries(fps).withColumn("least", F.min("fp").over(Window.partitionBy("key"))).where("fp <> least")
-    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= distance).select(F.col("fp").alias("a"), F.col("least").alias("b"))
+def verified(pairs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
+    """(a, b): fingerprints that are verified to differ in at most ``distance`` (up to 2) bits, and link all that do."""
+    met = stored(candidates(fps, crowd), "candidates")
+    pairs = met.where("fp is not null").select(F.col("probe").alias("a"), F.col("fp").alias("b"))
+    flips = F.array(*[F.lit(m).cast("long") for m in _flips(range(BITS))])
+    many = met.where("fp is null").select(F.col("probe").alias("fp")).distinct()
+    balls = many.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("member"))  # a member has at most 65 of them
+    least = balls.withColumn("least", F.min("fp").over(Window.partitionBy("member"))).where("fp <> least")
+    return verified(pairs.union(least.select(F.col("least").alias("a"), F.col("fp").alias("b"))), distance)
 
 
 def groups(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -94,79 +121,13 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return groups(docs, words).select("doc_id", "fp", "component_id")
 
 
-def _shingles(text: str | None, words: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the word shingles, ascending; empty for a text without words."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    shingles = iter([b" ".join(tokens)]) if len(tokens) < words else map(b" ".join, zip(*(tokens[i:] for i in range(words))))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64))
-
-
-def _band_keys(shingles: np.ndarray) -> list[int]:
-    """One key for each band of ``ROWS`` least shingle hashes under as many multiplications; none for a text without words."""
-    if not len(shingles):
-        return []
-    least = np.empty(BANDS * ROWS, "<u8")
-    for i, (factor, term) in enumerate(FACTORS):
-        least[i] = ((shingles ^ (shingles >> np.uint64(29))) * factor + term).min()
-    return [xxhash.xxh64_intdigest(least[k : k + ROWS].tobytes(), k) - (1 << 63) for k in range(0, BANDS * ROWS, ROWS)]
-
-
-def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, digest, node, keys) of every row: ``node`` is a hash of the lower-cased words, ``keys`` are its bands' keys."""
-
-    def run(batches):
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column(2)]
-            nodes = [xxhash.xxh64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) - (1 << 63) for t in texts]
-            keys = pa.array([_band_keys(_shingles(t, words)) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), keys], ["doc_id", "digest", "node", "keys"])
-
-    return in_workers(_keyed(docs).select("id", "digest", "body"), run, "doc_id long, digest long, node long, keys array<long>")
-
-
-def alike(docs: DataFrame, marked: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(a, b): nodes that met in a band and whose shingle sets are verified to have a Jaccard similarity of ``similarity``.
-
-    A key's nodes are compared with its smallest and its largest one, so a key of any size costs two pairs a node.
-    """
-    entries = stored(marked.select("node", F.explode("keys").alias("key")).distinct(), "bands")
-    ends = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = entries.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
-    pairs = stored(met.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct(), "met")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    place = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("f")
-    one = marked.join(wanted, "node", "left_semi").groupBy("node").agg(place).select("node", F.col("f.doc_id").alias("at"), F.col("f.digest").alias("of"))
-    rows = _keyed(docs)
-    found = rows.join(one, rows.id.eqNullSafe(one["at"]) & (rows.digest == one["of"]))
-    bodies = stored(found.groupBy("node").agg(F.first("body").alias("body")), "bodies")
-    left, right = bodies.withColumnsRenamed({"node": "a", "body": "x"}), bodies.withColumnsRenamed({"node": "b", "body": "y"})
-
-    def run(batches):
-        last, held = None, None
-        for batch in batches:
-            kept = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                if a != last:
-                    last, held = a, _shingles(x.as_py(), words)
-                other = _shingles(y.as_py(), words)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                kept.append(both >= similarity * (len(held) + len(other) - both))
-            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
-
-    return in_workers(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), run, "a long, b long")
-
-
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group: that of the smallest id, without ids that of the smallest hash."""
-    marked = stored(sketches(docs, words), "sketches")
-    roots = components(alike(docs, marked, words, similarity)).withColumnsRenamed({"root": "group"})
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("f")
-    least = marked.groupBy("node").agg(first).join(roots, "node", "left").groupBy(F.coalesce("group", "node").alias("group")).agg(F.min("f").alias("f"))
-    chosen = least.select(F.col("f.doc_id").alias("keep"), F.col("f.digest").alias("digest"))
+    least = groups(docs, words).groupBy("root").agg(first)
+    chosen = least.select(F.col("f.doc_id").alias("keep"), F.col("f.digest").alias("of"))
     rows = _keyed(docs)
-    hit = rows.join(chosen, rows.id.eqNullSafe(chosen.keep) & (rows.digest == chosen.digest), "left_semi")
+    hit = rows.join(chosen, rows.id.eqNullSafe(chosen.keep) & (rows.digest.eqNullSafe(chosen["of"])), "left_semi")
     same = Window.partitionBy("id", "digest").orderBy("id")
     return hit.select("row", F.row_number().over(same).alias("n")).where("n = 1").select("row.*")
 
