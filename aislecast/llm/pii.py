@@ -4,8 +4,9 @@ Base spans are the leftmost non-overlapping matches of four patterns. Each disti
 near it reveals is the pointwise mutual information of the two in the corpus, PMI = log(N n_te / (n_t n_e)), as a share of
 the entity's information content, log(N / n_e): 1 means that who reads the term knows the entity. N, n_t and n_e are
 numbers of documents (all, with the term, with the entity), n_te of documents with the term in the entity's window.
-Terms from ``REMOVE`` on are removed, from ``GENERALISE`` on generalised; a term needs two documents with
-different windows as evidence, since one occurrence, or copies of it, tell nothing about the corpus.
+Terms from ``REMOVE`` on are removed, from ``GENERALISE`` on generalised, wherever in the corpus they are written, the strictest action
+over the entities that they reveal; a term needs two documents with different windows as evidence, since one occurrence, or
+copies of it, tell nothing about the corpus. A window is the ``REACH`` characters of the whole text on either side of the entity.
 
 Everything is DataFrame functions: the gaps between matches give positions, running sums per row place them.
 Patterns are possessive and anchored at the start of a run, so long runs cost linear time and no stack.
@@ -36,21 +37,14 @@ LAST = 9223372036854775807
 
 
 def _hits(body: Column, kind: str) -> Column:
-    """Array of (kind, nth, value, gap, before, after): matches, the gap's length before each, and what is around."""
+    """Array of (kind, nth, value, gap): matches and the gap's length before each."""
     pattern, holds = PATTERNS[kind]
     found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-    gaps = F.transform(
-        F.split(body, pattern, -1),
-        lambda g: F.struct(F.char_length(g).alias("gap"), F.right(g, F.lit(REACH)).alias("before"), F.left(g, F.lit(REACH)).alias("after")),
-    )
+    gaps = F.transform(F.split(body, pattern, -1), F.char_length)
     n = F.size(found)
-    zipped = F.arrays_zip(found.alias("value"), F.slice(gaps, 1, n).alias("a"), F.slice(gaps, F.lit(2), n).alias("b"))
-    rows = F.transform(
-        zipped,
-        lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), z["value"].alias("value"), z["a"]["gap"].alias("gap"),
-                              z["a"]["before"].alias("before"), z["b"]["after"].alias("after")),
-    )
-    none = F.array().cast("array<struct<kind:string,nth:int,value:string,gap:int,before:string,after:string>>")
+    zipped = F.arrays_zip(found.alias("value"), F.slice(gaps, 1, n).alias("gap"))
+    rows = F.transform(zipped, lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), z["value"].alias("value"), z["gap"].alias("gap")))
+    none = F.array().cast("array<struct<kind:string,nth:int,value:string,gap:int>>")
     may = F.contains(body, F.lit(holds)) if holds else F.lit(True)
     return F.when(may & (n > 0), rows).otherwise(none)
 
@@ -85,7 +79,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def base_spans(found: DataFrame) -> DataFrame:
-    """(doc, digest, copies, kind, start, end, value, before, after) of passing matches, one row per match."""
+    """(doc, digest, copies, kind, start, end, value) of passing matches, one row per match."""
     once = found.groupBy("doc", "digest").agg(F.first("hits").alias("hits"), F.count(F.lit(1)).alias("copies"))
     hits = once.select("doc", "digest", "copies", F.inline("hits"))
     through = Window.partitionBy("doc", "digest", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
@@ -95,13 +89,13 @@ def base_spans(found: DataFrame) -> DataFrame:
 
 
 def in_whole_texts(base: DataFrame, rows: DataFrame) -> DataFrame:
-    """``base`` with ``before`` and ``after`` from the whole text, not only from the gaps to the neighbouring matches of the kind."""
+    """``base`` with ``before`` and ``after``, the ``REACH`` characters of the whole text on either side of each span."""
     held = rows.join(base.select("doc", "digest").distinct(), ["doc", "digest"], "left_semi")
     texts = held.groupBy("doc", "digest").agg(F.first("body").alias("body"))
     since = F.greatest(F.col("start") - REACH, F.lit(0))
     before = F.substring("body", (since + 1).cast("int"), (F.col("start") - since).cast("int"))
     after = F.substring("body", (F.col("end") + 1).cast("int"), F.lit(REACH))
-    placed = base.drop("before", "after").join(texts, ["doc", "digest"])
+    placed = base.join(texts, ["doc", "digest"])
     return placed.withColumns({"before": before, "after": after}).drop("body")
 
 
@@ -163,25 +157,23 @@ def occurrences(rows: DataFrame, revealed: DataFrame) -> DataFrame:
     return placed.withColumn("term", F.lower("value")).join(flagged, "term").select("doc", "digest", "kind", "start", "end")
 
 
-def find(docs: DataFrame, whole: bool = False) -> DataFrame:
+def find(docs: DataFrame) -> DataFrame:
     """(doc_id, doc, digest, base, added) of every row: arrays of (start, kind number, end), ascending.
 
-    ``added`` has the disclosing terms near the entities that they reveal, gathered up to the next match of the kind as in the
-    check SQL; with ``whole`` they are gathered across such matches and found in whole texts, wherever they are.
+    ``added`` has every place of a disclosing term in whole texts, also in texts without its entity, but for places in base spans.
     """
     rows = _rows(docs)
     hits = F.concat(*[_hits(F.col("body"), k) for k in PATTERNS])
     found = stored(rows.select("doc_id", "doc", "digest", hits.alias("hits")), "hits")
     base = stored(base_spans(found.where(F.size("hits") > 0)), "base")
-    terms = stored(near_terms(in_whole_texts(base, rows) if whole else base), "terms")
+    terms = stored(near_terms(in_whole_texts(base, rows)), "terms")
     revealed = stored(disclosing(docs, base, terms), "disclosing")
     number = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))]), F.col("kind"))
     as_span = F.struct(F.col("start").cast("long").alias("start"), number.alias("kind"), F.col("end").cast("long").alias("end"))
     spans = base.groupBy("doc", "digest").agg(F.sort_array(F.collect_list(as_span)).alias("base"))
-    places = occurrences(rows, revealed) if whole else terms.join(revealed, ["entity", "term"])
-    more = places.groupBy("doc", "digest").agg(F.sort_array(F.collect_set(as_span)).alias("near"))
+    more = occurrences(rows, revealed).groupBy("doc", "digest").agg(F.sort_array(F.collect_set(as_span)).alias("near"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    per = spans.join(more, ["doc", "digest"], "full" if whole else "left").withColumn("base", F.coalesce("base", none))
+    per = spans.join(more, ["doc", "digest"], "full").withColumn("base", F.coalesce("base", none))
     clear = F.filter("near", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     per = per.select("doc", "digest", "base", clear.alias("added"))
     out = found.select("doc_id", "doc", "digest").join(per, ["doc", "digest"], "left")
@@ -190,7 +182,7 @@ def find(docs: DataFrame, whole: bool = False) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """(row, sanitised): each input row as a struct, and its text with base spans named by kind, disclosing terms generalised or removed."""
-    per = find(docs, whole=True).select("doc", "digest", F.array_sort(F.concat("base", "added")).alias("spans")).distinct()
+    per = find(docs).select("doc", "digest", F.array_sort(F.concat("base", "added")).alias("spans")).distinct()
     per = stored(per.where(F.size("spans") > 0), "spans")  # few next to the texts
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     rows = _rows(docs).join(per, ["doc", "digest"], "left").withColumn("spans", F.coalesce("spans", none))
@@ -246,11 +238,12 @@ def _sql() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 m AS ({found}),
 h AS (SELECT *, unnest(range(1, len(f)+1)) AS i FROM m WHERE len(f)>0),
-p AS (SELECT doc_id, no, kind, f[i] AS v, right(g[i], {REACH}) AS bef, left(g[i+1], {REACH}) AS aft, {place} AS s FROM h),
+p AS (SELECT doc_id, no, kind, f[i] AS v, {place} AS s FROM h),
 r AS (SELECT *, s+length(v) AS e, regexp_replace(v, '[^0-9]', '', 'g') AS dg, kind || ':' || lower(v) AS ent FROM p),
 b AS (SELECT * FROM r WHERE CASE kind WHEN 'ip' THEN regexp_full_match(v, '{OCTET}(?:\\.{OCTET}){{3}}') WHEN 'card' THEN length(dg) BETWEEN 14 AND 19 AND {luhn}
   WHEN 'phone' THEN length(dg) BETWEEN 10 AND 15 ELSE TRUE END),
-w AS (SELECT doc_id, ent, md5(bef || '|' || aft) AS win, bef AS ctx, s-length(bef) AS base, TRUE AS lft FROM b UNION ALL SELECT doc_id, ent, md5(bef || '|' || aft), aft, e, FALSE FROM b),
+c AS (SELECT b.*, substr(body, greatest(s-{REACH}, 0)+1, least(s, {REACH})) AS bef, substr(body, e+1, {REACH}) AS aft FROM b JOIN d ON d.doc_id IS NOT DISTINCT FROM b.doc_id),
+w AS (SELECT doc_id, ent, md5(bef || '|' || aft) AS win, bef AS ctx, s-length(bef) AS base, TRUE AS lft FROM c UNION ALL SELECT doc_id, ent, md5(bef || '|' || aft), aft, e, FALSE FROM c),
 x AS (SELECT *, regexp_extract_all(ctx, '{WORD}') AS f, string_split_regex(ctx, '{WORD}') AS g FROM w),
 y AS (SELECT *, unnest(range(1, len(f)+1)) AS i FROM x WHERE len(f)>0),
 z AS (SELECT *, f[i] AS word, {place} AS plc FROM y),
@@ -262,7 +255,10 @@ ot AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT doc_id, unnest(regexp_
 al AS (SELECT count(*)::DOUBLE AS n FROM documents),
 sh AS (SELECT ent, term, ln(n*n_te/(n_t*n_e))/nullif(ln(n/n_e), 0) AS share FROM pr JOIN ot USING (term) JOIN oe USING (ent), al),
 dc AS (SELECT ent, term, CASE WHEN share>={REMOVE} THEN 4 ELSE 5 END AS no FROM sh WHERE share>={GENERALISE}),
-ad AS (SELECT DISTINCT t.doc_id, dc.no, t.s, t.e FROM t JOIN dc USING (ent, term) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id=t.doc_id AND b.s<t.e AND t.s<b.e)),
+fl AS (SELECT term, min(no) AS no FROM dc GROUP BY 1),
+ws AS (SELECT doc_id, unnest(f) AS word, unnest(g[1:len(f)]) AS gap, unnest(range(1, len(f)+1)) AS i FROM (SELECT doc_id, regexp_extract_all(body, '{WORD}') AS f, string_split_regex(body, '{WORD}') AS g FROM d)),
+wp AS (SELECT doc_id, lower(word) AS term, sum(length(gap)+length(word)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS e, length(word) AS n FROM ws),
+ad AS (SELECT doc_id, no, e-n AS s, e FROM wp JOIN fl USING (term) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id=wp.doc_id AND b.s<wp.e AND wp.e-wp.n<b.e)),
 bs AS (SELECT doc_id, {counts}, string_agg({names}, ',' ORDER BY s, no, e) AS txt FROM b GROUP BY 1),
 ev AS (SELECT doc_id, string_agg({names}, ',' ORDER BY s, no, e) AS txt FROM (SELECT doc_id, no, s, e FROM b UNION ALL SELECT doc_id, no, s, e FROM ad) GROUP BY 1)
 SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in plain)}, sha256(coalesce(bs.txt, '')) AS base_sha256, coalesce(ev.txt, '') AS spans

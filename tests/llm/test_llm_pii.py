@@ -92,7 +92,7 @@ def test_query_equals_sql_where_terms_disclose(spark, tmp_path):
     import duckdb
     import pandas as pd
 
-    rows = [*corpus(), *noisy_rows()]
+    rows = [*corpus(), *noisy_rows(), (0, f"{'quiet river ' * 20}nobody but ROSENCRANTZ"), (0, f"ann@corp.org {'stone ' * 30} Rosencrantz")]
     frame = pd.DataFrame({"doc_id": range(len(rows)), "text": [t for _, t in rows]})
     frame.to_parquet(tmp_path / "documents.parquet")
     con = duckdb.connect()
@@ -102,7 +102,8 @@ def test_query_equals_sql_where_terms_disclose(spark, tmp_path):
     want = sorted(tuple(sorted(zip(names, r))) for r in cursor.fetchall())
     got = sorted(tuple(sorted(r.asDict().items())) for r in pii.op2_pii(spark, str(tmp_path)).collect())
     assert got == want
-    assert any("term:" in dict(r)["spans"] for r in got)
+    spans = {dict(r)["doc_id"]: dict(r)["spans"] for r in got}
+    assert spans[len(rows) - 2] == "term:251:262" and spans[len(rows) - 1].endswith(",term:194:205")
 
 
 def test_sanitise_removes_a_term_wherever_it_is(spark):
