@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, in_workers, running_total, stored, table
@@ -136,11 +136,19 @@ def _compare(turn: dict[int, np.ndarray], threshold: float):
     return kernel
 
 
+def _scaled() -> Column:
+    """The vector in double precision, very small and very large ones times a power of two: no norm under- or overflows."""
+    e = F.col("embedding").cast("array<double>")
+    most = F.array_max(F.transform(e, F.abs))
+    power = F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), -F.floor(F.log2(most)).cast("double")))
+    return F.when(most.between(1e-100, 1e100), e).otherwise(F.coalesce(F.transform(e, lambda x: x * F.pow(F.lit(2.0), power)), e))
+
+
 def _valid(vectors: DataFrame) -> DataFrame:
     e = F.col("embedding").cast("array<double>")
     infinite = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ok = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size(e) > 0) & ~infinite & F.exists(e, lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), e.alias("embedding")).where(F.coalesce(ok, F.lit(False)))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), _scaled().alias("embedding"), ok.alias("ok")).where("ok").drop("ok")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -187,7 +195,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     least = base.groupBy("root").agg(F.min("first").alias("component_id"))
     known = base.join(least, "root").select("label", "hash", "embedding", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     known = stored(known.withColumnsRenamed({"label": "of", "hash": "of_hash", "embedding": "of_embedding"}), "known")
-    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", _scaled().alias("embedding"))
     every = every.withColumn("hash", F.when(F.col("vec_id").isNotNull(), F.xxhash64("embedding")))
     on = (F.col("label") == F.col("of")) & (F.col("hash") == F.col("of_hash")) & (F.col("embedding") == F.col("of_embedding"))
     out = every.join(known, on, "left")

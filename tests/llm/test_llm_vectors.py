@@ -73,3 +73,11 @@ def test_bounds_lose_nothing():
         full = x[:150] @ x[150:].T
         assert set(zip(*np.nonzero(full >= threshold))) <= set(zip(i, j))
         assert np.allclose(s, full[i, j])
+
+
+def test_very_small_and_very_large_vectors(spark):
+    rows = [(1, [1e-200] * 20, 1), (2, [1e200] * 20, 1), (3, [1.0] * 20, 1), (4, [1e200] * 19 + [-1e200], 1), (5, [5e-324] * 20, 1), (6, [1e308] + [-1e308] * 19, 1), (7, [1e-300] + [0.0] * 19, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in v.near_duplicates(frame).collect()}
+    # 4 has a cosine of 0.9 to the vectors of equal components, 6 one of -0.9
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (0, 6), 7: (0, 7)}
