@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import ladder, mean_of, ratio, safe_corr
+from . import pairsearch
 
 BLOCK = 1500
 CHUNK = 4096
@@ -39,41 +40,13 @@ def _count_blocks(n: int, size: int) -> int:
 
 
 def grid_correlations(
-    cells: DataFrame, item: str, cell: str, value: str, min_corr: float = 0.3, block: int = BLOCK
+    cells: DataFrame, item: str, cell: str, value: str, min_corr: float = 0.3, block: int = pairsearch.BLOCK
 ) -> DataFrame:
     """Pearson r of every pair of entities over a shared, bounded grid of cells (days), absent cells being 0.
 
     ``cells`` has one row per entity and cell.  Pairs with |r| below ``min_corr`` or without variance are left out.
     """
-    n, items = cells.agg(F.count_distinct(cell), F.approx_count_distinct(item)).first()
-    kind = cells.schema[item].dataType
-    out = T.StructType([T.StructField("item_a", kind), T.StructField("item_b", kind), T.StructField("r", T.DoubleType())])
-
-    def correlate(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, row = np.unique(pdf["item"].to_numpy(), return_inverse=True)
-        days, col = np.unique(pdf["cell"].to_numpy(), return_inverse=True)
-        x = np.zeros((len(ids), len(days)))
-        x[row, col] = pdf["x"].to_numpy(dtype=float)
-        home = np.zeros(len(ids), dtype=int)
-        home[row] = pdf["_b"].to_numpy()
-        lo, hi = int(pdf["_lo"].iloc[0]), int(pdf["_hi"].iloc[0])
-        left, right = np.flatnonzero(home == lo), np.flatnonzero(home == hi)
-        s, ss = x.sum(axis=1), (x * x).sum(axis=1)
-        spread = np.sqrt(np.maximum(n * ss - s * s, 0.0))
-        spread[n * ss - s * s <= 1e-12 * n * ss] = 0.0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r = (n * (x[left] @ x[right].T) - np.outer(s[left], s[right])) / np.outer(spread[left], spread[right])
-        keep = np.isfinite(r) & (np.abs(r) >= min_corr)
-        if lo == hi:
-            keep &= np.triu(np.ones_like(keep, dtype=bool), 1)
-        i, j = np.nonzero(keep)
-        a, b = ids[left[i]], ids[right[j]]
-        first, second = np.where(a < b, a, b), np.where(a < b, b, a)
-        return pd.DataFrame({"item_a": first, "item_b": second, "r": np.clip(r[i, j], -1.0, 1.0)})
-
-    rows = cells.select(F.col(item).alias("item"), F.col(cell).cast("string").alias("cell"), F.col(value).cast("double").alias("x"))
-    spread = _block_pairs(rows, "item", _count_blocks(items, block))
-    return spread.groupBy("_lo", "_hi").applyInPandas(correlate, out)
+    return pairsearch.correlated_pairs(cells, item, cell, value, min_corr, block=block)
 
 
 def cooccurrence_sums(
@@ -90,11 +63,11 @@ def cooccurrence_sums(
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, row = np.unique(pdf["item"].to_numpy(), return_inverse=True)
-        keys, col = np.unique(pdf["cell"].to_numpy(), return_inverse=True)
+        col = pdf.groupby(parts_of, sort=False, dropna=False).ngroup().to_numpy()
         mats = []
         for name in ("x", "y"):
-            m = np.zeros((len(ids), len(keys)))
-            m[row, col] = pdf[name].to_numpy(dtype=float)
+            m = np.zeros((len(ids), col.max() + 1))
+            np.add.at(m, (row, col), pdf[name].to_numpy(dtype=float))
             mats.append(m)
         mx, my = mats
         home = np.zeros(len(ids), dtype=int)
@@ -119,23 +92,24 @@ def cooccurrence_sums(
             }
         )
 
+    parts_of = [f"cell_{i}" for i in range(len(cell))]
     rows = cells.select(
         F.col(item).alias("item"),
-        F.xxhash64(*cell).alias("cell"),
+        *[F.col(c).alias(name) for c, name in zip(cell, parts_of)],
         F.col(x).cast("double").alias("x"),
         F.col(y).cast("double").alias("y"),
     )
     spread = _block_pairs(rows, "item", _count_blocks(n_items, block)).withColumn(
-        "_c", F.pmod("cell", F.lit(_count_blocks(n_cells, chunk)))
+        "_c", F.pmod(F.xxhash64(*parts_of), F.lit(_count_blocks(n_cells, chunk)))
     )
     parts = spread.groupBy("_lo", "_hi", "_c").applyInPandas(multiply, out)
     return parts.groupBy("item_a", "item_b").agg(*[F.sum(c).alias(c) for c in ("xx", "xy", "yx")])
 
 
-def product_correlations(sales: DataFrame, item: str = "product_id", value: str = "sale_amount", min_corr: float = 0.3, block: int = BLOCK) -> DataFrame:
-    """Correlated product pairs over the sale days (mean per day, absent days 0) with their kind."""
+def product_correlations(sales: DataFrame, item: str = "product_id", value: str = "sale_amount", min_corr: float = 0.3, k: int = 10) -> DataFrame:
+    """For each product its ``k`` most correlated others over the sale days (mean per day, absent days 0) with their kind and the number of all."""
     cells = sales.groupBy(item, "sale_date").agg(mean_of(value).alias("_x"))
-    r = grid_correlations(cells, item, "sale_date", "_x", min_corr, block)
+    r = pairsearch.strongest_partners(cells, item, "sale_date", "_x", min_corr, k)
     return r.withColumn(
         "correlation_type", F.when(F.col("r") > 0.7, "complementary").when(F.col("r") < -0.5, "substitute").otherwise("neutral")
     )

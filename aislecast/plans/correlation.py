@@ -26,7 +26,9 @@ r AS (SELECT a.product_id item_a, b.product_id item_b,
     "product_correlations",
     "COR-1 JN-13 AGG-15",
     f"""{_PAIRS}
-SELECT item_a, item_b, {q('r')} AS r, CASE WHEN r>0.7 THEN 'complementary' WHEN r<-0.5 THEN 'substitute' ELSE 'neutral' END AS correlation_type FROM r WHERE abs(r)>=0.3""",
+, l AS (SELECT item_a item, item_b other, r FROM r WHERE abs(r)>=0.3 UNION ALL SELECT item_b, item_a, r FROM r WHERE abs(r)>=0.3),
+k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY round(abs(r), 6) DESC, other) rank, count(*) OVER (PARTITION BY item) n_links FROM l)
+SELECT item, other, {q('r')} AS r, rank, n_links, CASE WHEN r>0.7 THEN 'complementary' WHEN r<-0.5 THEN 'substitute' ELSE 'neutral' END AS correlation_type FROM k WHERE rank<=10""",
 )
 def product_correlations(t):
     return cor.product_correlations(t.lines(since=t.day(90)))
