@@ -144,6 +144,10 @@ class RetailTables:
             )
         )
 
+    def pairs(self) -> DataFrame:
+        """The distinct (store_id, product_id) that have ever sold, from the two columns of the order lines."""
+        return self._raw_lines(None, None).select("store_id", "product_id").distinct()
+
     def sales(
         self,
         geo: bool = True,

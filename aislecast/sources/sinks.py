@@ -1,4 +1,4 @@
-"""Writers: exports, keyed upserts by new versions, result tables with JSON payloads, partitioned forecasts."""
+"""Writers: exports, keyed upserts, result tables with JSON payloads, partitioned forecasts."""
 
 from __future__ import annotations
 
@@ -23,23 +23,10 @@ def export(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwri
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The old rows whose key is not in ``new``, plus ``new``; write the result as the next version."""
+    """The old rows whose key is not in ``new``, plus ``new``; ``versioned.upsert`` writes that for the touched buckets only."""
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
 
 
-def write_version(df: DataFrame, path: str, version: int) -> str:
-    """The frame as a new version beside the older ones, which readers may still use."""
-    folder = f"{path}/version={version}"
-    df.write.mode("overwrite").parquet(folder)
-    return folder
-
-
-def upsert_version(path: str, version: int, new: DataFrame, keys: Sequence[str]) -> str:
-    """The rows of ``version`` with ``new`` upserted, written as the next version."""
-    old = new.sparkSession.read.parquet(f"{path}/version={version}")
-    return write_version(upsert(old, new, keys), path, version + 1)
-
-
 def overwrite_days(df: DataFrame, path: str, day: str) -> None:
     """Replaces only the partitions of the days present in ``df``."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
