@@ -12,10 +12,6 @@ def _events(t):
     return mon.event_stream(t.spark, t.path)
 
 
-def _batch(t):
-    return t.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
-
-
 @query(
     "stream_tumbling_counts",
     "STR-1",
@@ -33,23 +29,13 @@ def stream_tumbling_counts(t):
     f"""
 , e AS (SELECT event_type, unnest([0,1,2,3]) k, time_bucket(INTERVAL 6 HOUR, ts) b FROM events),
 w AS (SELECT b - k*INTERVAL 6 HOUR s, event_type, count(*) n FROM e GROUP BY 1,2),
-cu AS (SELECT date_trunc('day', min(ts)) + INTERVAL 15 DAY c FROM events),
-bl AS (SELECT event_type, avg(n) m, stddev_samp(n) sd FROM w, cu WHERE s + INTERVAL 24 HOUR <= c GROUP BY 1),
-z AS (SELECT s, w.event_type, n, (n-m)/sd z FROM w JOIN bl ON bl.event_type=w.event_type, cu WHERE sd>0 AND s >= c)
+bl AS (SELECT *, avg(n) OVER p m, greatest(coalesce(stddev_samp(n) OVER p, 0), sqrt(avg(n) OVER p)) sd FROM w WINDOW p AS (PARTITION BY event_type ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+z AS (SELECT *, (n-m)/sd z FROM bl WHERE m IS NOT NULL)
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n, {q('z')} AS z_score FROM z WHERE abs(z)>=1.5""",
 )
 def stream_spikes(t):
-    """Windows from the sixteenth day on, judged by the windows of the first fifteen days."""
-    spark, history = t.spark, _batch(t)
-    cut = F.lit(history.agg(F.date_trunc("day", F.min("ts")) + F.make_dt_interval(days=F.lit(15))).first()[0])
-    counts = mon.sliding_counts(history).filter(F.col("window_start") + F.make_dt_interval(days=F.lit(1)) <= cut)
-    table = f"{mon.run_folder(spark)}/baseline"
-    counts.groupBy("event_type").agg(F.avg("n").alias("mean_n"), F.stddev_samp("n").alias("std_n")).write.mode("overwrite").parquet(table)
-
-    def judge(batch):
-        return mon.spikes(batch.filter(F.col("window_start") >= cut), batch.sparkSession.read.parquet(table), 1.5)
-
-    return mon.run_complete(spark, t.path, mon.sliding_counts, judge)
+    """Every window from a type's second on, judged by the type's windows before it."""
+    return mon.run_complete(t.spark, t.path, mon.spikes, threshold=1.5)
 
 
 @query(

@@ -1,41 +1,40 @@
 """Structured Streaming jobs over the event files.
 
-Every job takes a streaming frame and returns a streaming frame; ``run_to_end`` processes what is available
-and leaves the result as parquet in the shared folder, so a restart continues from the checkpoint.  ``run_complete``
-also closes what is still open when the input has ended: the job is started once more from its checkpoint with one
-marker event far ahead, so that the watermark passes every window and session.  Results do not depend on how
-the files fall into batches as long as ``late`` covers the disorder of the events.
+Every job takes a streaming frame and returns a streaming frame. ``advance`` processes what is available from where a folder's
+checkpoint stands and leaves the rows in that folder, so a stop, a restart or more files change nothing. ``run_complete`` also tells
+what is still open when the input has ended: it reads the windows, sessions, waiting events and moments that the state store holds
+(``STILL_OPEN``) and adds their rows to the written ones. The watermark stays where the events have moved it, so the
+same folder can go on with later files. Results do not depend on how the files fall into batches as long as ``late`` covers the
+disorder of the events.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..schemas import RAW
 from ..session import ensure_checkpoint_dir
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
-END = "end"  # event type of the marker after the last event
 
-
-def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 100, marker: str | None = None) -> DataFrame:
-    """Events as a stream of the files in a folder, at most ``files_per_trigger`` per batch, and of a marker folder."""
+def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """Events as a stream of the files in a folder, at most ``files_per_trigger`` per batch."""
     events = (
         spark.readStream.schema(RAW["events"])
         .option("pathGlobFilter", "events*.parquet")
         .option("maxFilesPerTrigger", files_per_trigger)
         .parquet(path)
     )
-    if marker is not None:
-        events = events.unionByName(spark.readStream.schema(RAW["events"]).parquet(marker))
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -83,44 +82,50 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, str], DataFrame
     return f"{base}/out"
 
 
-def run_complete(
-    spark: SparkSession,
-    path: str,
-    job: Callable[[DataFrame], DataFrame],
-    handle: Callable[[DataFrame], DataFrame] | None = None,
-    files_per_trigger: int = 100,
-    ahead_days: int = 3650,
-) -> DataFrame:
-    """Processes all events, then closes open windows, sessions and intervals; ``handle`` changes each batch before it is written.
+@contextmanager
+def rocksdb(spark: SparkSession, wanted: bool = True):
+    """Streams started inside keep their state in RocksDB, which state variables and timers need."""
+    before = spark.conf.get(PROVIDER)
+    if wanted:
+        spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
 
-    Batches go to a folder of their id, which is overwritten, so a batch that is replayed after a failure leaves its rows once.
+
+def advance(stream: DataFrame, folder: str, variables: bool = True) -> DataFrame:
+    """Processes the input that is available from where ``folder`` stands, and all rows written there so far.
+
+    Rows of a batch go to a folder of its id, which is overwritten, so a batch that is replayed after a failure leaves its rows once.
+    ``variables``: the stream has state variables or timers.
     """
-    base = run_folder(spark)
-    marker, schema = f"{base}/end", []
-    spark.createDataFrame([], RAW["events"]).write.parquet(marker)
+    spark = stream.sparkSession
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        out = handle(batch) if handle else batch
-        schema[:] = [out.schema]
-        out.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
-
-    def start() -> None:
-        stream = job(event_stream(spark, path, files_per_trigger, marker))
-        state = f"{base}/state"
-        stream.writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-
-    start()
-    last = F.max("ts") + F.make_dt_interval(days=F.lit(ahead_days))
-    events = spark.read.schema(RAW["events"]).option("pathGlobFilter", "events*.parquet").parquet(path)
-    kinds = {f.name: f.dataType for f in T.StructType.fromDDL(RAW["events"]).fields}
-    end = events.agg(last.alias("ts")).where("ts is not null").select(
-        *[(F.col("ts") if n == "ts" else F.lit(END if n == "event_type" else None if n in ("value", "props") else -1)).cast(k).alias(n) for n, k in kinds.items()]
-    )
-    end.write.mode("append").parquet(marker)
-    start()
-    if not schema:
-        return job(events.withColumn("ts", F.col("ts").cast("timestamp"))).limit(0)
-    return spark.read.schema(schema[0]).option("recursiveFileLookup", "true").parquet(f"{base}/out")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
+
+    with rocksdb(spark, variables):
+        q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/out/batch_id=-1")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+
+
+def state_rows(spark: SparkSession, folder: str, operator: int = 0, variable: str | None = None) -> DataFrame:
+    """The state that a stream has left in ``folder``: of a stateful operator, or of one of its variables."""
+    reader = spark.read.format("statestore").option("operatorId", operator)
+    with rocksdb(spark, variable is not None or operator > 0):
+        return (reader.option("stateVarName", variable) if variable else reader).load(f"{folder}/state")
+
+
+def run_complete(
+    spark: SparkSession, path: str, job: Callable[..., DataFrame], files_per_trigger: int = 100, folder: str | None = None, **options
+) -> DataFrame:
+    """All rows of a job over the events so far, closed or still open; with the same ``folder`` a later call goes on."""
+    folder = folder or run_folder(spark)
+    closed = advance(job(event_stream(spark, path, files_per_trigger), **options), folder, job in (spikes, outages))
+    return closed.unionByName(STILL_OPEN[job](spark, folder, **options))
 
 
 def tumbling_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -142,15 +147,38 @@ def sliding_counts(events: DataFrame, size: str = "1 day", slide: str = "6 hours
     )
 
 
-def spikes(counts: DataFrame, baseline: DataFrame, threshold: float = 2.0) -> DataFrame:
-    """Windows whose count is ``threshold`` deviations from the baseline mean of the type."""
-    z = (F.col("n") - F.col("mean_n")) / F.col("std_n")
-    return (
-        counts.join(baseline.filter(F.col("std_n") > 0), "event_type")
-        .withColumn("z_score", z)
-        .filter(F.abs("z_score") >= threshold)
-        .select("window_start", "event_type", "n", "z_score")
-    )
+class Baseline(StatefulProcessor):
+    """Judges each window's count by the windows of its type before it, then adds it to them; the state is three numbers."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.moments = handle.getValueState("moments", "k long, s long, ss long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        k, s, ss = self.moments.get() if self.moments.exists() else (0, 0, 0)
+        windows = pd.concat([r for r in rows]).sort_values("window_start")
+        out = []
+        for start, n in zip(windows["window_start"], windows["n"].astype(int)):
+            if k:
+                out.append((start, key[0], n, (n - s / k) / max((max(ss - s * s / k, 0.0) / max(k - 1, 1)) ** 0.5, (s / k) ** 0.5)))
+            k, s, ss = k + 1, s + int(n), ss + int(n) * int(n)
+        self.moments.update((k, s, ss))
+        yield pd.DataFrame(out, columns=["window_start", "event_type", "n", "z_score"]).astype({"event_type": object, "n": "int64", "z_score": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+SPIKE = "window_start timestamp, event_type string, n long, z_score double"
+
+
+def spikes(events: DataFrame, size: str = "1 day", slide: str = "6 hours", late: str = "10 minutes", threshold: float = 2.0) -> DataFrame:
+    """Sliding windows whose count is ``threshold`` deviations from the mean of the earlier windows of the type.
+
+    The deviation is that of the earlier counts, at least the square root of their mean (a lone earlier window has no other), so
+    each window from the second on is judged.
+    """
+    judged = sliding_counts(events, size, slide, late).groupBy("event_type").transformWithStateInPandas(Baseline(), SPIKE, "append", "none")
+    return judged.filter(F.abs("z_score") >= threshold)
 
 
 def sessions(events: DataFrame, gap: str = "2 hours", late: str = "10 minutes") -> DataFrame:
@@ -175,7 +203,56 @@ def enriched(events: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 OUTAGE = "user_id bigint, start_time timestamp, end_time timestamp, duration_seconds double"
-WAITING = "opened timestamp, ts array<timestamp>, event_id array<bigint>, down array<boolean>"
+WAITING = "array<struct<ts:timestamp,event_id:bigint,down:boolean>>"
+
+
+class Outages(StatefulProcessor):
+    """Waiting events of a key by their millisecond, and when its open interval began.
+
+    An event is one entry and one timer; when the watermark has passed a millisecond, its entry alone is read, applied and removed.
+    """
+
+    def __init__(self, keep_ms: int):
+        self.keep = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long", f"events {WAITING}")
+        self.opened = handle.getValueState("opened", "ts timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for ts, event_id, down in zip(batch["ts"], batch["event_id"], batch["down"]):
+                at = (int(ts.timestamp() * 1000),)
+                held = self.waiting.getValue(at)[0] if self.waiting.containsKey(at) else []
+                self.waiting.updateValue(at, ([*[tuple(h) for h in held], (ts.to_pydatetime(), int(event_id), bool(down))],))
+                if not len(held):
+                    self.handle.registerTimer(at[0])
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = (expiredTimerInfo.getExpiryTimeInMs(),)
+        opened = pd.Timestamp(self.opened.get()[0]) if self.opened.exists() else None
+        done = []
+        if self.waiting.containsKey(at):
+            for ts, _, down in sorted(tuple(h) for h in self.waiting.getValue(at)[0]):
+                ts = pd.Timestamp(ts)
+                if down and opened is None:
+                    opened = ts
+                    self.opened.update((ts.to_pydatetime(),))
+                    self.handle.registerTimer(int(ts.timestamp() * 1000) + self.keep)
+                elif not down and opened is not None:
+                    done.append((key[0], opened, ts, (ts - opened).total_seconds()))
+                    opened = None
+                    self.opened.clear()
+            self.waiting.removeKey(at)
+        elif opened is not None and int(opened.timestamp() * 1000) + self.keep <= at[0]:
+            self.opened.clear()
+        yield pd.DataFrame(done, columns=["user_id", "start_time", "end_time", "duration_seconds"]).astype(
+            {"user_id": "int64", "start_time": "datetime64[us]", "end_time": "datetime64[us]", "duration_seconds": "float64"})
+
+    def close(self) -> None:
+        pass
 
 
 def outages(events: DataFrame, down: str = "error", up: str = "purchase", late: str = "10 minutes", expiry: str = "90 days") -> DataFrame:
@@ -185,36 +262,57 @@ def outages(events: DataFrame, down: str = "error", up: str = "purchase", late:
     comes late, or in another batch, changes nothing. An interval still open after ``expiry`` is given up, and the state of a key
     goes with its last event and interval.
     """
-    keep = pd.Timedelta(expiry)
-
-    def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, ts, ids, kinds = state.get if state.exists else (None, [], [], [])
-        new = [b for b in batches if len(b)]
-        waiting = pd.DataFrame({"ts": pd.to_datetime(pd.Series(ts, dtype="datetime64[us]")), "event_id": pd.Series(ids, dtype="int64"), "down": pd.Series(kinds, dtype="bool")})
-        rows = pd.concat([waiting, *[b[["ts", "event_id", "down"]] for b in new]]).sort_values(["ts", "event_id"], ignore_index=True)
-        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        ripe = rows["ts"].to_numpy() <= mark.to_datetime64()
-        done, rest = rows[ripe], rows[~ripe]
-        if opened is not None and not len(done) and mark - pd.Timestamp(opened) > keep:
-            opened = None
-        is_down, at = done["down"].to_numpy(), done["ts"].to_numpy()
-        before = np.concatenate(([opened is not None], is_down[:-1]))[: len(is_down)]
-        starts, ends = at[is_down & ~before], at[~is_down & before]
-        if opened is not None:
-            starts = np.concatenate(([pd.Timestamp(opened).to_datetime64()], starts))
-        n = len(ends)
-        opened = pd.Timestamp(starts[n]).to_pydatetime() if len(starts) > n else None
-        if opened is None and not len(rest):
-            if state.exists:
-                state.remove()
-        else:
-            state.update((opened, [x.to_pydatetime() for x in rest["ts"]], rest["event_id"].tolist(), rest["down"].tolist()))
-            wake = rest["ts"].min() if len(rest) else pd.Timestamp(opened) + keep
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(wake.timestamp() * 1000) + 1))
-        length = (ends - starts[:n]) / np.timedelta64(1, "s") if n else np.zeros(0)
-        yield pd.DataFrame({"user_id": np.full(n, key[0], "int64"), "start_time": starts[:n], "end_time": ends, "duration_seconds": length})
-
-    # the marker stays, or the watermark would not see it; it is an up event of a key of its own
-    kept = events.withWatermark("ts", late).filter(F.col("event_type").isin(down, up, END))
+    kept = events.withWatermark("ts", late).filter(F.col("event_type").isin(down, up))
     kept = kept.select("user_id", "event_id", "ts", (F.col("event_type") == down).alias("down"))
-    return kept.groupBy("user_id").applyInPandasWithState(track, OUTAGE, WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+    keep = int(pd.Timedelta(expiry).total_seconds() * 1000)
+    return kept.groupBy("user_id").transformWithStateInPandas(Outages(keep), OUTAGE, "append", "eventTime")
+
+
+# ---- what is still open in the state ----------------------------------------------------------
+
+
+def _open_windows(spark: SparkSession, folder: str, **_) -> DataFrame:
+    rows = state_rows(spark, folder)
+    return rows.select(F.col("key.window.start").alias("window_start"), "key.event_type", F.col("value.count").alias("n"), F.col("value.sum").alias("total"))
+
+
+def _open_sliding(spark: SparkSession, folder: str, **_) -> DataFrame:
+    return state_rows(spark, folder).select(F.col("key.window.start").alias("window_start"), "key.event_type", F.col("value.count").alias("n"))
+
+
+def _open_sessions(spark: SparkSession, folder: str, **_) -> DataFrame:
+    rows = state_rows(spark, folder)
+    return rows.select(F.col("value.session_window.start").alias("session_start"), "value.user_id", F.col("value.count").alias("events"), F.col("value.sum").alias("total"))
+
+
+def _open_spikes(spark: SparkSession, folder: str, threshold: float = 2.0, **_) -> DataFrame:
+    """The open windows judged by the stored moments and the open windows before them: few windows a type."""
+    moments = state_rows(spark, folder, 0, "moments").select("key.event_type", "value.*")
+    windows = state_rows(spark, folder, 1).select("key.event_type", F.col("key.window.start").alias("window_start"), F.col("value.count").alias("n"))
+    up = W.partitionBy("event_type").orderBy("window_start").rowsBetween(W.unboundedPreceding, -1)
+    square = F.col("n") * F.col("n")
+    sums = windows.join(moments, "event_type", "left").select(
+        "window_start", "event_type", "n",
+        *[(F.coalesce(c, F.lit(0)) + F.coalesce(F.sum(x).over(up), F.lit(0))).alias(c) for c, x in (("k", F.lit(1)), ("s", F.col("n")), ("ss", square))],
+    )
+    mean = F.col("s") / F.col("k")
+    spread = F.greatest(F.sqrt(F.greatest(F.col("ss") - F.col("s") * mean, F.lit(0.0)) / F.greatest(F.col("k") - 1, F.lit(1))), F.sqrt(mean))
+    judged = sums.filter("k > 0").select("window_start", "event_type", "n", ((F.col("n") - mean) / spread).alias("z_score"))
+    return judged.filter(F.abs("z_score") >= threshold)
+
+
+def _open_outages(spark: SparkSession, folder: str, **_) -> DataFrame:
+    """Intervals among the events that the watermark has not passed and the intervals that are open."""
+    waiting = state_rows(spark, folder, 0, "waiting")
+    entries = waiting.select("key.user_id", F.explode("user_map_value.events").alias("e")).select("user_id", "e.*")
+    opened = state_rows(spark, folder, 0, "opened").select("key.user_id", "value.ts", F.lit(-1).cast("long").alias("event_id"), F.lit(True).alias("down"))
+    by = W.partitionBy("user_id").orderBy("ts", "event_id")
+    turns = entries.unionByName(opened).withColumn("before", F.coalesce(F.lag("down").over(by), F.lit(False))).filter("down <> before")
+    ends = turns.withColumn("end_time", F.lead("ts").over(by)).filter("down AND end_time IS NOT NULL")
+    length = (F.unix_micros("end_time") - F.unix_micros("ts")) / 1e6
+    return ends.select("user_id", F.col("ts").alias("start_time"), "end_time", length.alias("duration_seconds"))
+
+
+STILL_OPEN: dict[Callable, Callable] = {
+    tumbling_counts: _open_windows, sliding_counts: _open_sliding, sessions: _open_sessions, spikes: _open_spikes, outages: _open_outages,
+}

@@ -66,7 +66,7 @@ def test_results_do_not_depend_on_batches(spark, tmp_path, job, files):
     shuffled = rows[:]
     random.Random(files).shuffle(shuffled)
     path = write_files(spark, tmp_path, [shuffled[i::files] for i in range(files)])
-    out = mon.run_complete(spark, path, lambda e: job(e, late="30 days"), files_per_trigger=1)
+    out = mon.run_complete(spark, path, job, files_per_trigger=1, late="30 days")
     got = sorted(tuple(map(str, r)) for r in out.collect())
     if job is mon.outages:
         want = []
@@ -84,6 +84,46 @@ def test_results_do_not_depend_on_batches(spark, tmp_path, job, files):
         assert got == sorted(tuple(map(str, r)) for r in job(batch).collect())
 
 
+JOBS = [(mon.tumbling_counts, {}), (mon.sessions, {}), (mon.outages, {}), (mon.spikes, {"threshold": 0.0, "size": "2 hours", "slide": "1 hour"})]
+
+
+@pytest.mark.parametrize("job,options", JOBS)
+def test_a_stream_goes_on_with_later_files(spark, tmp_path, job, options):
+    kinds = ["error", "purchase", "view"]
+    rows = [ev(i, i * 9, user=i % 2, kind=kinds[i * i % 3 if i % 4 else 0]) for i in range(80)]
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "parts").mkdir()
+    once = mon.run_complete(spark, write_files(spark, tmp_path / "whole", [rows]), job, **options).collect()
+    folder, seen = str(tmp_path / "run"), []
+    for upto in (30, 31, 80):
+        seen.append(rows[len(sum(seen, [])) : upto])
+        got = mon.run_complete(spark, write_files(spark, tmp_path / "parts", seen), job, folder=folder, **options).collect()
+    text = lambda r: tuple(round(v, 6) if isinstance(v, float) else str(v) for v in r)
+    assert sorted(map(text, got)) == sorted(map(text, once)) and once
+
+
+def test_every_window_from_the_second_on_is_judged(spark, tmp_path):
+    counts = [3, 5, 4, 9, 1]
+    rows = [ev(100 * h + i, 60 * h + i, kind="a") for h, n in enumerate(counts) for i in range(n)]
+    out = mon.run_complete(spark, write_files(spark, tmp_path, [rows[:9], rows[9:]]), mon.spikes, 1, size="1 hour", slide="1 hour", threshold=0.0)
+    got = {r.window_start: r.z_score for r in out.collect()}
+    for h in range(1, len(counts)):
+        mean = sum(counts[:h]) / h
+        spread = max((sum((c - mean) ** 2 for c in counts[:h]) / max(h - 1, 1)) ** 0.5, mean**0.5)
+        assert got[T0 + dt.timedelta(hours=h)] == pytest.approx((counts[h] - mean) / spread)
+    assert len(got) == len(counts) - 1
+
+
+def test_outage_state_is_one_entry_per_waiting_event(spark, tmp_path):
+    rows = [ev(i, i, user=1, kind="error" if i % 2 else "purchase") for i in range(40)]
+    folder = str(tmp_path / "run")
+    (tmp_path / "in").mkdir()
+    path = write_files(spark, tmp_path / "in", [rows])
+    mon.advance(mon.outages(mon.event_stream(spark, path), late="1 day"), folder)
+    waiting = mon.state_rows(spark, folder, 0, "waiting")
+    assert waiting.count() == 40 and waiting.agg(F.max(F.size("user_map_value.events"))).first()[0] == 1
+
+
 def test_duplicates_across_batches(spark, tmp_path):
     path = write_files(spark, tmp_path, [[ev(1, 0), ev(2, 1)], [ev(3, 2), ev(4, 3, kind="click")]])
     out = mon.run_to_end(mon.deduplicated(mon.event_stream(spark, path, 1)))
