@@ -19,8 +19,11 @@ from pyspark.sql import types as T
 
 from ..functions.calendar import calendar_columns, is_weekend
 from ..functions.core import ladder, mean_if, mean_of, ratio, safe_corr, std_of
+from . import trees
 from .features import forecast_features, future_frame
+from .linearfolds import cross_validated, fold_moments
 from .series import tail_rank
+from .trees import with_tree_spread
 
 SEED = 42
 Z95 = 1.96
@@ -238,16 +241,18 @@ def regression_scores(predicted: DataFrame, label: str) -> dict[str, float]:
     return {m: ev(m) for m in ("mae", "mse", "r2")}
 
 
-def make_regressor(kind: str, label: str, features: str = "features", trees: int = 20, depth: int = 5):
+LINEAR = {"linear": (0.01, 0.0), "elastic_net": (0.1, 0.5)}  # strength of the penalty and its absolute part
+DEPTHS = {"random_forest": 10, "gradient_boost": 6}
+
+
+def make_regressor(kind: str, label: str, features: str = "features", trees: int = 100, depth: int | None = None):
+    """A forest of ``trees`` trees, as many boosted trees, or a linear model with its penalty; depths as in ``DEPTHS``."""
     if kind == "random_forest":
-        return RandomForestRegressor(labelCol=label, featuresCol=features, numTrees=trees, maxDepth=depth, seed=SEED)
+        return RandomForestRegressor(labelCol=label, featuresCol=features, numTrees=trees, maxDepth=depth or DEPTHS[kind], maxMemoryInMB=1024, seed=SEED)
     if kind == "gradient_boost":
-        return GBTRegressor(labelCol=label, featuresCol=features, maxIter=trees, maxDepth=min(depth, 4), seed=SEED)
-    if kind == "linear":
-        return LinearRegression(labelCol=label, featuresCol=features, regParam=0.01)
-    if kind == "elastic_net":
-        return LinearRegression(labelCol=label, featuresCol=features, regParam=0.1, elasticNetParam=0.5)
-    raise ValueError(kind)
+        return GBTRegressor(labelCol=label, featuresCol=features, maxIter=trees, maxDepth=depth or DEPTHS[kind], stepSize=0.1, maxMemoryInMB=1024, seed=SEED)
+    reg, elastic = LINEAR[kind]
+    return LinearRegression(labelCol=label, featuresCol=features, regParam=reg, elasticNetParam=elastic)
 
 
 def assembled(columns: Sequence[str], model) -> Pipeline:
@@ -327,31 +332,30 @@ def forest_forecast(daily: DataFrame, keys: Sequence[str], horizon: int, value:
     keys = list(keys)
     with cached(forest_rows(daily, keys, value).select("label", *FOREST_INPUTS)) as held:
         model = assembled(FOREST_INPUTS, make_regressor("random_forest", "label", trees=trees, depth=depth)).fit(held)
-    p = model.transform(forest_ahead(daily, keys, horizon, value))
-    names = []
-    for i, tree in enumerate(model.stages[-1].trees):
-        names.append(f"_t{i}")
-        p = tree.setPredictionCol(names[-1]).transform(p)
-    votes = F.array(*names)
-    mean = F.aggregate(votes, F.lit(0.0), lambda s, x: s + x) / len(names)
-    p = p.select(*keys, F.col("sale_date").alias("date"), mean.alias("_f"), votes.alias("_v"))
-    var = F.aggregate(F.transform("_v", lambda x: (x - F.col("_f")) * (x - F.col("_f"))), F.lit(0.0), lambda s, x: s + x) / len(names)
-    p = p.withColumn("_sd", F.sqrt(var))
+    ahead = model.stages[0].transform(forest_ahead(daily, keys, horizon, value))
+    p = with_tree_spread(model.stages[-1], ahead, "_f", "_sd").withColumnRenamed("sale_date", "date")
     f, band = F.greatest(F.lit(0.0), F.col("_f")), F.col("_sd") * Z95
     return p.select(*keys, "date", f.alias("forecast"), F.greatest(F.lit(0.0), f - band).alias("lower"), (f + band).alias("upper"))
 
 
 def cross_validate(df: DataFrame, columns: Sequence[str], label: str, kinds: Sequence[str], folds: int = 3) -> dict[str, float]:
-    """Mean r2 of each model kind over expanding windows in time."""
+    """Mean r2 of each model kind over expanding windows in time.
+
+    The linear kinds of all windows come from one pass over the rows; a tree model is fitted for each window.
+    """
     shares = [(i + 1) / (folds + 1) for i in range(folds)] + [1.0]
     cuts = df.agg(F.percentile_approx(F.unix_date("sale_date"), shares, 10000)).first()[0]
     d = F.unix_date("sale_date")
-    scores: dict[str, list[float]] = {k: [] for k in kinds}
-    for lo, hi in zip(cuts, cuts[1:]):
-        train, test = df.filter(d <= lo), df.filter((d > lo) & (d <= hi))
-        for k in kinds:
-            model = assembled(columns, make_regressor(k, label, trees=10)).fit(train)
-            scores[k].append(regression_scores(model.transform(test), label)["r2"])
+    scores: dict[str, list[float]] = {}
+    if linear := [k for k in kinds if k in LINEAR]:
+        fold = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < d))
+        found = cross_validated(fold_moments(df, fold, columns, label), [LINEAR[k] for k in linear], expanding=True)
+        scores |= {k: [r2] for k, (_, r2) in zip(linear, found)}
+    for k in (k for k in kinds if k not in LINEAR):
+        scores[k] = []
+        for lo, hi in zip(cuts, cuts[1:]):
+            model = assembled(columns, make_regressor(k, label)).fit(df.filter(d <= lo))
+            scores[k].append(regression_scores(model.transform(df.filter((d > lo) & (d <= hi))), label)["r2"])
     return {k: sum(v) / len(v) for k, v in scores.items()}
 
 
@@ -391,7 +395,7 @@ def weather_rows(features: DataFrame) -> DataFrame:
 def fit_weather_models(rows: DataFrame, kinds: Sequence[str] = WEATHER_MODELS) -> dict:
     with cached(rows.select("sale_date", "label", *WEATHER_INPUTS)) as held:
         old, _ = split_by_time(held)
-        return {k: assembled(WEATHER_INPUTS, make_regressor(k, "label", trees=10)).fit(old) for k in kinds}
+        return {k: assembled(WEATHER_INPUTS, make_regressor(k, "label")).fit(old) for k in kinds}
 
 
 def weather_ensemble(models: dict, rows: DataFrame) -> DataFrame:
@@ -427,26 +431,36 @@ def weather_importance(models: dict, spark) -> DataFrame:
 
 
 def scenario_predictions(models: dict, rows: DataFrame, scenarios: dict[str, dict[str, Column]]) -> DataFrame:
-    """Mean ensemble prediction when each scenario overwrites weather columns, with the change against the baseline."""
-    base = weather_ensemble(models, rows).agg(F.avg("prediction").alias("mean_prediction")).withColumn("scenario", F.lit("baseline"))
-    out = base
-    for name, cols in scenarios.items():
-        changed = rows.withColumns(cols).withColumn("temp_humidity", F.col("avg_temperature") * F.col("avg_humidity") / 100)
-        out = out.unionByName(
-            weather_ensemble(models, changed).agg(F.avg("prediction").alias("mean_prediction")).withColumn("scenario", F.lit(name))
-        )
-    b = base.select("mean_prediction").scalar()
-    return out.withColumn("change_pct", ratio(F.col("mean_prediction") - b, b) * 100)
+    """Mean ensemble prediction when each scenario overwrites weather columns, with the change against the baseline.
+
+    All scenarios are predicted beside one another in one pass over the rows.
+    """
+    out, names = rows, {"baseline": {}, **scenarios}
+    for name, cols in names.items():
+        changed = {c: cols.get(c, F.col(c)).cast("double") for c in WEATHER_INPUTS}
+        if cols:
+            changed["temp_humidity"] = changed["avg_temperature"] * changed["avg_humidity"] / 100
+        out = out.withColumns({f"_{name}_{c}": v for c, v in changed.items()})
+    for name in names:
+        inputs = VectorAssembler(inputCols=[f"_{name}_{c}" for c in WEATHER_INPUTS], outputCol=f"_{name}", handleInvalid="keep")
+        out = inputs.transform(out)
+        for k, m in models.items():
+            out = m.stages[-1].copy().setFeaturesCol(f"_{name}").setPredictionCol(f"_{name}_{k}").transform(out)
+    mean = lambda name: F.avg(sum((F.col(f"_{name}_{k}") for k in models), F.lit(0.0)) / len(models))
+    means = out.agg(*[mean(name).alias(name) for name in names])
+    long = means.withColumn("_b", F.col("baseline")).unpivot(["_b"], list(names), "scenario", "mean_prediction")
+    return long.select("mean_prediction", "scenario", (ratio(F.col("mean_prediction") - F.col("_b"), "_b") * 100).alias("change_pct"))
 
 
 def partial_dependence(models: dict, rows: DataFrame, factor: str, points: int = 20) -> DataFrame:
-    """Mean prediction at ``points`` equally spaced values of one factor, all else as observed."""
+    """Mean prediction of the ensemble at ``points`` equally spaced values of one factor, all else as observed."""
     low, high = rows.agg(F.min(factor), F.max(factor)).first()
-    values = [low + (high - low) * i / (points - 1) for i in range(points)]
-    grid = rows.withColumn(factor, F.explode(F.array(*[F.lit(float(v)) for v in values])))
-    p = weather_ensemble(models, grid).groupBy(F.col(factor).alias("value")).agg(F.avg("prediction").alias("mean_prediction"))
-    first = p.agg(F.min_by("mean_prediction", "value")).scalar()
-    best = p.agg(F.max("mean_prediction")).scalar()
+    values = [float(low + (high - low) * i / (points - 1)) for i in range(points)]
+    found = trees.partial_dependence({k: m.stages[-1] for k, m in models.items()}, rows, WEATHER_INPUTS, factor, values)
+    mean = sum(found.values()) / len(found)
+    data = [(v, float(p)) for v, p in zip(values, mean)]
+    p = rows.sparkSession.createDataFrame(data, "value double, mean_prediction double")
+    first, best = data[0][1], max(d[1] for d in data)
     return p.withColumns(
-        {"change_pct": ratio(F.col("mean_prediction") - first, first) * 100, "is_maximum": F.col("mean_prediction") == best}
+        {"change_pct": ratio(F.col("mean_prediction") - first, F.lit(first)) * 100, "is_maximum": F.col("mean_prediction") == best}
     )
