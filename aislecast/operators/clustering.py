@@ -19,11 +19,17 @@ from pyspark.sql import functions as F
 
 from ..functions.core import ladder, ratio
 from ..session import ensure_checkpoint_dir
+from . import density
 from .forecast import cached
-from .ranking import exact_quantiles
+from .ranking import with_group_place
 
 SEED = 42
-BLOCK = 1500
+
+
+def held_once(entities: DataFrame) -> DataFrame:
+    """An entity table checkpointed in the shared folder: selection, fit and output read it instead of the facts."""
+    ensure_checkpoint_dir(entities.sparkSession)
+    return entities.checkpoint()
 
 
 def fill_gaps(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -166,10 +172,8 @@ def cluster_insights(names: DataFrame) -> DataFrame:
 
 def similarity(clustered: DataFrame, key: str) -> DataFrame:
     """Closeness 1/(1+distance) of every row to its centre and its place within the cluster."""
-    near = W.partitionBy("cluster").orderBy("distance", key)
-    return clustered.select(
-        key, "cluster", (1 / (1 + F.sqrt("distance"))).alias("similarity"), F.row_number().over(near).alias("place")
-    )
+    placed = with_group_place(clustered.select(key, "cluster", "distance"), ["cluster"], "distance", key)
+    return placed.select(key, "cluster", (1 / (1 + F.sqrt("distance"))).alias("similarity"), "place")
 
 
 def representatives(clustered: DataFrame, key: str, k: int = 3) -> DataFrame:
@@ -213,128 +217,43 @@ def performance_bands(clustered: DataFrame, value: str) -> DataFrame:
 # ---- density clusters -------------------------------------------------------------------------
 
 
-def _pairs_of_blocks(points: DataFrame, blocks: int) -> DataFrame:
-    b = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    p = points.withColumn("_b", b).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return p.withColumns({"_lo": F.least("_b", "_o"), "_hi": F.greatest("_b", "_o")}).drop("_o")
+def _density_points(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    filled = fill_gaps(df, columns)
+    scaled = Pipeline(stages=_scaled(columns)).fit(filled).transform(filled)
+    return scaled.select(F.col(key).cast("bigint").alias("id"), vector_to_array("features").alias("x"))
 
 
-def _distances(pdf: pd.DataFrame):
-    ids = pdf["id"].to_numpy()
-    x = np.vstack(pdf["x"].to_numpy())
-    home = pdf["_b"].to_numpy()
-    lo, hi = int(pdf["_lo"].iloc[0]), int(pdf["_hi"].iloc[0])
-    a, b = np.flatnonzero(home == lo), np.flatnonzero(home == hi)
-    sq = (x[a] ** 2).sum(1)[:, None] + (x[b] ** 2).sum(1)[None, :] - 2 * x[a] @ x[b].T
-    return ids, a, b, np.sqrt(np.maximum(sq, 0.0)), lo == hi
+def _density_parameters(points: DataFrame, vectors: DataFrame, dims: int, eps: float | None, min_samples: int | None, block: int) -> tuple[float, int]:
+    min_samples = max(3, dims + 1) if min_samples is None else min_samples
+    if eps is None:
+        eps = density.default_radius(points, vectors, dims, max(1, min(4, points.count() - 1) - 1), block)
+    return float(eps), min_samples
 
 
 def density_clusters(
-    df: DataFrame, key: str, columns: Sequence[str], eps: float | None = None, min_samples: int | None = None, block: int = BLOCK
+    df: DataFrame, key: str, columns: Sequence[str], eps: float | None = None, min_samples: int | None = None, block: int = density.BLOCK
 ) -> DataFrame:
     """Density clusters (noise = -1, otherwise the smallest core id of the cluster) of standardised rows.
 
-    Distances are computed between hash blocks of bounded size; a task returns neighbour counts or a spanning
-    forest of the core points it sees, never its pairs.  The forests are joined by label propagation with
-    pointer jumping, checkpointed every round in the shared folder.  Without ``eps`` it is the upper quartile of
-    the distance to the fourth nearest point, the point itself being the first (or to the farthest of fewer points);
-    ``min_samples`` is the dimension plus 1, at least 3.
+    Neighbours are found through a grid of cells and core cells are united by label propagation with pointer jumping,
+    checkpointed every round in the shared folder.  Without ``eps`` it is the upper quartile of the distance to the fourth
+    nearest point, the point itself being the first (or to the farthest of fewer points); ``min_samples`` is the
+    dimension plus 1, at least 3.  A border point takes the least of the clusters it reaches.
     """
-    core, radius = density_core(df, key, columns, eps, min_samples, block)
-    return _joined(core, key, radius, block)
+    points, vectors = density.prepared(_density_points(df, key, columns))
+    radius, least = _density_parameters(points, vectors, len(columns), eps, min_samples, block)
+    found = density.labels(vectors, radius, len(columns), least, block, connected_labels)
+    return points.join(found.drop("u"), "x").select(F.col("id").alias(key), "cluster", F.col("core").alias("is_core"))
 
 
 def density_core(
-    df: DataFrame, key: str, columns: Sequence[str], eps: float | None = None, min_samples: int | None = None, block: int = BLOCK
+    df: DataFrame, key: str, columns: Sequence[str], eps: float | None = None, min_samples: int | None = None, block: int = density.BLOCK
 ) -> tuple[DataFrame, float]:
     """(id, x, n, core) with the number of points within the radius, itself included, and the radius."""
-    ensure_checkpoint_dir(df.sparkSession)
-    min_samples = max(3, len(columns) + 1) if min_samples is None else min_samples
-    filled = fill_gaps(df, columns)
-    scaled = Pipeline(stages=_scaled(columns)).fit(filled).transform(filled)
-    points = scaled.select(F.col(key).cast("bigint").alias("id"), vector_to_array("features").alias("x")).checkpoint()
-    n = points.count()
-    spread = _pairs_of_blocks(points, max(1, math.ceil(n / block)))
-    kth = max(1, min(4, n - 1) - 1)
-
-    if eps is None:
-
-        def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids, a, b, d, same = _distances(pdf)
-            if same:
-                np.fill_diagonal(d, np.inf)
-            out = []
-            for rows, cols, m in ((a, b, d),) if same else ((a, b, d), (b, a, d.T)):
-                if not len(rows) or not len(cols):
-                    continue
-                k = min(kth, m.shape[1])
-                best = np.sort(np.partition(m, k - 1, axis=1)[:, :k], axis=1)
-                out.append(pd.DataFrame({"id": np.repeat(ids[rows], k), "d": best.ravel()}))
-            return pd.concat(out) if out else pd.DataFrame({"id": [], "d": []})
-
-        near = spread.groupBy("_lo", "_hi").applyInPandas(nearest, "id bigint, d double").filter(F.col("d") != float("inf"))
-        # a point has at most min_samples candidates per block pair
-        w = W.partitionBy("id").orderBy("d")
-        kd = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") == kth)
-        eps = exact_quantiles(kd, "d", {"v": 0.75}).first()["v"]
-    radius = float(eps)
-
-    def count_near(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, a, b, d, same = _distances(pdf)
-        hit = d <= radius
-        parts = [pd.DataFrame({"id": ids[a], "n": hit.sum(axis=1)})]
-        if not same:
-            parts.append(pd.DataFrame({"id": ids[b], "n": hit.sum(axis=0)}))
-        return pd.concat(parts)
-
-    counts = spread.groupBy("_lo", "_hi").applyInPandas(count_near, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    return points.join(counts, "id").withColumn("core", F.col("n") >= min_samples).select("id", "x", "n", "core").checkpoint(), radius
-
-
-def _least_reached(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest position reachable from each position over the links (i, j)."""
-    root = np.arange(size)
-    while True:
-        low = root.copy()
-        np.minimum.at(low, i, root[j])
-        np.minimum.at(low, j, root[i])
-        low = low[low]
-        if np.array_equal(low, root):
-            return root
-        root = low
-
-
-def _joined(core: DataFrame, key: str, radius: float, block: int) -> DataFrame:
-    n = core.count()
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, a, b, d, _ = _distances(pdf)
-        is_core = pdf["core"].to_numpy()
-        hit = d <= radius
-        i, j = np.nonzero(hit & is_core[a][:, None] & is_core[b][None, :])
-        root = _least_reached(len(ids), a[i], b[j])
-        at = np.flatnonzero(root != np.arange(len(ids)))
-        parts = [(ids[at], ids[root[at]], True)]
-        for rows, cols, m in ((a, b, hit), (b, a, hit.T)):
-            near = np.where(m & is_core[cols][None, :], ids[cols][None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
-            at = np.flatnonzero(~is_core[rows] & (near < np.iinfo(np.int64).max))
-            parts.append((ids[rows[at]], near[at], False))
-        edges = pd.concat([pd.DataFrame({"src": s, "dst": d, "joined": k}) for s, d, k in parts])
-        return edges.astype({"src": "int64", "dst": "int64", "joined": "bool"})
-
-    edges = (
-        _pairs_of_blocks(core, max(1, math.ceil(n / block)))
-        .groupBy("_lo", "_hi")
-        .applyInPandas(forest, "src bigint, dst bigint, joined boolean")
-        .checkpoint()
-    )
-    links = edges.filter("joined")
-    labels = connected_labels(core.filter("core").select("id"), links.select("src", "dst"))
-    border = edges.filter("NOT joined").join(labels.withColumnRenamed("id", "dst"), "dst").groupBy("src").agg(F.min("label").alias("label"))
-    known = labels.unionByName(border.withColumnRenamed("src", "id"))
-    return core.join(known, "id", "left").select(
-        F.col("id").alias(key), F.coalesce("label", F.lit(-1).cast("bigint")).alias("cluster"), F.col("core").alias("is_core")
-    )
+    points, vectors = density.prepared(_density_points(df, key, columns))
+    radius, least = _density_parameters(points, vectors, len(columns), eps, min_samples, block)
+    counts = vectors.join(density.neighbour_counts(vectors, radius, len(columns), block), "u").select("x", "n")
+    return points.join(counts, "x").select("id", "x", "n", (F.col("n") >= least).alias("core")).checkpoint(), radius
 
 
 def connected_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -253,9 +253,6 @@ def store_vector(sales: DataFrame, hours: DataFrame) -> DataFrame:
         ratio(F.count_if(F.col("stock_hour6_22_cnt") > 0), F.count(F.lit(1))).alias("stockout_rate"),
         ratio(F.count_if(holiday), F.count(F.lit(1))).alias("holiday_share"),
         ratio(F.count_if(promo), F.count(F.lit(1))).alias("promo_share"),
-        F.count_distinct("product_id").alias("products"),
-        F.count_distinct("first_category").alias("categories"),
-        F.count_distinct("second_category").alias("subcategories"),
         (1 / (1 + ratio(dev, mean))).alias("consistency"),
         ratio(F.sum("units_sold"), F.sum("stock_level")).alias("turnover"),
         ratio(mean_if(weekend, "sale_amount"), mean_if(~weekend, "sale_amount")).alias("weekend_ratio"),
@@ -265,6 +262,12 @@ def store_vector(sales: DataFrame, hours: DataFrame) -> DataFrame:
         safe_corr("sale_amount", "avg_humidity").alias("humidity_corr"),
         safe_corr("sale_amount", "precpt").alias("rain_corr"),
     )
+    # distinct counts from a row per store and product, which has one first and second category
+    items = sales.groupBy("store_id", "product_id").agg(F.first("first_category").alias("first_category"), F.first("second_category").alias("second_category"))
+    kinds = items.groupBy("store_id", "first_category", "second_category").agg(F.count(F.lit(1)).alias("_n"))
+    counts = kinds.groupBy("store_id").agg(
+        F.sum("_n").alias("products"), F.count_distinct("first_category").alias("categories"), F.count_distinct("second_category").alias("subcategories")
+    )
     seasonal = (
         sales.groupBy("store_id", F.month("sale_date").alias("_m"))
         .agg(mean_of("sale_amount").alias("_mm"))
@@ -279,7 +282,8 @@ def store_vector(sales: DataFrame, hours: DataFrame) -> DataFrame:
     )
     city = base.groupBy("city_id").agg(F.sum("total_sales").alias("_city"))
     return (
-        base.join(seasonal, "store_id")
+        base.join(counts, "store_id")
+        .join(seasonal, "store_id")
         .join(clock, "store_id")
         .join(city, "city_id")
         .withColumn("city_market_share", ratio("total_sales", "_city"))

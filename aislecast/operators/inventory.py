@@ -161,6 +161,26 @@ def _cells(df: DataFrame, km: float) -> DataFrame:
     return df.withColumns({k: F.floor(v * (EARTH_KM / km)) for k, v in axes.items()})
 
 
+def _met_in_parts(left: DataFrame, right: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """``left`` joined with ``right`` on ``keys``; a key of more than ``most`` pairs is cut into parts by hashes of the stores.
+
+    Keys are counted first. A side is cut until the pairs of a part fit, the larger side more often, and the other side goes to
+    each of its parts, so every pair meets in one part.
+    """
+    sides = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")), list(keys))
+    n, m = F.col("_n").cast("double"), F.col("_m").cast("double")
+    edge = float(most) ** 0.5
+    part = lambda own, other: F.ceil(own / F.least(own, F.greatest(F.lit(edge), most / other)))
+    crowded = sides.filter(n * m > most).select(*keys, part(n, m).alias("_p"), part(m, n).alias("_q"))
+
+    def parts(df: DataFrame, store: str, own: str, other: str) -> DataFrame:
+        cut = df.join(crowded, list(keys), "left").withColumns({"_p": F.coalesce("_p", F.lit(1)), "_q": F.coalesce("_q", F.lit(1))})
+        cut = cut.withColumn(f"{own}_part", F.pmod(F.xxhash64(store), F.col(own)))
+        return cut.withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).drop("_p", "_q")
+
+    return parts(left, "store_id", "_p", "_q").join(parts(right, "t_store_id", "_q", "_p"), [*keys, "_p_part", "_q_part"]).drop("_p_part", "_q_part")
+
+
 def transfer_opportunities(
     status: DataFrame,
     item: str = "product_id",
@@ -171,11 +191,13 @@ def transfer_opportunities(
     shortage_days: float = 3.0,
     excess_days: float = 30.0,
     unit_price: float = 25.0,
+    cell_pairs: int = 250_000,
 ) -> DataFrame:
     """Moves of one item from an overstocked store to a short one within the affordable distance.
 
     The cost limit is a radius, so stores meet only through touching cells of that size: candidates are
-    neighbours of the same item, never all pairs of an item's stores.
+    neighbours of the same item, never all pairs of an item's stores.  A cell with more than ``cell_pairs`` candidates is
+    split into parts, so that one item in one place is many tasks.
     """
     radius = max_cost / cost_per_km
     cols = ["store_id", item, "city_id", "latitude", "longitude", "current_stock", "safety_stock", "avg_daily_sales", "days_of_inventory"]
@@ -205,7 +227,7 @@ def transfer_opportunities(
     # overstock is the rarer side, so that one is spread over the touching cells
     reach = src.select(*cols, around.alias("_c")).select("*", "_c._x", "_c._y", "_c._z").drop("_c")
     short = dst.select(*[F.col(c).alias("t_" + c) for c in cols if c != item], item, "_x", "_y", "_z")
-    pairs = reach.join(short, [item, "_x", "_y", "_z"]).filter(F.col("store_id") != F.col("t_store_id"))
+    pairs = _met_in_parts(reach, short, [item, "_x", "_y", "_z"], cell_pairs).filter(F.col("store_id") != F.col("t_store_id"))
     km = haversine_km(F.col("latitude"), F.col("longitude"), F.col("t_latitude"), F.col("t_longitude"))
     out = pairs.withColumns(
         {
@@ -462,18 +484,20 @@ def weighted_risk(daily: DataFrame, keys: Sequence[str], as_of: dt.date) -> Data
 
 
 def demand_position(
-    sales: DataFrame, store: DataFrame, as_of: dt.date, bucket: Column | None = None, unit_price: float = 5.0
+    sales: DataFrame, store: DataFrame, as_of: dt.date, bucket: Column | None = None, unit_price: float = 5.0, keys: DataFrame | None = None
 ) -> DataFrame:
     """Stock estimate, stock-out frequency, unconstrained daily demand and reorder advice for every key at once.
 
-    One aggregation holds the 30, 60 and 90 day metrics of every (store, product), which then meets the store
-    dimension; keys without recent rows fall back to formulae of their ids.  ``bucket`` is the 0..99 location variation.
+    One aggregation holds the 30, 60 and 90 day metrics of the (store, product) that sold in that time; the others fall back
+    to formulae of their ids.  ``keys`` are all distinct (store_id, product_id), those of ``sales`` where none are given; with
+    them ``sales`` needs the last 90 days only.  ``bucket`` is the 0..99 location variation.
     """
     bucket = stable_bucket("city_id", "store_id") if bucket is None else bucket
     d, h, amount = F.col("sale_date"), F.col("stock_hour6_22_cnt"), F.col("sale_amount")
     since = lambda n: d >= F.lit(as_of - dt.timedelta(days=n))
     d30, d60, d90 = since(30), since(60) & (amount > 0), since(90)
-    g = sales.groupBy("store_id", "product_id").agg(
+    keys = sales.select("store_id", "product_id").distinct() if keys is None else keys
+    recent = sales.filter(d90).groupBy("store_id", "product_id").agg(
         F.count_if(d30).alias("n30"),
         mean_if(d30, amount).alias("a30"),
         mean_if(d30, h).alias("h30"),
@@ -490,7 +514,7 @@ def demand_position(
         mean_if(d60 & (h == 0), amount).alias("a60_stocked"),
         mean_if(d60 & (h > 0), amount).alias("a60_out"),
     )
-    g = g.join(store.select("store_id", "city_id"), "store_id").withColumn("_b", bucket / F.lit(100.0))
+    g = keys.join(recent, ["store_id", "product_id"], "left").join(store.select("store_id", "city_id"), "store_id").withColumn("_b", bucket / F.lit(100.0))
     pid, b = F.col("product_id"), F.col("_b")
     part = lambda n: (pid % n) / F.lit(float(n))
 

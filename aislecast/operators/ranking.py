@@ -86,6 +86,33 @@ def with_percent_rank(df: DataFrame, value: str, name: str = "pct_rank") -> Data
     return df.join(ranks, value, "left")
 
 
+def with_group_ranks(df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """Ranks within groups: ``wanted`` maps output -> (value, "asc", "desc", "asc_average" or "desc_average").
+
+    SQL RANK, or the mean rank of ties; NULL values get no rank.  Distinct values of a group are counted and cumulated by value
+    range, so a hot group is as many tasks as any table; the frame (one row per entity) is checkpointed first.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
+    out = df
+    for value in dict.fromkeys(v for v, _ in wanted.values()):
+        cum = _cumulated(_value_counts(df, value, by), value, by)
+        cols = []
+        for name, (of, kind) in wanted.items():
+            if of == value:
+                ahead = F.col("_total") - F.col("_hi") if kind.startswith("desc") else F.col("_lo")
+                cols.append(((ahead + 1 + (F.col("_n") - 1) / 2) if kind.endswith("average") else (ahead + 1).cast("int")).alias(name))
+        out = out.join(cum.select(*by, value, *cols), [*by, value], "left")
+    return out.select(*df.columns, *wanted)
+
+
+def with_group_place(df: DataFrame, by: Sequence[str], value: str, tie: str, name: str = "place") -> DataFrame:
+    """Place of each row in its group by ascending ``value``, ties by ``tie``: the rows below a value, and the place among its ties."""
+    ranked = with_group_ranks(df, by, {"_below": (value, "asc")})
+    among = F.row_number().over(W.partitionBy(*by, value).orderBy(tie))
+    return ranked.withColumn(name, (F.col("_below") - 1 + among).cast("int")).drop("_below")
+
+
 def _bin(value: Column) -> Column:
     """Bin of about 0.4 % of the value's size; larger values never have a smaller bin."""
     v = value.cast("double")

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.calendar import is_weekend
 from ..functions.core import mean_if, mean_of, ratio, share_if, std_of
-from .ranking import column_quantiles, exact_quantiles, with_global_rank, with_percent_rank
+from .ranking import column_quantiles, exact_quantiles, with_global_rank, with_group_ranks, with_percent_rank
 
 
 def compare_stores(sales: DataFrame, store: DataFrame) -> DataFrame:
@@ -22,13 +21,7 @@ def compare_stores(sales: DataFrame, store: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("days_of_data"),
     )
     named = metrics.join(store.select("store_id", "store_name", "city_id", "city_name"), "store_id")
-    city = W.partitionBy("city_id")
-    ranked = named.withColumns(
-        {
-            "city_revenue_rank": F.rank().over(city.orderBy(F.desc("total_revenue"))),
-            "city_reliability_rank": F.rank().over(city.orderBy("stockout_frequency")),
-        }
-    )
+    ranked = with_group_ranks(named, ["city_id"], {"city_revenue_rank": ("total_revenue", "desc"), "city_reliability_rank": ("stockout_frequency", "asc")})
     return with_global_rank(ranked, "total_revenue", "overall_revenue_rank")
 
 
@@ -58,8 +51,7 @@ def daily_store_metrics(sales: DataFrame) -> DataFrame:
         F.count_distinct("product_id").alias("products_sold"),
         F.sum("stock_hour6_22_cnt").alias("stockout_hours"),
     )
-    day = W.partitionBy("sale_date").orderBy(F.desc("total_sales"))
-    return g.withColumn("performance_rank", F.rank().over(day))
+    return with_group_ranks(g, ["sale_date"], {"performance_rank": ("total_sales", "desc")})
 
 
 def _cuts(metrics: DataFrame) -> DataFrame:
@@ -176,17 +168,8 @@ def forecast_rankings(history: DataFrame, forecast: DataFrame, item: str) -> Dat
     f = forecast.groupBy("store_id", item).agg(F.sum("forecast").alias("predicted"))
     m = h.join(f, ["store_id", item]).withColumn("growth", ratio("predicted", "avg_demand") - 1)
 
-    def average_rank(c, desc):
-        order = F.desc(c) if desc else F.asc(c)
-        ties = F.count(F.lit(1)).over(W.partitionBy(item, c))
-        return F.rank().over(W.partitionBy(item).orderBy(order)) + (ties - 1) / 2
-
-    m = m.withColumns(
-        {
-            "demand_rank": average_rank("predicted", True),
-            "reliability_rank": average_rank("stockout_rate", False),
-            "growth_rank": average_rank("growth", True),
-        }
+    m = with_group_ranks(
+        m, [item], {"demand_rank": ("predicted", "desc_average"), "reliability_rank": ("stockout_rate", "asc_average"), "growth_rank": ("growth", "desc_average")}
     )
     return m.withColumn(
         "overall_score", F.col("demand_rank") * 0.4 + F.col("reliability_rank") * 0.3 + F.col("growth_rank") * 0.3

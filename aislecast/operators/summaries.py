@@ -32,17 +32,16 @@ def demand_statistics(daily: DataFrame, keys: Sequence[str], min_days: int = 1)
 def concentration(df: DataFrame, by: Sequence[str], item: str, value: str) -> DataFrame:
     """Sum of squared percentage shares and the share of the five largest items of each group."""
     per = df.groupBy(*by, item).agg(F.sum(value).alias("_v"))
-    total = per.groupBy(*by).agg(F.sum("_v").alias("_t"))
-    share = per.join(total, list(by)).withColumn("_s", ratio("_v", "_t") * 100)
-    five = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("_v"), item))
-    return (
-        share.withColumn("_r", five)
-        .groupBy(*by)
-        .agg(
-            F.count(F.lit(1)).alias("items"),
-            F.sum(F.col("_s") * F.col("_s")).alias("hhi"),
-            F.sum(F.when(F.col("_r") <= 5, F.col("_s"))).alias("top5_share"),
-        )
+    v = F.col("_v").cast("double")
+    sums = per.groupBy(*by).agg(F.count(F.lit(1)).alias("items"), F.sum("_v").alias("_t"), F.sum(v * v).alias("_vv"))
+    # the five largest of each of 32 slices of a group, then the five largest of these
+    some = W.partitionBy(*by, F.pmod(F.xxhash64(item), F.lit(32))).orderBy(F.desc("_v"), item)
+    first = per.withColumn("_r", F.row_number().over(some)).filter(F.col("_r") <= 5)
+    last = first.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("_v"), item))).filter(F.col("_r") <= 5)
+    five = last.groupBy(*by).agg(F.sum("_v").alias("_five"))
+    total = F.col("_t").cast("double")
+    return sums.join(five, list(by)).select(
+        *by, "items", (F.try_divide(F.col("_vv"), total * total) * 10_000).alias("hhi"), (ratio("_five", "_t") * 100).alias("top5_share")
     )
 
 
@@ -195,9 +194,13 @@ def daily_view(sales: DataFrame) -> DataFrame:
     )
 
 
-def entity_day_matrix(daily: DataFrame, entity: str, value: str, entities: Sequence | None = None) -> DataFrame:
-    """Day x entity matrix (mean, zero where absent); the entities are the labels of a short dimension, all of them by default."""
-    if entities is None:
-        entities = sorted(r[0] for r in daily.select(entity).distinct().dropna().collect())
-    wide = daily.groupBy("sale_date").pivot(entity, list(entities)).agg(mean_of(value))
+WIDE = 1000  # columns of a matrix at most
+
+
+def entity_day_matrix(daily: DataFrame, entity: str, value: str, dimension: DataFrame) -> DataFrame:
+    """Day x entity matrix (mean, zero where absent); the entities are the labels in ``dimension``, at most ``WIDE`` of them."""
+    entities = sorted(r[0] for r in dimension.select(entity).distinct().dropna().limit(WIDE + 1).collect())
+    if len(entities) > WIDE:
+        raise ValueError(f"more than {WIDE} values of {entity}: a matrix would be too wide")
+    wide = daily.groupBy("sale_date").pivot(entity, entities).agg(mean_of(value))
     return wide.select("sale_date", *[F.coalesce(F.col(f"`{e}`"), F.lit(0.0)).alias(str(e).lower()) for e in entities])

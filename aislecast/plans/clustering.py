@@ -21,18 +21,18 @@ STORE = [
 
 
 def _vector(t, entity):
-    return features.entity_vector(t.sales(category=False), entity)
+    return clu.held_once(features.entity_vector(t.sales(category=False), entity))
 
 
 @query("customer_clusters", "CLU-1 CUS-2 CMB-10")
 def customer_clusters(t):
-    clustered = clu.kmeans_clusters(scored(t), RFM, 5)
+    clustered = clu.kmeans_clusters(clu.held_once(scored(t)), RFM, 5)
     return cus.name_segments(clustered, "cluster")
 
 
 @query("store_clusters", "CLU-1 CLU-3 FEA-15 CMB-9")
 def store_clusters(t):
-    v = features.store_vector(t.sales(), t.with_hours(t.lines()))
+    v = clu.held_once(features.store_vector(t.sales(), t.with_hours(t.lines())))
     columns = clu.select_features(v, STORE)
     return clu.kmeans_clusters(v, columns, 4, components=20).select("store_id", "city_id", "total_sales", "cluster", "distance")
 
@@ -86,7 +86,7 @@ def cluster_representatives(t):
 
 @query("cluster_assignment", "CLU-7")
 def cluster_assignment(t):
-    v = features.entity_vector(t.sales(category=False, since=t.day(180)), "product_id")
+    v = clu.held_once(features.entity_vector(t.sales(category=False, since=t.day(180)), "product_id"))
     return clu.with_unseen(t.product, clu.kmeans_clusters(v, VECTOR, 5), "product_id")
 
 

@@ -301,7 +301,7 @@ pos AS (SELECT *, greatest(0, least(1, (CASE WHEN stock/greatest(dm,1)<=1 THEN 0
 
 def _position(t):
     bucket = (F.col("city_id") * 31 + F.col("store_id") * 7) % 100
-    return inv.demand_position(t.lines(), t.store, t.as_of, bucket=bucket)
+    return inv.demand_position(t.lines(since=t.day(90)), t.store, t.as_of, bucket=bucket, keys=t.pairs())
 
 
 @query(

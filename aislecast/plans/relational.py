@@ -8,6 +8,7 @@ from ..functions.calendar import is_weekend
 from ..functions.core import mean_of
 from ..operators import ranking, relational, summaries
 from ..sources import scans
+from .features import MEAN
 from .registry import q, query
 
 
@@ -291,16 +292,18 @@ def daily_view(t):
     return summaries.daily_view(t.sales())
 
 
+_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
 @query(
     "category_day_matrix",
     "AGG-15",
     f"""
-, m AS (PIVOT (SELECT CAST(l_shipdate AS DATE) AS sale_date, lower(p_type) AS c,
-  sum(CAST(l_extendedprice AS DECIMAL(12,2)))::DOUBLE/count(DISTINCT (l_suppkey, l_partkey)) AS v FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY 1,2) ON c USING max(v) GROUP BY sale_date)
-SELECT sale_date::VARCHAR AS sale_date, {q('coalesce(COLUMNS(* EXCLUDE (sale_date)),0)')} FROM m""",
+SELECT sale_date::VARCHAR AS sale_date, {', '.join(q(f"coalesce({MEAN('sale_amount', f"first_category='{k}'")},0)") + f' AS {k.lower()}' for k in _TYPES)}
+FROM sales GROUP BY sales.sale_date""",
 )
 def category_day_matrix(t):
-    return summaries.entity_day_matrix(t.sales(geo=False), "first_category", "sale_amount")
+    return summaries.entity_day_matrix(t.sales(geo=False), "first_category", "sale_amount", t.product)
 
 
 @query(

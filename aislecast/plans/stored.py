@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.core import mean_if
 from ..operators import inventory as inv
 from ..operators import promotions as prm
-from ..operators import stores, summaries
+from ..operators import stores
 from ..operators import weather as wea
-from ..sources import sinks
+from ..sources import sinks, versioned
+from ..sources.paging import PageIndex
+from ..sources.views import View
 from ..streaming.monitors import run_folder
 from . import correlation as correlation_plans
 from . import inventory as inventory_plans
@@ -30,11 +32,12 @@ SELECT store_id, sale_date::VARCHAR AS sale_date, {q('a')} AS total_sales FROM n
 SELECT store_id, sale_date::VARCHAR, {q('a')} FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.store_id=o.store_id AND n.sale_date=o.sale_date)""",
 )
 def upserted_versions(t):
-    """A first version written, an upsert written as the second, and the second read back."""
+    """A first version written, an upsert that writes the touched buckets again, and the second version read back."""
     path, keys = f"{run_folder(t.spark)}/store_metrics", ["store_id", "sale_date"]
-    sinks.write_version(stores.daily_store_metrics(t.lines(until=t.day(30))).select(*keys, "total_sales"), path, 1)
+    versioned.create(stores.daily_store_metrics(t.lines(until=t.day(30))).select(*keys, "total_sales"), path, keys)
     new = stores.daily_store_metrics(t.lines(since=t.day(90))).select(*keys, (F.col("total_sales") * 2).cast("decimal(24,2)").alias("total_sales"))
-    return t.spark.read.parquet(sinks.upsert_version(path, 1, new, keys))
+    versioned.upsert(new, path)
+    return versioned.read(t.spark, path)
 
 
 @query(
@@ -45,13 +48,46 @@ SELECT sale_date::VARCHAR AS sale_date, store_id, product_id, {q('sum(sale_amoun
 FROM sales WHERE sale_date>=(SELECT d FROM ref)-120 GROUP BY 1,2,3, sales.sale_date""",
 )
 def refreshed_daily_view(t):
-    """The view of the last days written by day, then the newest days refreshed in place, and all read back."""
-    path = f"{run_folder(t.spark)}/daily_view"
-    view = summaries.daily_view(t.sales(since=t.day(120)))
-    sinks.overwrite_days(view.repartition("sale_date"), path, "sale_date")
-    newer = view.filter(F.col("sale_date") >= F.lit(t.day(30))).withColumn("total_units", F.col("total_units") * 2)
-    sinks.overwrite_days(newer.repartition("sale_date"), path, "sale_date")
-    return t.spark.read.parquet(path).select("sale_date", "store_id", "product_id", "total_amount", "total_units", "transactions")
+    """The view of the last days, then the newest days changed: their rows withdrawn and added again with twice the units."""
+    keys = ["sale_date", "store_id", "product_id"]
+    view = View(f"{run_folder(t.spark)}/daily_view", keys, "trunc(sale_date, 'week')", {"total_amount": "sale_amount", "total_units": "units_sold"})
+    view.create(t.lines(since=t.day(120)))
+    newest = t.lines(since=t.day(30))
+    again = newest.withColumns({"units_sold": (F.col("units_sold") * 2).cast("long"), "sign": F.lit(1)})
+    view.apply(again.unionByName(newest.withColumn("sign", F.lit(-1))))
+    return view.read(t.spark).select(*keys, "total_amount", "total_units", F.col("rows").alias("transactions"))
+
+
+@query(
+    "incremental_city_view",
+    "SRC-18 CMB-14",
+    f"""
+, r AS (SELECT sale_date, city_id, product_id, units_sold, sale_amount FROM sales WHERE NOT (product_id%7=0 AND sale_date>=(SELECT d FROM ref)-20)
+  UNION ALL SELECT sale_date+1, city_id, product_id, units_sold, sale_amount FROM sales WHERE product_id%7=0 AND sale_date>=(SELECT d FROM ref)-20)
+SELECT sale_date::VARCHAR AS sale_date, city_id, count(*) AS "rows", {q('sum(sale_amount)')} AS amount, sum(units_sold)::BIGINT AS units, count(DISTINCT product_id) AS distinct_product_id FROM r GROUP BY r.sale_date, city_id""",
+)
+def incremental_city_view(t):
+    """Sums and distinct products by day and city; some sales of the newest days are withdrawn and come back a day later."""
+    sales = t.sales(category=False).select("sale_date", "city_id", "product_id", "units_sold", "sale_amount")
+    view = View(f"{run_folder(t.spark)}/city_view", ["sale_date", "city_id"], "trunc(sale_date, 'quarter')", {"amount": "sale_amount", "units": "units_sold"}, "product_id")
+    view.create(sales)
+    moved = sales.filter((F.col("product_id") % 7 == 0) & (F.col("sale_date") >= F.lit(t.day(20))))
+    later = moved.withColumns({"sale_date": F.date_add("sale_date", 1), "sign": F.lit(1)})
+    view.apply(moved.withColumn("sign", F.lit(-1)).unionByName(later))
+    return view.read(t.spark)
+
+
+@query(
+    "indexed_sales_page",
+    "SRC-10 FLT-8",
+    f"""
+SELECT sale_date::VARCHAR AS sale_date, store_id, product_id, units_sold, {q('sale_amount')} AS sale_amount FROM lines l ORDER BY l.sale_date, store_id, product_id LIMIT 50 OFFSET 5000""",
+)
+def indexed_sales_page(t):
+    """Page 100 of all sales through the key-range index: the fences name the range, which alone is read."""
+    index = PageIndex(f"{run_folder(t.spark)}/sales_pages", ["sale_date", "store_id", "product_id"])
+    index.build(t.lines().select("sale_date", "store_id", "product_id", "units_sold", "sale_amount"))
+    return index.page(t.spark, 100, 50)
 
 
 _PAYLOADS = (
