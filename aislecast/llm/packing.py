@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_letters
-from .common import Cache, held, in_workers, running_total, stored, table
+from .common import held, in_workers, running_total, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
 CONTEXTS, END, STEP_TOKENS, BLOCK = (2048, 1024, 512, 256), 1, 1 << 17, 1 << 14
@@ -42,43 +43,65 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 PLAIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")  # characters that stay as they are but for their case
 
 
+class Kept(dict):
+    """Values of ``make`` by text, made when first asked for; it starts anew beyond ``limit``. Texts over 64 characters are not kept."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, text: str):
+        value = self.make(text)
+        if len(text) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[text] = value
+        return value
+
+
 class Encoder:
     """Token ids of whole texts. Texts are cut at ASCII blanks, which the vocabulary drops; each distinct word is encoded once.
 
     Words of letters up to U+024F go to the merge model piece by piece; others, and words that may hold an added token or a
-    control character, go through the library as they are.
+    control character, go through the library as they are. Texts without a ``<|`` are cut before marks that follow a letter too,
+    where a piece ends in any case, and lose the case of A-Z, as they do in the library.
     """
 
-    def __init__(self, vocabulary: bytes, limit: int = 300_000):
+    def __init__(self, vocabulary: bytes, limit: int = 600_000):
         self.library = Tokenizer.from_buffer(vocabulary)
         self.model = self.library.model
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.pieces = Cache(self._piece, limit, 64)
-        self.words = Cache(self._word, limit, 64)
+        self.pieces = Kept(self._piece, limit // 8)
+        self.words = Kept(self._word, limit)
 
     def _piece(self, piece: str) -> bytes:
-        shown = "".join(map(self.letters.__getitem__, piece.encode()))
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isalpha() and word.isascii():
+            return self._piece(word.lower())
         if PLAIN.fullmatch(word) and "<|" not in word:
             return b"".join(map(self.pieces.__getitem__, PIECES.findall(word.lower())))
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
 
     def batch(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each with ``end``; the place where each text begins, and the end of the last)."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,;:!?])", r"\1 \2")
         split = pc.ascii_split_whitespace(texts)
         flat = split.flatten().dictionary_encode()
-        blobs = [self.words[w] if w else b"" for w in flat.dictionary.to_pylist()]
-        size = np.array([len(b) // 4 for b in blobs], np.int64)
-        pool, first = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(size) - size
+        blobs = list(map(self.words.__getitem__, flat.dictionary.to_pylist()))
+        size = np.fromiter(map(len, blobs), np.int32, len(blobs)) >> 2
+        pool, first = np.frombuffer(b"".join(blobs), np.uint32), np.cumsum(size, dtype=np.int64) - size
         which = flat.indices.to_numpy(zero_copy_only=False)
         n = size[which]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat(first[which] - upto[:-1], n) + np.arange(upto[-1])]
+        upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        places = np.repeat(first[which] - upto[:-1], n)
+        places += np.arange(upto[-1])
         offsets = split.offsets.to_numpy()
         ends = upto[offsets - offsets[0]]
-        return np.insert(ids, ends[1:], end).astype("<u4"), ends + np.arange(len(ends))
+        return np.insert(pool[places], ends[1:], end).astype("<u4", copy=False), ends + np.arange(len(ends))
 
 
 def read_vocabulary(path: str | None = None) -> bytes:
@@ -146,7 +169,7 @@ def place(pieces: DataFrame, contexts: tuple[int, ...], first: int) -> tuple[Dat
         if short or total < context:  # less than a window is left
             context, below = contexts[-1], 0
         if not below:
-            line = running_total(left, [], ["b1", "b2"], order, "length", "pos")
+            line = running_total(left, [], ["b"], order, "length", "pos")
             each = line.select("*", F.explode(F.sequence(F.expr(f"pos div {context}"), F.expr(f"(pos + length - 1) div {context}"))).alias("w"))
             since, until = F.greatest("pos", F.col("w") * context), F.least(F.col("pos") + F.col("length"), (F.col("w") + 1) * context)
             rest = total % context
@@ -160,15 +183,15 @@ def place(pieces: DataFrame, contexts: tuple[int, ...], first: int) -> tuple[Dat
         short = many < opening
         if not many:
             continue
-        long_ones = running_total(left.where(F.col("length") > below), [], ["b1", "b2"], order, "one", "rank")
+        long_ones = running_total(left.where(F.col("length") > below), [], ["b"], order, "one", "rank")
         opened = long_ones.where(F.col("rank") < many).withColumns({"gap": context - F.col("length"), "sequence_id": F.col("rank") + number})
-        gaps = stored(running_total(opened, [], ["b1", "b2"], order, "gap", "pos"), "gaps")
+        gaps = stored(running_total(opened, [], ["b"], order, "gap", "pos"), "gaps")
         free = gaps.agg(F.sum("gap")).first()[0]
         others = left.where(F.col("length") <= below).unionByName(long_ones.where(F.col("rank") >= many).drop("rank"))
         tier = F.size(F.filter(F.array(*[long(c) for c in contexts]), lambda c: c < F.col("length")))
-        line = stored(running_total(others.withColumn("tier", tier), [], ["tier", "b1", "b2"], order, "length", "pos").drop("tier"), "line")
+        line = stored(running_total(others.withColumn("tier", tier), [], ["tier", "b"], order, "length", "pos").drop("tier"), "line")
         own = gaps.select("part", "nth", "start", "length", "sequence_id", long(0).alias("offset"))
-        parts.append(own.unionByName(_filled(gaps, line, free)).withColumn("context", long(context)))
+        parts.append(stored(own.unionByName(_filled(gaps, line, free)).withColumn("context", long(context)), "parts"))
         used = F.greatest(free - F.col("pos"), long(0))
         left = line.where(F.col("pos") + F.col("length") > free).withColumns({"start": F.col("start") + used, "length": F.col("length") - used}).drop("pos")
         number, padded = number + many, padded + many * context
@@ -191,14 +214,14 @@ def _pieces(docs, contexts, path, end, step_tokens, of_ids) -> DataFrame:
     full = F.expr(f"n div {window}")
     lean = encoded.select(
         "part", "nth", full.alias("full"), (full * window).alias("start"), F.expr(f"n % {window}").alias("length"), hashed.alias("place"), F.crc32("ids").alias("digest"),
-        F.substring(hashed, 1, 2).alias("b1"), F.substring(hashed, 3, 2).alias("b2"), F.lit(1).cast("long").alias("one"),
+        F.substring(hashed, 1, 4).alias("b"), F.lit(1).cast("long").alias("one"),
     )
     lean = stored(lean, "lean")
     whole = lean.agg(F.coalesce(F.sum("full"), F.lit(0))).first()[0]
     parts, windows, padded = place(lean.where("length > 0").drop("full"), contexts, whole)
     steps = max(1, -(-(whole * window + padded) // step_tokens))
     order = [F.col(c) for c in ("place", "digest", "part", "nth")]
-    before = running_total(lean.where("full > 0"), [], ["b1", "b2"], order, "full", "before").select("part", "nth", "full", "before")
+    before = running_total(lean.where("full > 0"), [], ["b"], order, "full", "before").select("part", "nth", "full", "before")
     per = parts.groupBy("part", "nth").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset", "context")).alias("pieces"))
     placed = per.join(before, ["part", "nth"], "full")
     long = lambda v: F.lit(v).cast("long")
