@@ -242,15 +242,16 @@ def regression_scores(predicted: DataFrame, label: str) -> dict[str, float]:
 
 
 LINEAR = {"linear": (0.01, 0.0), "elastic_net": (0.1, 0.5)}  # strength of the penalty and its absolute part
-DEPTHS = {"random_forest": 10, "gradient_boost": 6}
+DEPTHS = {"random_forest": 10, "gradient_boost": 4}
+ROUNDS, STEP = 20, 0.3  # of boosting: a round is a job for each level of its one tree, whatever the cluster
 
 
 def make_regressor(kind: str, label: str, features: str = "features", trees: int = 100, depth: int | None = None):
-    """A forest of ``trees`` trees, as many boosted trees, or a linear model with its penalty; depths as in ``DEPTHS``."""
+    """A forest of ``trees`` trees, up to ``ROUNDS`` boosted ones, or a linear model with its penalty; depths as in ``DEPTHS``."""
     if kind == "random_forest":
         return RandomForestRegressor(labelCol=label, featuresCol=features, numTrees=trees, maxDepth=depth or DEPTHS[kind], maxMemoryInMB=1024, seed=SEED)
     if kind == "gradient_boost":
-        return GBTRegressor(labelCol=label, featuresCol=features, maxIter=trees, maxDepth=depth or DEPTHS[kind], stepSize=0.1, maxMemoryInMB=1024, seed=SEED)
+        return GBTRegressor(labelCol=label, featuresCol=features, maxIter=min(trees, ROUNDS), maxDepth=depth or DEPTHS[kind], stepSize=STEP, seed=SEED)
     reg, elastic = LINEAR[kind]
     return LinearRegression(labelCol=label, featuresCol=features, regParam=reg, elasticNetParam=elastic)
 
