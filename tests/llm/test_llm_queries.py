@@ -19,7 +19,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(queries())
     assert set(SQL) <= set(oracle_sql())
 
@@ -29,7 +29,7 @@ def test_query_equals_sql(spark, name):
     assert compare(spark, duck(DATA), DATA, QUERIES[name], SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"op13_packing"}))  # a row per piece
 def test_query_has_a_row_per_input_row(spark, name):
     assert QUERIES[name](spark, DATA).count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
 
