@@ -21,6 +21,7 @@ from . import pairsearch
 
 BLOCK = 1500
 CHUNK = 4096
+LISTED = 1000
 
 
 def _block_pairs(cells: DataFrame, item: str, blocks: int) -> DataFrame:
@@ -170,16 +171,20 @@ def positive_correlations(
 def correlations_with(sales: DataFrame, wanted: Sequence, item: str = "product_id", value: str = "sale_amount", min_corr: float = 0.3) -> DataFrame:
     """Pairs of the listed entities with all others over the sale days (mean per day, absent days 0), |r| >= ``min_corr``.
 
-    A rectangular product: only the cells of the listed entities meet the others of their day.
+    A rectangular product: only the cells of the listed entities meet the others of their day. The list names at most ``LISTED``.
     """
+    wanted = list(dict.fromkeys(wanted))
+    if len(wanted) > LISTED:
+        raise ValueError(f"more than {LISTED} entities: use grid_correlations")
     cells = sales.groupBy(item, "sale_date").agg(mean_of(value).alias("_x"))
     n = sales.agg(F.count_distinct("sale_date").cast("double")).scalar()
     per = cells.groupBy(item).agg(F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("ss"))
     few = cells.filter(F.col(item).isin(list(wanted))).select(F.col(item).alias("a"), "sale_date", F.col("_x").alias("xa"))
     sums = few.join(cells.withColumnRenamed(item, "b"), "sale_date").groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("_x")).alias("xy"))
-    one = per.filter(F.col(item).isin(list(wanted))).select(F.col(item).alias("a"), F.col("s").alias("sa"), F.col("ss").alias("ssa"), F.lit(1).alias("one"))
-    rest = per.select(F.col(item).alias("b"), F.col("s").alias("sb"), F.col("ss").alias("ssb"), F.lit(1).alias("one"))
-    both = rest.join(F.broadcast(one), "one").filter(F.col("a") != F.col("b")).join(sums, ["a", "b"], "left").withColumn("n", n)
+    one = per.filter(F.col(item).isin(list(wanted))).select(F.col(item).alias("a"), F.col("s").alias("sa"), F.col("ss").alias("ssa"))
+    listed = F.array(*[F.lit(w) for w in wanted]).cast(T.ArrayType(per.schema[item].dataType))
+    rest = per.select(F.col(item).alias("b"), F.col("s").alias("sb"), F.col("ss").alias("ssb"), F.explode(listed).alias("a"))
+    both = rest.join(one, "a").filter(F.col("a") != F.col("b")).join(sums, ["a", "b"], "left").withColumn("n", n)
     c = F.col
     den = F.sqrt((c("n") * c("ssa") - c("sa") * c("sa")) * (c("n") * c("ssb") - c("sb") * c("sb")))
     r = F.try_divide(c("n") * F.coalesce("xy", F.lit(0.0)) - c("sa") * c("sb"), den)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..schemas import DAILY_SALES_CSV
 
-# Names handed out in turn to holiday dates.
+# Default names handed out in turn to holiday dates; a parameter of ``normalise``.
 CYCLIC_HOLIDAYS = (
     "New Year", "Spring Festival", "Lantern Festival", "Tomb Sweeping Day", "Labour Day",
     "Dragon Boat Festival", "Mid-Autumn Festival", "National Day", "Double Ninth Festival", "Winter Solstice",
