@@ -1,6 +1,6 @@
 """Phrase collocations: word sequences that occur more often than their parts foretell.
 
-Texts are taken in chunks; a chunk is a sequence of numbers (0 ends a piece) and a dictionary, so each distinct word leaves a
+Texts are taken in chunks; a chunk is a sequence of numbers (0 ends a piece), packed, and a dictionary, so each distinct word leaves a
 task once per chunk. Words of at least ``least`` occurrences are numbered by falling frequency, pairs of neighbouring numbers
 are counted in tiles of ``TILE`` x ``TILE``: tiles that a chunk fills well by direct address (``bincount``), the others as sorted
 coordinates. Pairs that are frequent over all chunks are numbered by falling frequency in turn and replace the words, so that
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import in_workers, running_total, stored, table
+from .ngrams import _packed, _unpacked
 
 ENDS = "[.,;:!?\n-\r]+"
 TILE, DENSE = 1024, 1 << 16  # a tile with so many occurrences in a chunk is counted by direct address
@@ -66,7 +67,7 @@ def chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
             seq = np.concatenate([[0], np.cumsum(there)])[seq]  # marks have no number
             kept = words.filter(pa.array(there))
             made += 1
-            columns = [[lang], [made], [int(counts.sum())], pa.ListArray.from_arrays([0, len(kept)], kept), [counts[there].tolist()], [seq.astype("<i4").tobytes()]]
+            columns = [[lang], [made], [int(counts.sum())], pa.ListArray.from_arrays([0, len(kept)], kept), [counts[there].tolist()], [_packed(seq.astype("<u4"))]]
             return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["lang", "chunk", "n", "words", "counts", "seq"])
 
         for batch in batches:
@@ -106,7 +107,7 @@ def pairs(seqs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for lang, chunk, seq in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                s = np.frombuffer(seq, "<i4").astype(np.int64)
+                s = _unpacked(seq).astype(np.int64)
                 both = (s[:-1] > 0) & (s[1:] > 0)
                 for codes, counts in tile_counts(s[:-1][both], s[1:][both]):
                     for i in range(0, len(codes), 1 << 16):
@@ -123,7 +124,7 @@ def frequent(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     ``id`` counts from 1 by falling frequency (sixteenths of an octave, then a hash, then exactly), cumulated by these ranges.
     """
     total = F.sum("n").over(Window.partitionBy("lang", "key"))
-    found = stored(rows.withColumn("f", total).where(F.col("f") >= least), "found")
+    found = stored(rows.withColumn("f", total).where(F.col("f") >= least).drop("n"), "found")
     keys = found.groupBy("lang", "key").agg(F.max("f").alias("f")).withColumns({"one": F.lit(1).cast("long"), "b1": -F.round(16 * F.log2("f")).cast("int"), "b2": F.pmod(F.xxhash64("key"), F.lit(64))})
     ids = running_total(keys, ["lang"], ["b1", "b2"], [F.desc("f"), F.col("key")], "one", "before")
     return found, stored(ids.select("lang", "key", "f", (F.col("before") + 1).alias("id")), "keys")
@@ -131,13 +132,17 @@ def frequent(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 
 def renumbered(seqs: DataFrame, found: DataFrame, ids: DataFrame, at: str) -> DataFrame:
     """(lang, chunk, seq): the chunks' sequences of words (``at`` = "no") or of pairs (``at`` = "key") as the ids of frequent ones."""
-    own = found.join(ids.select("lang", "key", "id"), ["lang", "key"]).groupBy("chunk").agg(F.collect_list(F.struct(F.col(at).cast("long").alias("at"), "id")).alias("ids"))
+    # a key's id reaches its rows in one sorted pass over both: a key has a row a chunk, and more frequent keys with more input
+    rows = found.select("lang", "key", "chunk", F.col(at).cast("long").alias("at"), F.lit(None).cast("long").alias("id"))
+    both = rows.unionByName(ids.select("lang", "key", F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("long").alias("at"), "id"))
+    named = both.withColumn("id", F.max("id").over(Window.partitionBy("lang", "key"))).where("chunk is not null")
+    own = named.groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("ids"))
 
     def run(batches):
         for batch in batches:
             out = []
             for seq, own in zip(batch.column(2).to_pylist(), batch.column(3)):
-                s = np.frombuffer(seq, "<i4").astype(np.int64)
+                s = _unpacked(seq).astype(np.int64)
                 known = own.values
                 places, names = (known.field(i).to_numpy() for i in (0, 1))
                 by = np.argsort(places)
@@ -148,7 +153,7 @@ def renumbered(seqs: DataFrame, found: DataFrame, ids: DataFrame, at: str) -> Da
                 if len(t) and t.max() > np.iinfo(np.int32).max:
                     raise OverflowError("more than 2**31 frequent phrases in one language")
                 ends = t == 0
-                out.append(t[~(ends & np.concatenate([[False], ends[:-1]]))].astype("<i4").tobytes())
+                out.append(_packed(t[~(ends & np.concatenate([[False], ends[:-1]]))].astype("<u4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["lang", "chunk", "seq"])
 
     return in_workers(seqs.select("lang", "chunk", "seq").join(own, "chunk").select("lang", "chunk", "seq", "ids"), run, "lang string, chunk long, seq binary")
