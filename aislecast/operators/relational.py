@@ -12,7 +12,10 @@ from ..functions.core import mean_of
 
 
 def promotion_days(promotions: DataFrame) -> DataFrame:
-    """One row per promotion and day; a promotion is a short interval, so the growth is its length."""
+    """One row per promotion and day; a promotion is a short interval, so the growth is its length.
+
+    Spark sizes the rows of an explode as those before it, so a join with them names its strategy: they are never sent whole to all tasks.
+    """
     return promotions.withColumn("sale_date", F.explode(F.sequence("start_date", "end_date")))
 
 
@@ -22,17 +25,20 @@ def apply_promotions(sales: DataFrame, promotions: DataFrame) -> DataFrame:
     The four key shapes (store and product, store, product, neither) are reduced to one winner per key
     and day first, so each becomes an equi left join that never multiplies sales rows.
     """
-    days = promotion_days(promotions)
     best = F.max(F.struct("start_date", "promotion_id", "promotion_type", "discount_percentage"))
     out = sales
     for i, keys in enumerate((["store_id", "product_id"], ["store_id"], ["product_id"], [])):
         absent = [k for k in ("store_id", "product_id") if k not in keys]
-        part = days
+        part = promotions
         for k in keys:
             part = part.filter(F.col(k).isNotNull())
         for k in absent:
             part = part.filter(F.col(k).isNull())
-        winner = part.groupBy("sale_date", *keys).agg(best.alias(f"_p{i}"))
+        if keys:  # spread before the days are spread out
+            part = part.repartition(*keys)
+        winner = promotion_days(part).groupBy("sale_date", *keys).agg(best.alias(f"_p{i}"))
+        if keys:  # without a key there is one row a calendar day
+            winner = winner.hint("merge")
         out = out.join(winner, ["sale_date", *keys], "left")
     win = F.greatest(*[F.col(f"_p{i}") for i in range(4)])
     return (
@@ -102,7 +108,7 @@ def recent_or_zero(dim: DataFrame, facts: DataFrame, key: str) -> DataFrame:
 def rows_off_promotion(sales: DataFrame, promotions: DataFrame) -> DataFrame:
     """Sales of products on days without a promotion of that product."""
     days = promotion_days(promotions.filter(F.col("product_id").isNotNull())).select("product_id", "sale_date")
-    return sales.join(days, ["product_id", "sale_date"], "left_anti")
+    return sales.join(days.hint("merge"), ["product_id", "sale_date"], "left_anti")
 
 
 def rows_of_promoted_stores(sales: DataFrame, promotions: DataFrame) -> DataFrame:
