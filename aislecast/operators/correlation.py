@@ -1,12 +1,13 @@
 """Correlations: zero-filled entity correlations in blocks, weather and factor correlations, significance.
 
-All-pairs work is laid out as a blocked matrix product.  Entities fall into hash blocks of bounded size
-and cells into hash chunks, so a task multiplies two small matrices whatever the share of a hot cell or
-a hot entity; pairs are filtered inside the task and never emitted per cell.
+Entities of a cell that holds few of them meet by an equi-join.  The other cells are laid out as a blocked matrix product:
+entities fall into hash blocks of bounded size and cells into hash chunks, so a task multiplies two small matrices whatever
+the share of a hot cell or a hot entity; pairs are filtered inside the task and never emitted per cell.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -17,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import ladder, mean_of, ratio, safe_corr
+from ..session import ensure_checkpoint_dir
 from . import pairsearch
 
 BLOCK = 1500
 CHUNK = 4096
 LISTED = 1000
+FEW = 64  # entities of a cell that meet by a join, at most so many pairs a row
 
 
 def _block_pairs(cells: DataFrame, item: str, blocks: int) -> DataFrame:
@@ -51,20 +54,50 @@ def grid_correlations(
 
 
 def cooccurrence_sums(
-    cells: DataFrame, item: str, cell: Sequence[str], x: str, y: str, block: int = BLOCK, chunk: int = CHUNK
+    cells: DataFrame, item: str, cell: Sequence[str], x: str, y: str, block: int = BLOCK, chunk: int = CHUNK, few: int = FEW
 ) -> DataFrame:
     """For every pair of entities that share a cell: the sums over the shared cells of x*x, x*y and y*x.
 
-    Cells may be many (store-days); they are cut into chunks, and only the chunk sums leave a task.
+    A cell of at most ``few`` entities costs its own pairs alone, however many entities there are.  Fuller cells are cut into
+    chunks and meet in blocks of the entities they hold, and only the chunk sums leave a task.  ``cells`` is read several times.
     """
-    n_cells, n_items = cells.agg(F.approx_count_distinct(F.xxhash64(*cell)), F.approx_count_distinct(item)).first()
-    kind = cells.schema[item].dataType
+    parts_of = [f"cell_{i}" for i in range(len(cell))]
+    rows = cells.select(
+        F.col(item).alias("item"),
+        *[F.col(c).alias(name) for c, name in zip(cell, parts_of)],
+        F.col(x).cast("double").alias("x"),
+        F.col(y).cast("double").alias("y"),
+    )
+    full = rows.groupBy(*parts_of).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > few).select(*[F.col(c).alias(f"_{c}") for c in parts_of])
+    in_full = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in parts_of])
+    sums = _pairs_of_few(rows.join(full, in_full, "left_anti"), parts_of)
+    crowd = rows.join(full, in_full, "left_semi")
+    n_cells, n_items = crowd.agg(F.approx_count_distinct(F.xxhash64(*parts_of)), F.approx_count_distinct("item")).first()
+    if n_cells:
+        sums = sums.unionByName(_pairs_of_crowd(crowd, parts_of, _count_blocks(n_items, block), _count_blocks(n_cells, chunk)))
+    return sums.groupBy("item_a", "item_b").agg(*[F.sum(c).alias(c) for c in ("xx", "xy", "yx")])
+
+
+def _pairs_of_few(rows: DataFrame, parts_of: Sequence[str]) -> DataFrame:
+    """(item_a, item_b, xx, xy, yx) of the pairs of each cell, by a join on the cell."""
+    held = rows.filter(F.col("x") != 0)
+    a = held.select(*parts_of, F.col("item").alias("item_a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
+    b = held.select(*[F.col(c).alias(f"_{c}") for c in parts_of], F.col("item").alias("item_b"), F.col("x").alias("xb"), F.col("y").alias("yb"))
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in parts_of])
+    met = a.join(b, same & (F.col("item_a") < F.col("item_b")))
+    c = F.col
+    return met.select("item_a", "item_b", (c("xa") * c("xb")).alias("xx"), (c("xa") * c("yb")).alias("xy"), (c("ya") * c("xb")).alias("yx"))
+
+
+def _pairs_of_crowd(rows: DataFrame, parts_of: Sequence[str], blocks: int, chunks: int) -> DataFrame:
+    """(item_a, item_b, xx, xy, yx) of the pairs that share a cell, a row for each chunk of cells, by products of blocks."""
+    kind = rows.schema["item"].dataType
     fields = [T.StructField("item_a", kind), T.StructField("item_b", kind)]
     out = T.StructType(fields + [T.StructField(c, T.DoubleType()) for c in ("xx", "xy", "yx")])
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, row = np.unique(pdf["item"].to_numpy(), return_inverse=True)
-        col = pdf.groupby(parts_of, sort=False, dropna=False).ngroup().to_numpy()
+        col = pdf.groupby(list(parts_of), sort=False, dropna=False).ngroup().to_numpy()
         mats = []
         for name in ("x", "y"):
             m = np.zeros((len(ids), col.max() + 1))
@@ -93,18 +126,8 @@ def cooccurrence_sums(
             }
         )
 
-    parts_of = [f"cell_{i}" for i in range(len(cell))]
-    rows = cells.select(
-        F.col(item).alias("item"),
-        *[F.col(c).alias(name) for c, name in zip(cell, parts_of)],
-        F.col(x).cast("double").alias("x"),
-        F.col(y).cast("double").alias("y"),
-    )
-    spread = _block_pairs(rows, "item", _count_blocks(n_items, block)).withColumn(
-        "_c", F.pmod(F.xxhash64(*parts_of), F.lit(_count_blocks(n_cells, chunk)))
-    )
-    parts = spread.groupBy("_lo", "_hi", "_c").applyInPandas(multiply, out)
-    return parts.groupBy("item_a", "item_b").agg(*[F.sum(c).alias(c) for c in ("xx", "xy", "yx")])
+    spread = _block_pairs(rows, "item", blocks).withColumn("_c", F.pmod(F.xxhash64(*parts_of), F.lit(chunks)))
+    return spread.groupBy("_lo", "_hi", "_c").applyInPandas(multiply, out)
 
 
 def product_correlations(sales: DataFrame, item: str = "product_id", value: str = "sale_amount", min_corr: float = 0.3, k: int = 10) -> DataFrame:
@@ -116,8 +139,8 @@ def product_correlations(sales: DataFrame, item: str = "product_id", value: str
     )
 
 
-def _never_together(per: DataFrame, item: str, n: Column, min_corr: float, block: int) -> DataFrame:
-    """Pairs whose r would be at most -``min_corr`` if they shared no cell: r is then -ua * ub, u = s / sqrt(n ss - s s).
+def _never_together(per: DataFrame, item: str, n: Column, min_corr: float, block: int) -> DataFrame | None:
+    """Pairs whose r would be at most -``min_corr`` if they shared no cell, None without any: r is then -ua * ub, u = s / sqrt(n ss - s s).
 
     Only entities that fill a large part of the grid can take part, so few are left before they meet in blocks.
     """
@@ -134,8 +157,10 @@ def _never_together(per: DataFrame, item: str, n: Column, min_corr: float, block
         a, b = ids[left[i]], ids[right[j]]
         return pd.DataFrame({"item_a": np.where(a < b, a, b), "item_b": np.where(a < b, b, a)}).drop_duplicates()
 
-    blocks = _count_blocks(dense.count(), block)
-    return _block_pairs(dense, "item", blocks).groupBy("_lo", "_hi").applyInPandas(meet, out)
+    found = dense.count()
+    if not found:
+        return None
+    return _block_pairs(dense, "item", _count_blocks(found, block)).groupBy("_lo", "_hi").applyInPandas(meet, out)
 
 
 def cell_correlations(
@@ -147,14 +172,17 @@ def cell_correlations(
     that their r is negative enough.
     """
     assert min_corr > 0
-    cells = sales.groupBy(item, *cell).agg(mean_of(value).alias("_x")).filter(F.col("_x") != 0)
+    ensure_checkpoint_dir(sales.sparkSession)
+    cells = sales.groupBy(item, *cell).agg(mean_of(value).alias("_x")).filter(F.col("_x") != 0).checkpoint()
     n = sales.select(*cell).distinct().agg(F.count(F.lit(1))).scalar()
     sums = cooccurrence_sums(cells, item, cell, "_x", "_x", block, chunk).select("item_a", "item_b", "xx")
     per = cells.groupBy(item).agg(F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("ss"))
     a = per.select(F.col(item).alias("item_a"), F.col("s").alias("sa"), F.col("ss").alias("ssa"))
     b = per.select(F.col(item).alias("item_b"), F.col("s").alias("sb"), F.col("ss").alias("ssb"))
-    apart = _never_together(per, item, n, min_corr, block).join(sums, ["item_a", "item_b"], "left_anti").withColumn("xx", F.lit(0.0))
-    joined = sums.unionByName(apart).join(a, "item_a").join(b, "item_b").withColumn("sample_size", n)
+    apart = _never_together(per, item, n, min_corr, block)
+    if apart is not None:
+        sums = sums.unionByName(apart.join(sums, ["item_a", "item_b"], "left_anti").withColumn("xx", F.lit(0.0)))
+    joined = sums.join(a, "item_a").join(b, "item_b").withColumn("sample_size", n)
     c = F.col
     den = F.sqrt((c("sample_size") * c("ssa") - c("sa") * c("sa")) * (c("sample_size") * c("ssb") - c("sb") * c("sb")))
     r = F.try_divide(c("sample_size") * c("xx") - c("sa") * c("sb"), den)
@@ -338,6 +366,8 @@ def category_affinity(sales: DataFrame, min_count: int = 10, top: int | None = 1
     cells = sales.groupBy("store_id", "sale_date", "first_category").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("units_sold").alias("_s")
     )
+    ensure_checkpoint_dir(sales.sparkSession)
+    cells = cells.checkpoint()
     p = cooccurrence_sums(cells, "first_category", ["store_id", "sale_date"], "_n", "_s")
     both = p.select(F.col("item_a").alias("category_a"), F.col("item_b").alias("category_b"), "xx", "xy", "yx").unionByName(
         p.select(F.col("item_b").alias("category_a"), F.col("item_a").alias("category_b"), "xx", "xy", "yx")
