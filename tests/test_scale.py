@@ -4,9 +4,10 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from aislecast.operators import correlation, relational
+from aislecast.operators import correlation, relational, uplift
 
 D0 = dt.date(2024, 1, 1)
 PROMOTION = "promotion_id string, store_id long, product_id long, start_date date, end_date date, promotion_type string, discount_percentage int"
@@ -65,3 +66,29 @@ def test_store_day_pairs_of_many_products_make_no_blocks(spark, capsys):
     pairs = correlation.cell_correlations(df, "product_id", ["sale_date", "store_id"], "v", 0.3)
     assert "FlatMapGroupsInPandas" not in plan_of(pairs, capsys)
     assert pairs.filter(F.col("r") > 0.99).count() == pairs.count() > 3000
+
+
+def test_product_correlations_return_every_pair(spark):
+    rows = [(day(d), p, 1.0 + (d % 3 == 0) * 4 + (p + d) % 2) for p in range(30) for d in range(12)]
+    df = spark.createDataFrame(rows, "sale_date date, product_id long, sale_amount double")
+    x = np.array([[v for _, q, v in rows if q == p] for p in range(30)])
+    r = np.corrcoef(x)
+    want = {(i, j) for i in range(30) for j in range(i + 1, 30) if abs(r[i, j]) >= 0.3}
+    got = [(p.item_a, p.item_b) for p in correlation.product_correlations(df).collect()]
+    assert len(got) == len(want) > 30 * 10 / 2 and set(got) == want
+
+
+def test_rows_of_the_uplift_models_are_worked_out_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        read.add(1)
+        return v
+
+    names = ["sale_date", "store_id", "product_id", "first_category", *uplift.NUMERIC, "label"]
+    data = [(day(i), i % 4, i % 7, f"c{i % 2}", *[float(i * k % 11) for k in range(1, 1 + len(uplift.NUMERIC))], float(i)) for i in range(60)]
+    rows = spark.createDataFrame(data, names).withColumn("label", counted("label"))
+    got = uplift.uplift_scores(rows, ("linear", "elastic_net")).collect()
+    assert [r.model for r in got] == ["linear", "elastic_net"] and all(r.rows == got[0].rows > 0 for r in got)
+    assert read.value == 60
