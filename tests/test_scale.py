@@ -7,7 +7,10 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
+from aislecast import session
 from aislecast.operators import correlation, relational, uplift
+from aislecast.schemas import RAW
+from aislecast.sources.adapter import RetailTables
 
 D0 = dt.date(2024, 1, 1)
 PROMOTION = "promotion_id string, store_id long, product_id long, start_date date, end_date date, promotion_type string, discount_percentage int"
@@ -92,3 +95,32 @@ def test_rows_of_the_uplift_models_are_worked_out_once(spark):
     got = uplift.uplift_scores(rows, ("linear", "elastic_net")).collect()
     assert [r.model for r in got] == ["linear", "elastic_net"] and all(r.rows == got[0].rows > 0 for r in got)
     assert read.value == 60
+
+
+def _line(i):
+    return {"l_orderkey": i, "l_partkey": i % 7 + 1, "l_suppkey": i % 3 + 1, "l_quantity": 1.0, "l_extendedprice": 2.5, "l_discount": 0.0, "l_returnflag": "N", "l_shipdate": dt.datetime(2024, 1, 1 + i % 5)}
+
+
+def test_a_task_reads_a_bounded_share_of_any_table(spark, tmp_path):
+    rows = [tuple(_line(i).get(f.split()[0]) for f in RAW["lineitem"].split(",")) for i in range(40)]
+    spark.createDataFrame(rows, RAW["lineitem"]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for key in session.SHARES:
+        spark.conf.unset(key)
+    t = RetailTables(spark, str(tmp_path))
+    assert {k: spark.conf.get(k) for k in session.SHARES} == session.SHARES
+    spark.conf.set(session.INITIAL, "999")  # left by a larger table
+    lines = t.lines()
+    assert spark.conf.get(session.INITIAL, None) is None  # a small table keeps the set number
+    assert lines.agg(F.sum("units_sold")).first()[0] == 40
+
+
+def test_shuffle_partitions_follow_the_scan(spark):
+    cores, before = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        session.deal_shuffles(spark, 2 * cores)
+        assert spark.conf.get(session.INITIAL, None) is None
+        for scans in (100 * cores, 600 * cores):  # six times the table: six times the partitions, not six times their size
+            session.deal_shuffles(spark, scans)
+            assert int(spark.conf.get(session.INITIAL)) == session.PER_SCAN * scans > before
+    finally:
+        spark.conf.unset(session.INITIAL)
