@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from aislecast import session
-from aislecast.operators import correlation, relational, uplift
+from aislecast.operators import correlation, forecast, relational, uplift
 from aislecast.schemas import RAW
 from aislecast.sources.adapter import RetailTables
 
@@ -124,3 +124,14 @@ def test_shuffle_partitions_follow_the_scan(spark):
             assert int(spark.conf.get(session.INITIAL)) == session.PER_SCAN * scans > before
     finally:
         spark.conf.unset(session.INITIAL)
+
+
+def test_few_model_rows_are_not_held_in_many_partitions(spark):
+    cores = spark.sparkContext.defaultParallelism
+    with forecast.cached(spark.range(1000).repartition(20 * cores)) as held:
+        assert held.rdd.getNumPartitions() == 2 * cores
+        assert sorted(r.id for r in held.collect()) == list(range(1000))
+    with forecast.cached(spark.range(1000).repartition(2 * cores)) as held:
+        assert held.rdd.getNumPartitions() == 2 * cores
+    with forecast.cached(spark.range(0, 10 * cores * forecast.ROWS_HELD, 1, 20 * cores)) as held:  # many rows keep their share
+        assert held.rdd.getNumPartitions() == 10 * cores
