@@ -224,3 +224,10 @@ def test_one_item_in_one_city_is_many_parts(spark):
     parts = inventory.transfer_opportunities(at, cell_pairs=5000)
     assert parts.count() == whole.count() > 100_000
     assert parts.exceptAll(whole.select(*parts.columns)).count() == 0 and parts.select(*key).distinct().count() == parts.count()
+
+def test_rounds_of_components_keep_the_size_of_their_rows(spark):
+    nodes = spark.range(100)
+    links = nodes.where("id > 0").select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
+    found = clustering.connected_labels(nodes, links)
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(100)}
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**40
