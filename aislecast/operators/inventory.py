@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions.core import clamp, ladder, mean_if, mean_of, ratio, share_if, slope_of, stable_bucket, std_of  # noqa: F401
 from ..functions.geo import EARTH_KM, haversine_km
+from ..session import written
 from .ranking import exact_quantiles
 from .series import pct_change, tail_rank
 
 OPEN_HOURS = 16
 Z_SCORES = {0.90: 1.28, 0.95: 1.64, 0.99: 2.33}
 PRIORITY_RANK = {"immediate": 4, "high": 3, "medium": 2, "low": 1}
+BLOCK = 8  # cells of a side of a block
 URGENCY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 
 
@@ -161,6 +163,23 @@ def _cells(df: DataFrame, km: float) -> DataFrame:
     return df.withColumns({k: F.floor(v * (EARTH_KM / km)) for k, v in axes.items()})
 
 
+def _reaching(src: DataFrame, dst: DataFrame, item: str) -> DataFrame:
+    """``src`` once for each cell of ``dst`` with the same item that touches its own or is it, that cell in place of its own.
+
+    The cells of ``dst`` are listed by blocks of ``BLOCK`` cells a side, so a row goes to the few blocks around it, not to 27 cells.
+    """
+    axes = ["_x", "_y", "_z"]
+    place = [F.floor(F.col(c) / BLOCK).alias(f"{c}_block") for c in axes]
+    blocks = [f"{c}_block" for c in axes]
+    taken = dst.select(item, *axes).distinct().groupBy(item, *place).agg(F.collect_list(F.struct(*axes)).alias("_taken"))
+    around = src
+    for c, b in zip(axes, blocks):
+        around = around.withColumn(b, F.explode(F.sequence(F.floor((F.col(c) - 1) / BLOCK), F.floor((F.col(c) + 1) / BLOCK))))
+    touching = F.filter("_taken", lambda t: (F.abs(t["_x"] - F.col("_x")) <= 1) & (F.abs(t["_y"] - F.col("_y")) <= 1) & (F.abs(t["_z"] - F.col("_z")) <= 1))
+    met = around.join(taken, [item, *blocks]).withColumn("_cell", F.explode(touching))
+    return met.withColumns({c: F.col(f"_cell.{c}") for c in axes}).drop("_taken", "_cell", *blocks)
+
+
 def _met_in_parts(left: DataFrame, right: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
     """``left`` joined with ``right`` on ``keys``; a key of more than ``most`` pairs is cut into parts by hashes of the stores.
 
@@ -196,36 +215,17 @@ def transfer_opportunities(
     """Moves of one item from an overstocked store to a short one within the affordable distance.
 
     The cost limit is a radius, so stores meet only through touching cells of that size: candidates are
-    neighbours of the same item, never all pairs of an item's stores.  A cell with more than ``cell_pairs`` candidates is
+    neighbours of the same item, never all pairs of an item's stores, and cells without a short store take no part.  A cell with more than ``cell_pairs`` candidates is
     split into parts, so that one item in one place is many tasks.
     """
     radius = max_cost / cost_per_km
     cols = ["store_id", item, "city_id", "latitude", "longitude", "current_stock", "safety_stock", "avg_daily_sales", "days_of_inventory"]
-    src = _cells(
-        status.filter((F.col("stock_status") == "overstock") & (F.col("days_of_inventory") > excess_days)).select(*cols), radius
-    )
-    dst = _cells(
-        status.filter((F.col("stock_status") == "stockout_risk") & (F.col("days_of_inventory") < shortage_days)).select(*cols),
-        radius,
-    )
-    around = F.explode(
-        F.flatten(
-            F.flatten(
-                F.transform(
-                    F.sequence(F.col("_x") - 1, F.col("_x") + 1),
-                    lambda x: F.transform(
-                        F.sequence(F.col("_y") - 1, F.col("_y") + 1),
-                        lambda y: F.transform(
-                            F.sequence(F.col("_z") - 1, F.col("_z") + 1),
-                            lambda z: F.struct(x.alias("_x"), y.alias("_y"), z.alias("_z")),
-                        ),
-                    ),
-                )
-            )
-        )
-    )
-    # overstock is the rarer side, so that one is spread over the touching cells
-    reach = src.select(*cols, around.alias("_c")).select("*", "_c._x", "_c._y", "_c._z").drop("_c")
+    over = (F.col("stock_status") == "overstock") & (F.col("days_of_inventory") > excess_days)
+    under = (F.col("stock_status") == "stockout_risk") & (F.col("days_of_inventory") < shortage_days)
+    chosen = written(status.filter(over | under).select(*cols, "stock_status"))  # read by counts, cells and pairs of both sides
+    src = _cells(chosen.filter(over).select(*cols), radius)
+    dst = _cells(chosen.filter(under).select(*cols), radius)
+    reach = _reaching(src, dst, item).select(*cols, "_x", "_y", "_z")
     short = dst.select(*[F.col(c).alias("t_" + c) for c in cols if c != item], item, "_x", "_y", "_z")
     pairs = _met_in_parts(reach, short, [item, "_x", "_y", "_z"], cell_pairs).filter(F.col("store_id") != F.col("t_store_id"))
     km = haversine_km(F.col("latitude"), F.col("longitude"), F.col("t_latitude"), F.col("t_longitude"))

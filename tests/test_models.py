@@ -225,6 +225,23 @@ def test_one_item_in_one_city_is_many_parts(spark):
     assert parts.count() == whole.count() > 100_000
     assert parts.exceptAll(whole.select(*parts.columns)).count() == 0 and parts.select(*key).distinct().count() == parts.count()
 
+
+def test_overstock_goes_to_occupied_touching_cells_only(spark):
+    rng = np.random.default_rng(5)
+    cells = lambda n: pd.DataFrame({"store_id": np.arange(n), "product_id": rng.integers(0, 3, n), **{c: rng.integers(-12, 12, n) for c in ("_x", "_y", "_z")}})
+    src, dst = cells(150), cells(400)
+    got = inventory._reaching(spark.createDataFrame(src), spark.createDataFrame(dst), "product_id")
+    taken = {tuple(r) for r in dst[["product_id", "_x", "_y", "_z"]].to_numpy().tolist()}
+    want = [
+        (s, p, x + i, y + j, z + k)
+        for s, p, x, y, z in src.itertuples(index=False, name=None)
+        for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)
+        if (p, x + i, y + j, z + k) in taken
+    ]
+    assert sorted(tuple(r) for r in got.select("store_id", "product_id", "_x", "_y", "_z").collect()) == sorted(want)
+    assert 0 < len(want) < 27 * len(src) / 4
+
+
 def test_rounds_of_components_keep_the_size_of_their_rows(spark):
     nodes = spark.range(100)
     links = nodes.where("id > 0").select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
