@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import ladder, mean_if, mean_of, ratio, share_if, slope_of
+from ..session import written
 from .ranking import exact_quantiles, with_percent_rank
 from .relational import apply_promotions
 from .summaries import depth_band
@@ -55,18 +56,30 @@ def cross_effects(daily: DataFrame, pairs: DataFrame, item: str, keys: Sequence[
     """Effect of promoting ``item_a`` on ``item_b``: mean of b on a's promotion days against its other days.
 
     ``daily`` has one row per key, item and day with ``activity_flag``; ``pairs`` names the pairs to look at,
-    for instance the correlated ones.  With ``keys`` the effect is measured inside each key (a store).
+    for instance the correlated ones.  With ``keys`` the effect is measured inside each key (a store).  ``sale_amount`` is exact
+    (integer or decimal), so the sums of the other days are those of all days less those of the promoted ones.
     """
     keys = list(keys)
-    seen = daily.groupBy(*keys, item).agg(F.count(F.lit(1)).alias("_n"), F.count_if("activity_flag").alias("_p")).filter(F.col("_n") >= min_rows)
-    days = daily.filter("activity_flag").select(*keys, F.col(item).alias("item_a"), "sale_date", F.lit(True).alias("_on"))
-    both = pairs.select("item_a", "item_b").join(seen.filter(F.col("_p") > 0).select(*keys, F.col(item).alias("item_a")), "item_a")
+    daily = written(daily.select(*keys, item, "sale_date", "sale_amount", "activity_flag"))  # read three times
+    v = F.col("sale_amount")
+    seen = daily.groupBy(*keys, item).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if("activity_flag").alias("_p"), F.sum(v).alias("_sum"), F.count(v).alias("_count")
+    ).filter(F.col("_n") >= min_rows)
+    on = daily.filter("activity_flag").groupBy(*keys, F.col(item).alias("item_a"), "sale_date").agg(F.count(F.lit(1)).alias("_m"))
+    both = pairs.select("item_a", "item_b").distinct().join(seen.filter(F.col("_p") > 0).select(*keys, F.col(item).alias("item_a")), "item_a")
     both = both.join(seen.select(*keys, F.col(item).alias("item_b")), [*keys, "item_b"])
-    b = daily.select(*keys, F.col(item).alias("item_b"), "sale_date", "sale_amount")
-    rows = both.join(b, [*keys, "item_b"]).join(days, [*keys, "item_a", "sale_date"], "left")
-    on = F.col("_on").isNotNull()
-    g = rows.groupBy(*keys, "item_a", "item_b").agg(
-        mean_if(on, "sale_amount").alias("during"), mean_if(~on, "sale_amount").alias("normal")
+    b = daily.select(*keys, F.col(item).alias("item_b"), "sale_date", v)
+    if keys:  # what a key sells on a day is little next to all days of its pairs
+        rows = b.join(on, [*keys, "sale_date"]).join(both, [*keys, "item_a", "item_b"], "left_semi")
+    else:
+        rows = both.join(on, "item_a").join(b, ["item_b", "sale_date"])
+    # promoted days are met; the other days are what is left of the sums over all days
+    met = rows.groupBy(*keys, "item_a", "item_b").agg(
+        F.sum(v * F.col("_m")).alias("_during"), F.sum(F.when(v.isNotNull(), F.col("_m"))).alias("_on"), F.sum(v).alias("_taken"), F.count(v).alias("_days")
+    )
+    total = seen.select(*keys, F.col(item).alias("item_b"), "_sum", "_count")
+    g = met.join(total, [*keys, "item_b"]).select(
+        *keys, "item_a", "item_b", ratio("_during", "_on").alias("during"), ratio(F.col("_sum") - F.col("_taken"), F.col("_count") - F.col("_days")).alias("normal")
     ).filter((F.col("normal") > 0) & F.col("during").isNotNull())
     g = g.withColumn("impact_pct", (F.col("during") - F.col("normal")) / F.col("normal") * 100)
     x = F.col("impact_pct")

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from aislecast.operators import clustering, density, forecast, inventory, linearfolds, pairsearch, trees
+from aislecast.operators import clustering, density, forecast, inventory, linearfolds, pairsearch, promotions, trees
 
 
 def day(i):
@@ -248,3 +248,27 @@ def test_rounds_of_components_keep_the_size_of_their_rows(spark):
     found = clustering.connected_labels(nodes, links)
     assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(100)}
     assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**40
+
+
+# ---- cross effects ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("keys", [[], ["store_id"]])
+def test_cross_effects_from_promoted_days_and_sums_equal_brute_force(spark, keys):
+    rng = np.random.default_rng(4)
+    rows = [(s, i, dt.date(2024, 1, 1) + dt.timedelta(days=int(d)), None if rng.random() < 0.1 else int(rng.integers(1, 90)), bool(rng.random() < 0.4))
+            for s in range(2 if keys else 1) for i in "abcd" for d in rng.choice(40, 25, replace=False)]
+    daily = spark.createDataFrame(rows, "store_id long, item string, sale_date date, sale_amount long, activity_flag boolean")
+    pairs = [("a", "b"), ("b", "a"), ("a", "b"), ("c", "d"), ("d", "x")]
+    out = promotions.cross_effects(daily, spark.createDataFrame(pairs, "item_a string, item_b string"), "item", keys)
+    want = set()
+    for s in {r[0] for r in rows}:
+        for a, b in set(pairs):
+            on = {r[2] for r in rows if r[0] == s and r[1] == a and r[4]}
+            sold = [(r[2] in on, r[3]) for r in rows if r[0] == s and r[1] == b and r[3] is not None]
+            during, normal = ([v for o, v in sold if o == w] for w in (True, False))
+            if during and normal:
+                want.add((s if keys else 0, a, b, round(sum(during) / len(during), 6), round(sum(normal) / len(normal), 6)))
+    got = {(r.store_id if keys else 0, r.item_a, r.item_b, round(r.during, 6), round(r.normal, 6)) for r in out.collect()}
+    assert got == want and len(want) >= 3
+    assert out.inputFiles() and all("/rows-" in f for f in out.inputFiles())  # the daily rows are made once
