@@ -124,6 +124,26 @@ def test_outage_state_is_one_entry_per_waiting_event(spark, tmp_path):
     assert waiting.count() == 40 and waiting.agg(F.max(F.size("user_map_value.events"))).first()[0] == 1
 
 
+def test_a_batch_brings_a_key_one_timer(spark, tmp_path):
+    rows = [ev(i, i, user=i % 3, kind="error" if i % 2 else "purchase") for i in range(60)]
+    folder = str(tmp_path / "run")
+    (tmp_path / "in").mkdir()
+    mon.advance(mon.outages(mon.event_stream(spark, write_files(spark, tmp_path / "in", [rows])), late="1 day"), folder)
+    with mon.rocksdb(spark):
+        timers = spark.read.format("statestore").option("readRegisteredTimers", True).load(f"{folder}/state").collect()
+    assert len(timers) == 3
+
+
+@pytest.mark.parametrize("many", [0, 3, 12])
+def test_crowded_keys_have_the_same_outages(spark, tmp_path, many):
+    kinds = ["error", "purchase", "view"]
+    rows = [ev(i, i * 9 - i % 7 * 5, user=i % 2, kind=kinds[i * i % 3 if i % 4 else 0]) for i in range(60)]
+    path = write_files(spark, tmp_path, [rows[:25], rows[25:26], rows[26:]])
+    text = lambda df: sorted(map(str, df.collect()))
+    want = text(mon.run_complete(spark, path, mon.outages, 1, late="2 hours"))
+    assert text(mon.run_complete(spark, path, mon.outages, 1, late="2 hours", many=many)) == want and want
+
+
 def test_duplicates_across_batches(spark, tmp_path):
     path = write_files(spark, tmp_path, [[ev(1, 0), ev(2, 1)], [ev(3, 2), ev(4, 3, kind="click")]])
     out = mon.run_to_end(mon.deduplicated(mon.event_stream(spark, path, 1)))
