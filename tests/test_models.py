@@ -180,6 +180,27 @@ def test_scenarios_in_one_pass_equal_single_ones(spark):
     assert got["hot"].mean_prediction == pytest.approx(mean(changed))
 
 
+@pytest.mark.parametrize("rows,parts", [(0, 1), (15_000, 1), (60_000, 2), (2_000_000, 12), (19_800_000, 48)])
+def test_model_rows_lie_in_few_parts(rows, parts):
+    assert forecast.model_parts(rows, 12) == parts
+
+
+def test_model_rows_are_written_once_in_few_parts(spark):
+    rows = spark.range(500).select(F.col("id").cast("double").alias("label")).repartition(40)
+    held = forecast.dealt(rows)
+    assert held.rdd.getNumPartitions() <= 2 and all("/rows-" in f for f in held.inputFiles())
+    assert sorted(r.label for r in held.collect()) == list(range(500))
+
+
+def test_rows_that_keep_their_nodes_give_the_same_forest(fitted):
+    df, _ = fitted
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    forest = forecast.make_regressor("random_forest", "label", trees=8, depth=6)
+    assert forest.getCacheNodeIds()
+    text = lambda m: m.toDebugString.split("\n", 1)[1]
+    assert text(forest.fit(rows)) == text(forest.copy().setCacheNodeIds(False).fit(rows))
+
+
 # ---- fold statistics -------------------------------------------------------------------------------
 
 
