@@ -17,6 +17,9 @@ overlap freely in ``spans``, terms that overlap a base span are left out; an emp
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,9 +91,16 @@ def base_spans(found: DataFrame) -> DataFrame:
     return placed.where(_holds(F.col("kind"), F.col("value"))).drop("nth", "gap")
 
 
+def with_matches(rows: DataFrame) -> DataFrame:
+    """The rows whose text has a match of any kind, so no other text is moved to where the spans are."""
+    body = F.col("body")
+    has = [F.contains(body, F.lit(holds)) & body.rlike(pattern) if holds else body.rlike(pattern) for pattern, holds in PATTERNS.values()]
+    return rows.where(reduce(or_, has))
+
+
 def in_whole_texts(base: DataFrame, rows: DataFrame) -> DataFrame:
     """``base`` with ``before`` and ``after``, the ``REACH`` characters of the whole text on either side of each span."""
-    held = rows.join(base.select("doc", "digest").distinct(), ["doc", "digest"], "left_semi")
+    held = with_matches(rows).join(base.select("doc", "digest").distinct(), ["doc", "digest"], "left_semi")
     texts = held.groupBy("doc", "digest").agg(F.first("body").alias("body"))
     since = F.greatest(F.col("start") - REACH, F.lit(0))
     before = F.substring("body", (since + 1).cast("int"), (F.col("start") - since).cast("int"))

@@ -123,3 +123,14 @@ def test_sanitise_gathers_terms_across_other_matches(spark):
     out = {r.doc_id: r.sanitised for r in pii.sanitise(docs).select("row.doc_id", "sanitised").collect()}
     assert "Guildenstern" not in out[300] + out[301]
     assert "[CARD]" in out[300] and "[CARD]" in out[301]
+
+
+def test_only_texts_with_matches_are_moved(spark):
+    texts = ["", "plain words", "mail a@b.cd", "4 digits: 1.2.3.4", "12 34", "+4 567", "a @ b . + 7", "x" * 500, "@b.c", None]
+    rows = pii._rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    hits = F.concat(*[pii._hits(F.col("body"), k) for k in pii.PATTERNS])
+    want = [r.doc for r in rows.where(F.size(hits) > 0).orderBy("doc").collect()]
+    got = [r.doc for r in pii.with_matches(rows).orderBy("doc").collect()]
+    assert got == want and 0 < len(want) < len(texts)
+    placed = pii.in_whole_texts(pii.base_spans(rows.select("doc", "digest", hits.alias("hits")).where(F.size("hits") > 0)), rows)
+    assert "RLIKE" in placed._jdf.queryExecution().optimizedPlan().toString()
