@@ -185,6 +185,12 @@ def test_model_rows_lie_in_few_parts(rows, parts):
     assert forecast.model_parts(rows, 12) == parts
 
 
+def test_rows_of_forests_are_held_in_few_parts(spark):
+    cores = spark.sparkContext.defaultParallelism
+    with forecast.cached(spark.range(1000).repartition(20 * cores), forecast.model_parts) as held:
+        assert held.rdd.getNumPartitions() == 1 and sorted(r.id for r in held.collect()) == list(range(1000))
+
+
 def test_model_rows_are_written_once_in_few_parts(spark):
     rows = spark.range(500).select(F.col("id").cast("double").alias("label")).repartition(40)
     held = forecast.dealt(rows)
