@@ -86,7 +86,8 @@ def candidates(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     held = stored(entries.join(crowded.withColumn("crowded", F.lit(True)), ["segment", "value"], "left"), "held")
     once = held.where("crowded").select("segment", "value", F.lit(None).cast("long").alias("fp")).distinct()
     table_ = held.where("crowded is null").select("segment", "value", "fp").union(once)
-    met = table_.join(probes(entries), ["segment", "value"]).where("fp is null or probe < fp").select("probe", "fp")
+    # Spark sizes the probes as their entries, 33 times too low, and would broadcast them
+    met = table_.join(probes(entries).hint("merge"), ["segment", "value"]).where("fp is null or probe < fp").select("probe", "fp")
     return met.union(held.where("crowded").select("fp", F.lit(None).cast("long"))).distinct()
 
 

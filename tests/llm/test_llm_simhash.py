@@ -88,6 +88,14 @@ def test_a_family_is_not_listed_in_pairs(spark):
     assert simhash.links(fps).count() <= 65 * 3000
 
 
+def test_probes_are_not_sent_whole_to_all_tasks(spark, capsys):
+    met = simhash.candidates(spark.range(500).select(F.xxhash64("id").alias("fp")))
+    met.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin [segment" in plan and "BroadcastExchange" not in plan
+    assert met.where("fp is null").count() == 0
+
+
 def test_one_of_each(spark):
     docs = documents(spark, [(3, "a b c d"), (1, "A b C d"), (1, "a b c d"), (2, None), (5, ""), (7, "quite another text here"), (None, "alone in the dark night")])
     kept = simhash.one_of_each(docs)
