@@ -12,6 +12,7 @@ from ..functions import climate
 from ..functions.arrays import peak_hour, shopping_part
 from ..functions.calendar import calendar_columns, cyclic_columns, is_weekend
 from ..functions.core import mean_if, mean_of, ratio, safe_corr, slope_of, std_of
+from ..session import written
 from .relational import holiday_distance
 from .series import lag_roll_features
 
@@ -59,7 +60,11 @@ def category_statistics(sales: DataFrame) -> DataFrame:
 
 
 def category_features(sales: DataFrame) -> DataFrame:
-    """Category statistics, daily market share, monthly mean, store diversity and age joined to every sale."""
+    """Category statistics, daily market share, monthly mean, store diversity and age joined to every sale.
+
+    The sales are written once, with the columns given, and read by all aggregates.
+    """
+    sales = written(sales)
     stats = category_statistics(sales)
     day_cat = sales.groupBy("sale_date", "first_category").agg(F.sum("sale_amount").alias("_dc"))
     day = day_cat.groupBy("sale_date").agg(F.sum("_dc").alias("_d"))

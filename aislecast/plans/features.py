@@ -308,7 +308,8 @@ FROM sales s JOIN st USING (first_category) JOIN dc ON dc.sale_date=s.sale_date
 JOIN dd ON dd.sale_date=s.sale_date JOIN mo ON mo.first_category=s.first_category AND mo.mm=month(s.sale_date) JOIN dv ON dv.store_id=s.store_id""",
 )
 def category_features(t):
-    return features.category_features(t.sales()).select(
+    sales = t.sales().select("sale_date", "store_id", "product_id", "first_category", "sale_amount", "discount")
+    return features.category_features(sales).select(
         "sale_date", "store_id", "product_id", "category_mean", "category_std", "category_count", "category_market_share",
         "category_monthly_avg", "store_category_diversity", "category_days_since_introduction", "discount_sensitivity",
     )
