@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from aislecast import session
-from aislecast.operators import correlation, forecast, relational, uplift
+from aislecast.operators import correlation, features, forecast, relational, uplift
+from aislecast.plans import clustering
 from aislecast.schemas import RAW
 from aislecast.sources.adapter import RetailTables
 
@@ -135,3 +136,38 @@ def test_few_model_rows_are_not_held_in_many_partitions(spark):
         assert held.rdd.getNumPartitions() == 2 * cores
     with forecast.cached(spark.range(0, 10 * cores * forecast.ROWS_HELD, 1, 20 * cores)) as held:  # many rows keep their share
         assert held.rdd.getNumPartitions() == 10 * cores
+
+
+def test_sales_of_the_category_features_are_worked_out_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(v):
+        read.add(1)
+        return v
+
+    data = [(day(i % 9), i % 4, i, f"c{i % 3}", float(i % 7), i % 5 / 100) for i in range(60)]
+    sales = spark.createDataFrame(data, "sale_date date, store_id long, product_id long, first_category string, sale_amount double, discount double")
+    got = features.category_features(sales.withColumn("product_id", counted("product_id"))).collect()
+    assert sorted(r.product_id for r in got) == list(range(60)) and all(r.store_category_diversity == 3 and r.category_count == 20 for r in got)
+    assert read.value == 60
+
+
+def _tables(spark, folder):
+    """Small tables of the given schemas: 3 stores in 2 cities, 12 products."""
+    rows = {
+        "region": [(0, "R")],
+        "nation": [(0, "A", 0), (1, "B", 0)],
+        "supplier": [(i, f"S{i}", i % 2, 1.0) for i in (1, 2, 3)],
+        "part": [(i, f"P{i}", "b", f"t{i % 3}", i, 2.0) for i in range(1, 13)],
+        "lineitem": [(i, i % 12 + 1, i % 3 + 1, 1, 1.0 + i % 4, 2.0 + i * i % 17, i % 11 / 100, 0.0, "N", "O", dt.datetime(2024, 1 + i % 11, 1 + i * 7 % 27)) for i in range(400)],
+    }
+    for name, data in rows.items():
+        spark.createDataFrame(data, RAW[name]).write.parquet(f"{folder}/{name}.parquet")
+    return RetailTables(spark, str(folder))
+
+
+def test_weather_sensitivities_are_worked_out_once(spark, tmp_path, capsys):
+    clusters = clustering.weather_sensitivity_clusters(_tables(spark, tmp_path))
+    assert "lineitem" not in plan_of(clusters, capsys)  # the fit, the count and the result read the entity table
+    assert sorted(r.product_id for r in clusters.collect()) == list(range(1, 13))
