@@ -299,3 +299,23 @@ def test_cross_effects_from_promoted_days_and_sums_equal_brute_force(spark, keys
     got = {(r.store_id if keys else 0, r.item_a, r.item_b, round(r.during, 6), round(r.normal, 6)) for r in out.collect()}
     assert got == want and len(want) >= 3
     assert out.inputFiles() and all("/rows-" in f for f in out.inputFiles())  # the daily rows are made once
+
+
+@pytest.mark.parametrize("rows, trees, together", [(10, 100, 100), (2_000_000, 100, 100), (4_000_000, 100, 50), (10**9, 100, 10), (10**9, 5, 5), (0, 7, 7)])
+def test_trees_of_many_rows_do_not_grow_all_at_once(rows, trees, together):
+    assert forecast.trees_at_once(rows, trees) == together
+
+
+def test_a_forest_grown_in_batches_is_whole(spark, monkeypatch):
+    df = spark.range(2000).select((F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 89).cast("double").alias("b"))
+    df = df.withColumn("label", 3 * F.col("a") + F.sin("b")).repartition(3).persist()
+    pipe = forecast.assembled(["a", "b"], forecast.make_regressor("random_forest", "label", trees=24, depth=5))
+    error = lambda m: m.transform(df).agg(F.avg((F.col("label") - F.col("prediction")) ** 2)).first()[0]
+    once = pipe.fit(df)
+    monkeypatch.setattr(forecast, "ROW_TREES", 1)
+    batched = pipe.fit(df)
+    forest = batched.stages[-1]
+    assert forest.getNumTrees == len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) == 24  # no draw twice
+    assert len(forecast.trees.trees_of(forest)) == 24 and abs(sum(forest.featureImportances.toArray()) - 1) < 1e-9
+    assert error(batched) < 1.3 * error(once) + 1
+    df.unpersist()
