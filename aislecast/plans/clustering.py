@@ -8,6 +8,8 @@ from ..operators import clustering as clu
 from ..operators import correlation as cor
 from ..operators import customers as cus
 from ..operators import features
+from ..operators.forecast import cached
+from ..session import written
 from .market import scored
 from .registry import query
 
@@ -92,13 +94,13 @@ def cluster_assignment(t):
 
 @query("weather_sensitivity_clusters", "CLU-8 COR-6")
 def weather_sensitivity_clusters(t):
-    s = t.sales(category=False).select("product_id", "sale_amount", "avg_temperature", "avg_humidity", "precpt", "avg_wind_level")
-    # a sale's row is an eighth of the buffers of seven correlations, and a product has few rows in a part of the sales
-    long = cor.factor_correlations(s.repartition("product_id"), "product_id")
+    s = t.sales(category=False)
+    long = cor.factor_correlations(s, "product_id")
     names = ["temperature", "humidity", "precipitation", "wind", "comfort"]
-    wide = clu.held_once(long.groupBy("product_id").pivot("factor", names).agg(F.max("r")))
-    n = wide.count()
-    return clu.kmeans_clusters(wide, names, min(5, max(2, n // 2))).select("product_id", "cluster", "distance")
+    # held as the fit deals its rows, on which the starting centres depend
+    with cached(long.groupBy("product_id").pivot("factor", names).agg(F.max("r"))) as wide:
+        n = wide.count()
+        return written(clu.kmeans_clusters(wide, names, min(5, max(2, n // 2))).select("product_id", "cluster", "distance"))
 
 
 @query("dominant_city_clusters", "CMB-9")
